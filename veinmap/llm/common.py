@@ -55,9 +55,71 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_of(column: str = "text"):
-    """The text with null as the empty string."""
-    return F.coalesce(F.col(column), F.lit(""))
+#: A side with at most so many rows of two numbers (16 MB) is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
-__all__ = ["ROWS_AT_ONCE", "cut", "map_rows", "parsed", "table", "text_of"]
+def join_few(many: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Joins narrow rows ``few`` that are already written: broadcast if counted as few, else shuffled."""
+    n = few.count()
+    return many.join(F.broadcast(few) if n <= BROADCAST_ROWS else few, on, how)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``a``, ``b`` (links between longs) -> node, component (the smallest node reachable).
+
+    Each round hooks every node to its smallest neighbour, follows the hooks to their ends and
+    contracts the links, so rounds grow with the logarithm of the nodes.  Rows are small and stay
+    distributed; each round is written, which cuts lineage.
+    """
+    edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("component")))
+    while not edges.isEmpty():
+        up = cut(edges.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("up")))  # a hook leads to a smaller node: no cycles
+        while True:
+            over = up.select(F.col("x").alias("up"), F.col("up").alias("over"))
+            step = cut(up.join(over, "up", "left").select("x", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")))
+            up = step.select("x", "up")
+            if step.where("moved").isEmpty():
+                break
+        end = lambda c: up.select(F.col("x").alias(c), F.col("up").alias(f"{c}_up"))
+        nodes = cut(nodes.join(end("component"), "component", "left").select("node", F.coalesce("component_up", "component").alias("component")))
+        moved = edges.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b"))
+        edges = cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return nodes
+
+
+def sorted_groups(df: DataFrame, key: str, order: list[str], columns: list[str], ddl: str, start: Callable[[], Callable[..., list[list]]]) -> DataFrame:
+    """Maps the rows of each ``key`` (a bounded group) to rows of ``ddl``, groups streaming through a task.
+
+    ``start`` gives a function of (key, one list per column).
+    """
+    schema = to_arrow_schema(parsed(ddl), prefers_large_types=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, now, held = start(), None, [[] for _ in columns]
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if held[0]:
+                out = step(now, *held)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            at = 0
+            while at < len(keys):
+                if keys[at] != now:
+                    yield from ended()
+                    now, held = keys[at], [[] for _ in columns]
+                to = at + 1
+                while to < len(keys) and keys[to] == now:
+                    to += 1
+                for h, c in zip(held, batch.columns[1:], strict=True):
+                    h += c.slice(at, to - at).to_pylist()
+                at = to
+        yield from ended()
+
+    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).select(key, *columns).mapInArrow(run, ddl)
+
+
+__all__ = ["ROWS_AT_ONCE", "components", "cut", "join_few", "map_rows", "parsed", "sorted_groups", "table"]
