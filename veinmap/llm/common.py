@@ -55,8 +55,8 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A side with at most so many rows of two numbers (16 MB) is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A side with at most so many narrow rows (of up to some 100 bytes) is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def join_few(many: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
