@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinmap.llm import near_dup, packing, quality, token_count, toxicity
+from veinmap.llm import bpe, near_dup, packing, quality, token_count, toxicity
 from veinmap.llm.common import table
 
 
@@ -38,5 +38,9 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("set_hash")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_toxicity, op6_packing, op8_near_duplicates)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_toxicity, op6_packing, op8_near_duplicates, op9_bpe)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op8_near_duplicates": near_dup.oracle()}
