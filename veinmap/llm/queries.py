@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinmap.llm import bpe, fingerprint, near_dup, packing, quality, suffix_dedup, token_count, toxicity
+from veinmap.llm import bpe, fingerprint, license_scan, near_dup, packing, quality, suffix_dedup, token_count, toxicity
 from veinmap.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("set_hash")
 
@@ -50,5 +54,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_fingerprints, op6_packing, op8_near_duplicates, op9_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_fingerprints, op6_packing, op7_license_scan, op8_near_duplicates, op9_bpe)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op8_near_duplicates": near_dup.oracle()}
