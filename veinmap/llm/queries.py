@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinmap.llm import bpe, fingerprint, license_scan, near_dup, packing, quality, suffix_dedup, token_count, toxicity
+from veinmap.llm import bpe, chat, fingerprint, license_scan, near_dup, packing, quality, suffix_dedup, token_count, toxicity
 from veinmap.llm.common import table
 
 
@@ -54,5 +54,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_fingerprints, op6_packing, op7_license_scan, op8_near_duplicates, op9_bpe)}
-ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op8_near_duplicates": near_dup.oracle()}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversation_digests(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_fingerprints, op6_packing, op7_license_scan, op8_near_duplicates, op9_bpe, op10_chat_format)}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op8_near_duplicates": near_dup.oracle(), "op10_chat_format": chat.ORACLE}
