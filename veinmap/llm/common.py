@@ -42,6 +42,21 @@ def map_rows(df: DataFrame, columns: list[str], ddl: str, start: Callable[[], Ca
     return df.select(*columns).mapInArrow(run, ddl)
 
 
+def keep_rows(df: DataFrame, column: str, start: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of ``df``, all columns untouched, for whose ``column`` the function that ``start`` gives says so."""
+
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                yield part.filter(pa.array(keep(part.column(names.index(column)).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written to the shared folder of ``spark.checkpoint.dir`` and read again.
 
@@ -122,4 +137,4 @@ def sorted_groups(df: DataFrame, key: str, order: list[str], columns: list[str],
     return df.repartition(F.col(key)).sortWithinPartitions(key, *order).select(key, *columns).mapInArrow(run, ddl)
 
 
-__all__ = ["ROWS_AT_ONCE", "components", "cut", "join_few", "map_rows", "parsed", "sorted_groups", "table"]
+__all__ = ["ROWS_AT_ONCE", "components", "cut", "join_few", "keep_rows", "map_rows", "parsed", "sorted_groups", "table"]

@@ -176,6 +176,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "set_hash")
 
 
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that are the smallest of their component or have no id."""
+    found = near_duplicates(docs, width, percent, id_col, text_col)
+    return join_few(docs, cut(found.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()), id_col, "left_anti")
+
+
 def oracle(width: int = 4, percent: int = 80) -> str:
     words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
     return f"""

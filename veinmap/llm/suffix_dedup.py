@@ -234,6 +234,41 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return found.groupBy("text_id").agg(F.collect_set("place").alias("places"))  # a text's own runs
 
 
+def without(raw: bytes, places: list[int] | None) -> tuple[bytes, int]:
+    """The bytes that no string at ``places`` covers, and the number of maximal removed runs."""
+    spans: list[list[int]] = []
+    for place in sorted(places or ()):
+        a, b = place >> 8, (place >> 8) + (place & 255) + DEPTH - 1
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
+    at, kept = 0, []
+    for a, b in spans:
+        kept.append(raw[at:a])
+        at = b
+    return b"".join([*kept, raw[at:]]), len(spans)
+
+
+def drop_repeats(docs: DataFrame, text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """``docs``, with all columns, whose texts lose their repeated bytes (null stays null)."""
+    import pyarrow as pa
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    places = repeats(docs.select(F.xxhash64(text).alias("text_id"), text.alias("text")), hot)
+    joined = docs.withColumn("__text_id", F.xxhash64(text)).join(places.select(F.col("text_id").alias("__text_id"), F.col("places").alias("__places")), "__text_id", "left")
+    column = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts, all_places = batch.column(column).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            left = [without(t.encode(), p)[0].decode(errors="ignore") if t and p else t for t, p in zip(texts, all_places, strict=True)]
+            columns = [pa.array(left, pa.string()) if i == column else c for i, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return joined.select(*docs.columns, "__places").mapInArrow(run, docs.schema)
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Removes each byte that a DEPTH-byte string covers which also starts anywhere else.
 
@@ -251,19 +286,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
             out = [[] for _ in range(6)]
             for doc_id, text, places in zip(ids, texts, all_places, strict=True):
                 raw = text.encode()
-                spans = []
-                for place in sorted(places or ()):
-                    a, b = place >> 8, (place >> 8) + (place & 255) + DEPTH - 1
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(b, spans[-1][1])
-                    else:
-                        spans.append([a, b])
-                at, kept = 0, []
-                for a, b in spans:
-                    kept.append(raw[at:a])
-                    at = b
-                rest = b"".join([*kept, raw[at:]])
-                for column, value in zip(out, (doc_id, len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore")), strict=True):
+                rest, n_spans = without(raw, places)
+                for column, value in zip(out, (doc_id, len(raw), len(raw) - len(rest), n_spans, hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore")), strict=True):
                     column.append(value)
             return out
 

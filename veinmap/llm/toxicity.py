@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinmap.llm.common import map_rows
+from veinmap.llm.common import keep_rows, map_rows
 
 #: Word hashes are taken modulo this; the weights' size is bounded by it (4 bytes each).
 BUCKETS = 1 << 20
@@ -110,6 +110,31 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 4000, id_col: str
     return train([(bytes(r.words), bytes(r.lengths), r.y) for r in sorted(rows, key=lambda r: r.id)])
 
 
+def scorer(model: tuple[np.ndarray, np.ndarray, float]):
+    """A function of a text that gives its sentences' scores; words' weights are memoised."""
+    vocab, weights, bias = model
+    known = dict(zip(vocab.tolist(), weights.tolist(), strict=True))
+
+    class Memo(dict):
+        def __missing__(self, word: bytes) -> float:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = w = sum(known.get(b, 0.0) for b in buckets(word))
+            return w
+
+    weight = Memo().__getitem__
+
+    def scores(text: str | None) -> np.ndarray:
+        z = np.array([sum(map(weight, s)) for s in sentences(text)]) + bias
+        return 1 / (1 + np.exp(-z.clip(-30, 30)))
+
+    return scores
+
+
+def noisy_or(scores: np.ndarray) -> float:
+    return float(-np.expm1(np.log1p(-scores.clip(max=1 - 1e-12)).sum()))
+
+
 def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", offending_from: float = 0.5) -> DataFrame:
     """Scores each whole text: doc_id, held_out, score, predicted, n_sentences, offending.
 
@@ -121,24 +146,13 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_co
     shared = sc.broadcast(model)  # at most BUCKETS weights
 
     def start():
-        vocab, weights, bias = shared.value
-        known = dict(zip(vocab.tolist(), weights.tolist(), strict=True))
-
-        class Memo(dict):
-            def __missing__(self, word: bytes) -> float:
-                if len(self) >= MEMO:
-                    self.clear()
-                self[word] = w = sum(known.get(b, 0.0) for b in buckets(word))
-                return w
-
-        weight = Memo().__getitem__
+        sentence_scores = scorer(shared.value)
 
         def step(ids, texts):
             scores, sizes, found = [], [], []
             for text in texts:
-                z = np.array([sum(map(weight, s)) for s in sentences(text)]) + bias
-                q = 1 / (1 + np.exp(-z.clip(-30, 30)))
-                scores.append(float(-np.expm1(np.log1p(-q.clip(max=1 - 1e-12)).sum())))
+                q = sentence_scores(text)
+                scores.append(noisy_or(q))
                 sizes.append(len(q))
                 found.append([{"sentence": int(i), "score": float(q[i])} for i in np.flatnonzero(q >= offending_from)])
             held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]
@@ -148,3 +162,14 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_rows(docs, [F.col(id_col), F.col(text_col)], f"{id_col} {kind}, held_out boolean, score double, predicted int, n_sentences int, offending array<struct<sentence:int,score:double>>", start)
+
+
+def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", reject_from: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all columns, that score below ``reject_from``.  Narrow: no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS weights
+
+    def start():
+        scores = scorer(shared.value)
+        return lambda texts: [noisy_or(scores(t)) < reject_from for t in texts]
+
+    return keep_rows(docs, text_col, start)
