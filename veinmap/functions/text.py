@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as str.strip() and \s take it.
 SPACE = r"[\s\x1c-\x1f]"
@@ -73,27 +74,33 @@ def first_class(classes: Column) -> Column:
     return F.coalesce(F.get(classes, F.lit(0)), F.lit("Unknown"))
 
 
-@F.pandas_udf("double")
-def similarity(a, b):
-    """Ratio of matching blocks of two strings (the standard library's; not symmetric)."""
+def _mapped(f, kind: T.DataType, *columns: Column) -> Column:
+    """``f`` of the columns' values, Arrow batch by Arrow batch; null where one of them is null."""
+    import pandas as pd
+
+    def run(*series: pd.Series) -> pd.Series:
+        return pd.Series([None if any(v is None or v != v for v in row) else f(*row) for row in zip(*series)], dtype="object")
+
+    typed = {1: lambda a: run(a), 2: lambda a, b: run(a, b)}[len(columns)]
+    return F.pandas_udf(typed, kind, F.PandasUDFType.SCALAR)(*columns)
+
+
+def _ratio(a: str, b: str) -> float:
     from difflib import SequenceMatcher
 
-    import pandas as pd
+    return SequenceMatcher(None, a, b).ratio()
 
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
+def similarity(a: Column, b: Column) -> Column:
+    """Ratio of matching blocks of two strings (the standard library's; not symmetric)."""
+    return _mapped(_ratio, T.DoubleType(), a, b)
 
-@F.pandas_udf("double")
-def rounded(x):
-    """Rounded to one digit, half to even on the binary value."""
-    import pandas as pd
 
-    return pd.Series([None if v is None or v != v else round(v, 1) for v in x], dtype="float64")
+def rounded(x: Column) -> Column:
+    """Rounded to one digit, half to even on the binary value."""
+    return _mapped(lambda v: round(float(v), 1), T.DoubleType(), x)
 
 
-@F.pandas_udf("string")
-def printed(x):
+def printed(x: Column) -> Column:
     """A number as Python's str() prints it."""
-    import pandas as pd
-
-    return pd.Series([None if v is None or v != v else str(v) for v in x], dtype="object")
+    return _mapped(str, T.StringType(), x)

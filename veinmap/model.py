@@ -5,12 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-CLASS = T.StructType.fromDDL("pos long, name string, class_name string, comment string, uri string, sub_class_of array<string>, sub_class_of_present boolean, parent_class array<string>")
-PROPERTY = T.StructType.fromDDL("pos long, name string, domain string, range string, uri string")
+CLASS = "pos long, name string, class_name string, comment string, uri string, sub_class_of array<string>, sub_class_of_present boolean, parent_class array<string>"
+PROPERTY = "pos long, name string, domain string, range string, uri string"
 #: attrs: every other key as Python's str() prints it; nums: those whose value is a number or boolean.
-INDIVIDUAL = T.StructType.fromDDL("pos long, name string, class array<string>, class_is_list boolean, type array<string>, type_is_list boolean, classes array<string>, attrs map<string,string>, nums map<string,double>")
+INDIVIDUAL = "pos long, name string, class array<string>, class_is_list boolean, type array<string>, type_is_list boolean, classes array<string>, attrs map<string,string>, nums map<string,double>"
 
 
 @dataclass(frozen=True)

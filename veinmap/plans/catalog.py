@@ -1,10 +1,362 @@
-"""Registered queries over the ontology model and their SQL."""
+"""Registered queries over the ontology model, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veinmap.functions import text as fn
+from veinmap.operators import extract, graph, merge, quality, query, relational, segment, sinks, update
+from veinmap.sources import star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: The star schema as the model, in SQL.
+_CLASSES = """classes AS (
+  SELECT CAST(r_regionkey AS BIGINT) AS pos, r_name AS name, 'region ' || lower(r_name) AS comment, CAST(NULL AS VARCHAR) AS parent FROM region
+  UNION ALL SELECT n_nationkey + 100, n_name, CASE WHEN n_nationkey % 3 = 0 THEN 'nation of ' || r_name END, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+_INDIVIDUALS = """individuals AS (
+  SELECT s_suppkey AS pos, s_name AS name, n_name AS class, CAST(NULL AS VARCHAR) AS t1, CAST(NULL AS VARCHAR) AS t2, s_acctbal AS bal, CAST(NULL AS INTEGER) AS size, CAST(NULL AS DOUBLE) AS price FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 1000000000 + c_custkey, c_name, n_name, c_mktsegment, NULL, c_acctbal, NULL, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 2000000000 + p_partkey, p_name || '_' || p_partkey, NULL, p_type, p_brand, NULL, p_size, p_retailprice FROM part)"""
+_GRAPH = """nodes AS (
+  SELECT 'r' || r_regionkey AS id, r_name AS name, 'class' AS type FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'class' FROM nation
+  UNION ALL SELECT 'c' || c_custkey, c_name, 'individual' FROM customer UNION ALL SELECT 's' || s_suppkey, s_name, 'individual' FROM supplier),
+edges AS (
+  SELECT CAST(n_nationkey AS BIGINT) AS pos, 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'within' AS type FROM nation
+  UNION ALL SELECT 1000000000 + c_custkey, 'c' || c_custkey, 'n' || c_nationkey, 'lives_in' FROM customer
+  UNION ALL SELECT 2000000000 + s_suppkey, 's' || s_suppkey, 'n' || s_nationkey, 'lives_in' FROM supplier)"""
+_TURNS = """turns AS (
+  SELECT conv_id, turn, '## ' || role || ' ' || turn || chr(10) || text AS part, role || ' ' || turn AS title, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS content,
+    coalesce(sum(length('## ' || role || ' ' || turn || chr(10) || text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char,
+    length('## ' || role || ' ' || turn || chr(10) || text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS last FROM conversations)"""
+
+
+def _query(name: str, sql: str | None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+@_query("s02_sections", f"WITH {_CLASSES} SELECT pos, name, comment, parent FROM classes")
+def _(spark, d):
+    return star.ontology(spark, d).classes.select("pos", "name", "comment", F.get("sub_class_of", F.lit(0)).alias("parent"))
+
+
+@_query("s06_json_rows", "SELECT event_id, CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS VARCHAR) AS first_value, CAST(len(json_keys(props)) AS INTEGER) AS n_keys FROM events")
+def _(spark, d):
+    props = F.from_json("props", "map<string,string>")
+    return star.read(spark, d, "events").select("event_id", props.alias("p")).select("event_id", F.get(F.map_values("p"), F.lit(0)).alias("first_value"), F.size("p").alias("n_keys"))
+
+
+@_query("a01_stats", f"WITH {_CLASSES}, {_INDIVIDUALS} SELECT (SELECT count(*) FROM classes) AS classes, CAST(3 AS BIGINT) AS object_properties, CAST(3 AS BIGINT) AS datatype_properties, (SELECT count(*) FROM individuals) AS individuals")
+def _(spark, d):
+    return query.stats(star.ontology(spark, d))
+
+
+@_query("a02_class_distribution", f"WITH {_INDIVIDUALS} SELECT coalesce(class, 'Unknown') AS class, count(*) AS n, min(pos) AS first_pos FROM individuals GROUP BY 1 ORDER BY n DESC, first_pos LIMIT 10")
+def _(spark, d):
+    return query.class_distribution(star.ontology(spark, d))
+
+
+@_query("p01_search", f"WITH {_CLASSES}, {_INDIVIDUALS} SELECT 'class' AS match_type, pos, name, comment FROM classes WHERE contains(lower(name), 'an') OR contains(lower(coalesce(comment, '')), 'an') UNION ALL SELECT 'individual', pos, name, NULL FROM individuals WHERE contains(lower(name), 'an')")
+def _(spark, d):
+    return query.search(star.ontology(spark, d), "AN")
+
+
+@_query("p02_by_class", f"WITH {_INDIVIDUALS} SELECT pos, name FROM individuals WHERE t2 IS NOT NULL AND lower(t1) = (SELECT lower(min(p_type)) FROM part) UNION ALL SELECT pos, name FROM individuals WHERE t2 IS NOT NULL AND lower(t1) = (SELECT lower(min(p_type)) FROM part)")
+def _(spark, d):
+    kind = star.read(spark, d, "part").agg(F.min("p_type")).first()[0]
+    return query.by_class(star.ontology(spark, d), kind.lower()).select("pos", "name")
+
+
+@_query("p02_by_direct_class", f"WITH {_INDIVIDUALS} SELECT pos, name FROM individuals WHERE class = (SELECT max(n_name) FROM nation) OR t1 = (SELECT max(n_name) FROM nation)")
+def _(spark, d):
+    name = star.read(spark, d, "nation").agg(F.max("n_name")).first()[0]
+    return query.by_class(star.ontology(spark, d), name.upper()).select("pos", "name")
+
+
+@_query("p03_by_property", f"WITH {_INDIVIDUALS} SELECT pos, name FROM individuals WHERE contains(CAST(size AS VARCHAR), '7')")
+def _(spark, d):
+    return query.by_property(star.ontology(spark, d), "size", "7").select("pos", "name")
+
+
+@_query("p03_by_part_of_property", f"WITH {_INDIVIDUALS} SELECT pos, name FROM individuals WHERE bal IS NOT NULL AND contains(CAST(CAST(floor(bal) AS BIGINT) AS VARCHAR), '99')")
+def _(spark, d):
+    return query.by_property(star.ontology(spark, d), "EV", "99").select("pos", "name")
+
+
+@_query("p06_names", f"WITH {_CLASSES} SELECT lower(name) AS key, max(pos) AS pos FROM classes GROUP BY 1")
+def _(spark, d):
+    return query.name_index(star.ontology(spark, d).classes)
+
+
+@_query("p09_unpivot_props", f"WITH {_INDIVIDUALS} SELECT name, 'acctbal' AS property_name, bal AS property_value FROM individuals WHERE bal IS NOT NULL UNION ALL SELECT name, 'size', CAST(size AS DOUBLE) FROM individuals WHERE size IS NOT NULL UNION ALL SELECT name, 'retailprice', price FROM individuals WHERE price IS NOT NULL")
+def _(spark, d):
+    o = star.ontology(spark, d)
+    names = relational.materials(o, stamped=False).select(F.col("id").alias("material_id"), "name")
+    return relational.material_properties(o).join(names, "material_id").select("name", "property_name", "property_value")
+
+
+@_query("p10_materials", f"WITH {_INDIVIDUALS} SELECT name, coalesce(class, 'Unknown') AS material_type, coalesce(replace(list_filter(string_split(name, '_'), lambda p: regexp_matches(p, '[A-Z]') AND regexp_matches(p, '[0-9]'))[1], '-', ''), '') AS chemical_formula FROM individuals")
+def _(spark, d):
+    return relational.materials(star.ontology(spark, d), stamped=False).select("name", "material_type", "chemical_formula")
+
+
+@_query("p08_filtered_nodes", f"WITH {_GRAPH} SELECT id, name FROM nodes WHERE type = 'individual' AND contains(lower(name), '7')")
+def _(spark, d):
+    return graph.filtered_nodes(star.graph(spark, d), "individual", "7").select("id", "name")
+
+
+@_query("k14_restore_stats", f"WITH {_INDIVIDUALS} SELECT count(*) AS materials, CAST(sum(CASE WHEN bal IS NOT NULL THEN 1 ELSE 2 END) AS BIGINT) AS properties, CAST(0 AS BIGINT) AS skipped FROM individuals")
+def _(spark, d):
+    return relational.restore_stats(star.ontology(spark, d))
+
+
+@_query("d15_foreign_keys", "SELECT c_custkey AS id, c_nationkey + 5 AS material_id FROM customer WHERE c_nationkey + 5 NOT IN (SELECT n_nationkey FROM nation)")
+def _(spark, d):
+    return relational.orphans(star.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") + 5).alias("material_id")), star.read(spark, d, "nation").select(F.col("n_nationkey").alias("id"))).select("id", "material_id")
+
+
+@_query("j01_hierarchy", f"WITH {_CLASSES} SELECT 'class' AS relation, pos, name FROM classes WHERE lower(name) = 'europe' UNION ALL SELECT 'child', pos, name FROM classes WHERE lower(parent) = 'europe'")
+def _(spark, d):
+    return query.hierarchy(star.ontology(spark, d), "Europe")
+
+
+@_query("j01_all_children", f"WITH {_CLASSES} SELECT p.name AS parent, c.pos AS child_pos, c.name AS child FROM classes c JOIN classes p ON lower(c.parent) = lower(p.name)")
+def _(spark, d):
+    return query.all_children(star.ontology(spark, d))
+
+
+@_query("j02_membership_edges", f"WITH {_CLASSES}, {_INDIVIDUALS} SELECT pos, name AS source, class AS target FROM individuals WHERE class IN (SELECT name FROM classes)")
+def _(spark, d):
+    return graph.membership_edges(star.ontology(spark, d))
+
+
+@_query("j03_induced_subgraph", f"WITH {_GRAPH}, kept AS (SELECT id FROM nodes WHERE contains(lower(name), 'a')) SELECT pos, src AS \"from\", dst AS \"to\", type FROM edges WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)")
+def _(spark, d):
+    return graph.induced(star.graph(spark, d), term="A").edges
+
+
+@_query("j04_neighbours", f"WITH {_GRAPH} SELECT e.pos, src AS \"from\", e.type, coalesce(nullif(n.name, ''), dst) AS to_name FROM edges e LEFT JOIN nodes n ON dst = id")
+def _(spark, d):
+    return graph.neighbours(star.graph(spark, d))
+
+
+@_query("a11_degree", f"WITH {_GRAPH}, ends AS (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) SELECT id, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in, count(*) AS degree FROM ends GROUP BY id")
+def _(spark, d):
+    return graph.degrees(star.graph(spark, d))
+
+
+@_query("a12_graph_counts", f"WITH {_GRAPH} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS relationships")
+def _(spark, d):
+    return graph.counts(star.graph(spark, d))
+
+
+@_query("l04_top_edges", f"""WITH {_GRAPH}, b AS (SELECT src AS id, 'out' AS direction, pos, dst AS other FROM edges UNION ALL SELECT dst, 'in', pos, src FROM edges),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, direction ORDER BY pos) AS rank FROM b) SELECT id, direction, CAST(rank AS INTEGER) AS rank, other FROM r WHERE rank <= CASE direction WHEN 'out' THEN 5 ELSE 3 END""")
+def _(spark, d):
+    return graph.top_edges(star.graph(spark, d))
+
+
+@_query("a03_a09_quality", f"""WITH {_CLASSES}, {_INDIVIDUALS}, n AS (SELECT (SELECT count(*) FROM classes) AS c, (SELECT count(*) FROM individuals) AS i, (SELECT count(*) FROM classes WHERE parent IS NOT NULL) AS p, (SELECT count(*) FROM classes WHERE comment IS NOT NULL) AS m),
+s AS (SELECT CAST(trunc(100 * (1 - 1.0::DOUBLE / (c + 6))) AS INTEGER) AS naming, CAST(trunc(100.0::DOUBLE * p / c) AS INTEGER) AS hierarchy, CAST(50 AS INTEGER) AS semantic, CAST(trunc(100.0::DOUBLE * m / c) AS INTEGER) AS completeness, CAST(greatest(50, least(100, c // 2 + i // 20)) AS INTEGER) AS coverage FROM n),
+t AS (SELECT *, CAST((naming + hierarchy + semantic + completeness + coverage) // 5 AS INTEGER) AS total_score FROM s)
+SELECT *, CASE WHEN total_score >= 90 THEN 'A+' WHEN total_score >= 80 THEN 'A' WHEN total_score >= 70 THEN 'B' WHEN total_score >= 60 THEN 'C' WHEN total_score >= 50 THEN 'D' ELSE 'F' END AS grade FROM t""")
+def _(spark, d):
+    return quality.validate(star.ontology(spark, d)).drop("issues")
+
+
+@_query("a10_quick_check", f"WITH {_INDIVIDUALS} SELECT true AS has_classes, true AS has_individuals, true AS has_properties, round_even((SELECT count(*) FROM individuals) / 30.0::DOUBLE, 1) AS individuals_per_class, 0.2::DOUBLE AS properties_per_class, true AS healthy")
+def _(spark, d):
+    return quality.quick_check(star.ontology(spark, d))
+
+
+@_query("w01_sections", f"WITH {_TURNS} SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS index, title, content, CAST(start_char AS INTEGER) AS start_char, CAST(start_char + n + CASE WHEN last THEN 0 ELSE 1 END AS INTEGER) AS end_char FROM turns WHERE content <> ''")
+def _(spark, d):
+    return segment.segment_headings(star.markdown(spark, d), min_size=0).select("doc_id", "index", "title", "content", "start_char", "end_char")
+
+
+@_query("w02_folded_sections", f"""WITH RECURSIVE {_TURNS}, t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM turns WHERE content <> ''),
+f AS (SELECT conv_id, i, 1 AS g, title, content FROM t WHERE i = 1
+  UNION ALL SELECT t.conv_id, t.i, CASE WHEN length(f.content) < 400 THEN f.g ELSE f.g + 1 END, CASE WHEN length(f.content) < 400 THEN f.title || ' + ' || t.title ELSE t.title END, CASE WHEN length(f.content) < 400 THEN f.content || chr(10) || chr(10) || t.content ELSE t.content END
+  FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1)
+SELECT conv_id AS doc_id, CAST(g - 1 AS INTEGER) AS index, arg_max(title, i) AS title, arg_max(content, i) AS content, CAST(length(arg_max(content, i)) AS INTEGER) AS char_count FROM f GROUP BY conv_id, g""")
+def _(spark, d):
+    return segment.segment_headings(star.markdown(spark, d), min_size=400).select("doc_id", "index", "title", "content", "char_count")
+
+
+@_query("w04_fixed_chunks", """WITH RECURSIVE c AS (
+  SELECT doc_id, text, length(text) AS n, 0 AS s, CASE WHEN length(text) <= 4000 THEN length(text) ELSE CASE WHEN length(regexp_replace(substr(text, 1, 4000), '[^\\n]*$', '')) - 1 > 2000 THEN length(regexp_replace(substr(text, 1, 4000), '[^\\n]*$', '')) ELSE 4000 END END AS e FROM documents WHERE trim(text) <> ''
+  UNION ALL SELECT doc_id, text, n, ns, CASE WHEN n <= ns + 4000 THEN n ELSE CASE WHEN length(regexp_replace(substr(text, ns + 1, 4000), '[^\\n]*$', '')) - 1 > 2000 THEN ns + length(regexp_replace(substr(text, ns + 1, 4000), '[^\\n]*$', '')) ELSE ns + 4000 END END
+  FROM (SELECT *, greatest(e - 200, s + 1) AS ns FROM c WHERE e < n))
+SELECT doc_id, CAST(s AS INTEGER) AS start_char, CAST(e AS INTEGER) AS end_char FROM c""".replace("\\\\n", "\\n"))
+def _(spark, d):
+    return segment.segment_fixed(star.read(spark, d, "documents")).select("doc_id", "start_char", "end_char")
+
+
+@_query("w05_keyword_windows", None)
+def _(spark, d):
+    return segment.segment_keywords(star.read(spark, d, "documents"), ["license", "than"], 500).select("doc_id", "index", "keyword", "match_position", "start_char", "end_char")
+
+
+@_query("e02_alloys", "SELECT p_partkey AS doc_id, 'U-' || p_size || 'Mo' AS name, CAST(1 AS INTEGER) AS n FROM part")
+def _(spark, d):
+    return star.reports(spark, d).select("doc_id", extract.alloys(F.col("text")).alias("a")).select("doc_id", F.get("a", F.lit(0))["name"].alias("name"), F.size("a").alias("n"))
+
+
+@_query("e03_properties", "SELECT p_partkey AS doc_id, 'density' AS name, p_size + 0.5::DOUBLE AS value, 'g/cm3' AS unit FROM part UNION ALL SELECT p_partkey, 'hardness', CAST(p_size AS DOUBLE), 'HV' FROM part")
+def _(spark, d):
+    return star.reports(spark, d).select("doc_id", F.inline(extract.properties(F.col("text")))).select("doc_id", "name", "value", "unit")
+
+
+@_query("e04_phases", "SELECT p_partkey AS doc_id, 'γ' AS phase, 'γ phase' AS context FROM part")
+def _(spark, d):
+    return star.reports(spark, d).select("doc_id", F.inline(extract.phases(F.col("text")))).select("doc_id", "phase", "context")
+
+
+@_query("e05_temperatures", "SELECT p_partkey AS doc_id, CAST(p_size AS DOUBLE) AS low, CAST(p_size + 100 AS DOUBLE) AS high, 'K' AS unit FROM part")
+def _(spark, d):
+    return star.reports(spark, d).select("doc_id", F.inline(extract.temperatures(F.col("text")))).select("doc_id", F.col("min").alias("low"), F.col("max").alias("high"), "unit")
+
+
+@_query("e06_percentages", "SELECT p_partkey AS doc_id, CAST(p_size AS DOUBLE) AS value, 'wt%' AS unit FROM part")
+def _(spark, d):
+    return star.reports(spark, d).select("doc_id", F.inline(extract.percentages(F.col("text")))).select("doc_id", "value", "unit")
+
+
+@_query("e08_composition", "SELECT p_partkey AS doc_id, CAST(100 - p_size AS DOUBLE) AS zr, CAST(p_size AS DOUBLE) AS mo FROM part WHERE p_size < 100")
+def _(spark, d):
+    c = extract.composition(F.concat(F.lit("Zr-Mo"), F.col("p_size").cast("string")))
+    return star.read(spark, d, "part").where("p_size < 100").select(F.col("p_partkey").alias("doc_id"), c["Zr"].alias("zr"), c["Mo"].alias("mo"))
+
+
+@_query("e09_template", "SELECT p_partkey AS doc_id, 'density' AS name, CAST(p_size AS VARCHAR) || '.5' AS value, CAST(length('The U-' || p_size || 'Mo alloy has ') AS INTEGER) AS position FROM part")
+def _(spark, d):
+    found = extract.extract_with_template(star.reports(spark, d), {"density": {"patterns": [r"DENSITY:\s*(\d+\.\d+)"]}, "nothing": r"no groups"})
+    return found.select("doc_id", "name", F.get("value", F.lit(0)).alias("value"), "position")
+
+
+@_query("e01_results", "SELECT p_partkey AS doc_id, CAST(1 AS INTEGER) AS individuals, CAST(2 AS INTEGER) AS properties, CAST(1 AS INTEGER) AS relationships, CAST(4 AS INTEGER) AS total_items FROM part")
+def _(spark, d):
+    return extract.extract(star.reports(spark, d)).select("doc_id", *(F.size(c).alias(c) for c in ("individuals", "properties", "relationships")), "total_items")
+
+
+_ITEMS = "items AS (SELECT p_partkey AS pos, p_name AS name, p_brand AS source, p_size AS size FROM part)"
+
+
+@_query("m01_dedup_exact", f"WITH {_ITEMS} SELECT min(pos) AS pos, arg_max(name, pos) AS name, arg_max(source, pos) AS source, count(*) - 1 AS n_merged FROM items GROUP BY lower(trim(name))")
+def _(spark, d):
+    return merge.dedup(star.results(spark, d)).select("pos", "name", "source", "n_merged")
+
+
+@_query("m02_dedup_normalized", """WITH i AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '') ELSE replace(p_name, ' ', '-') END AS name, p_brand AS source FROM part),
+k AS (SELECT *, regexp_replace(lower(name), '[ _-]', '', 'g') AS k FROM i), s AS (SELECT k, min(pos) FILTER (WHERE lower(name) <> k) AS stop, min(pos) AS first, max(pos) AS last, count(*) - 1 AS n_merged FROM k GROUP BY k)
+SELECT first AS pos, k.name, source, n_merged FROM s JOIN k ON k.pos = coalesce(stop, last)""")
+def _(spark, d):
+    items = star.results(spark, d)
+    odd = F.when(F.col("pos") % 3 == 0, F.replace("name", F.lit(" "), F.lit(""))).otherwise(F.replace("name", F.lit(" "), F.lit("-")))
+    return merge.dedup(items.withColumn("name", odd), strategy="normalized").select("pos", "name", "source", "n_merged")
+
+
+@_query("m03_dedup_fuzzy", None)
+def _(spark, d):
+    names = star.results(spark, d).groupBy("name").agg(F.min("pos").alias("pos"), F.min_by("source", "pos").alias("source"))
+    return merge.dedup(names.select("pos", "name", "source"), strategy="fuzzy").select("pos", "name", "source", "n_merged")
+
+
+@_query("m05_merge_conflict", f"WITH {_ITEMS} SELECT min(pos) AS pos, arg_min(name, pos) AS name, CAST(arg_min(size, pos) AS VARCHAR) AS size, CAST(count(DISTINCT source) + 1 AS INTEGER) AS n_attrs FROM items GROUP BY lower(trim(name))")
+def _(spark, d):
+    return merge.dedup(star.results(spark, d), conflict="merge", attrs="attrs").select("pos", "name", F.col("attrs")["size"].alias("size"), F.size("attrs").alias("n_attrs"))
+
+
+@_query("m06_dedup_priority", f"WITH {_ITEMS} SELECT min(pos) AS pos, arg_min(source, pos) AS source FROM items GROUP BY lower(trim(name))")
+def _(spark, d):
+    return merge.dedup(star.results(spark, d), conflict="priority").select("pos", "source")
+
+
+@_query("a16_merge_properties", """WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS pos, l_returnflag || l_linestatus AS name, CAST(l_quantity AS BIGINT) AS value, l_returnflag AS unit FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY name, value, unit ORDER BY pos) AS n, min(pos) OVER (PARTITION BY name) AS name_pos FROM p) SELECT pos, name, value, unit, name_pos FROM r WHERE n = 1""")
+def _(spark, d):
+    rows = star.read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat("l_returnflag", "l_linestatus").alias("name"), F.col("l_quantity").cast("long").alias("value"), F.col("l_returnflag").alias("unit"))
+    return merge.merge_properties(rows)
+
+
+@_query("a13_merge_stats", f"WITH {_ITEMS}, n AS (SELECT count(DISTINCT source) AS inputs, count(*) AS individuals_in, count(DISTINCT lower(trim(name))) AS final_individuals FROM items) SELECT inputs, individuals_in, individuals_in - final_individuals AS duplicates_removed, final_individuals, round((individuals_in - final_individuals) / individuals_in::DOUBLE * 100, 1) AS dedup_rate FROM n")
+def _(spark, d):
+    items = star.results(spark, d)
+    return merge.merge_stats(items, merge.dedup(items))
+
+
+def _existing(spark, d):
+    items = star.results(spark, d).select("pos", F.concat("name", F.lit(" "), F.col("attrs")["size"]).alias("name"), "attrs")
+    return items.where("pos % 2 = 0").withColumn("attrs", F.map_filter("attrs", lambda k, v: k == "size")), items
+
+
+_UPDATE = """i AS (SELECT p_partkey AS pos, p_name || ' ' || p_size AS name, p_brand AS brand FROM part), e AS (SELECT * FROM i WHERE pos % 2 = 0),
+b AS (SELECT name, brand, min(pos) AS pos FROM i WHERE name IN (SELECT name FROM e) GROUP BY 1, 2),
+a AS (SELECT i.*, CASE WHEN name NOT IN (SELECT name FROM e) THEN 'add' WHEN EXISTS (SELECT 1 FROM b WHERE b.name = i.name AND b.pos = i.pos) THEN 'update' ELSE 'skip' END AS action FROM i)"""
+
+
+@_query("n01_update_actions", f"WITH {_UPDATE} SELECT pos, name, action FROM a")
+def _(spark, d):
+    existing, items = _existing(spark, d)
+    return update.judged(existing, items).select("pos", "name", "action")
+
+
+@_query("n01_updated_individuals", f"""WITH {_UPDATE}, f AS (SELECT name, min(pos) AS pos FROM e GROUP BY 1), n AS (SELECT name, count(DISTINCT brand) AS n FROM i GROUP BY 1)
+SELECT e.pos, e.name, CAST(CASE WHEN f.pos IS NULL THEN 1 ELSE 1 + n.n END AS INTEGER) AS n_attrs FROM e LEFT JOIN f ON e.pos = f.pos JOIN n ON n.name = e.name UNION ALL SELECT pos, name, CAST(2 AS INTEGER) FROM a WHERE action = 'add'""")
+def _(spark, d):
+    existing, items = _existing(spark, d)
+    return update.add_individuals(existing, items).select("pos", "name", F.size("attrs").alias("n_attrs"))
+
+
+@_query("a14_update_stats", f"WITH {_UPDATE} SELECT count(*) FILTER (WHERE action = 'add') AS added_individuals, count(*) FILTER (WHERE action = 'update') AS updated_individuals, count(*) FILTER (WHERE action = 'skip') AS skipped_individuals FROM a")
+def _(spark, d):
+    return update.update_stats(*_existing(spark, d))
+
+
+@_query("n02_add_properties", f"WITH {_UPDATE}, f AS (SELECT name, min(pos) AS pos FROM e GROUP BY 1), p AS (SELECT name, arg_max(pos, pos) AS v FROM i WHERE pos % 3 = 0 GROUP BY 1) SELECT e.pos, CAST(CASE WHEN f.pos = e.pos THEN p.v END AS VARCHAR) AS mass FROM e LEFT JOIN f ON f.pos = e.pos LEFT JOIN p ON p.name = e.name")
+def _(spark, d):
+    existing, items = _existing(spark, d)
+    props = items.where("pos % 3 = 0").select("pos", F.col("name").alias("individual"), F.lit("mass").alias("name"), F.col("pos").cast("string").alias("value"))
+    return update.add_properties(existing, props).select("pos", F.col("attrs")["prop_mass"].alias("mass"))
+
+
+@_query("n03_changes", f"WITH {_UPDATE} SELECT 'add' AS action, 'individual' AS type, name FROM a WHERE action = 'add'")
+def _(spark, d):
+    return update.changes(*_existing(spark, d), stamped=False)
+
+
+@_query("k03_csv_individuals", f"WITH {_INDIVIDUALS} SELECT pos, name, coalesce(class, '') AS class, coalesce(t1, '') AS type FROM individuals")
+def _(spark, d):
+    return sinks.csv_individuals(star.ontology(spark, d))
+
+
+@_query("k06_graphml", f"""WITH {_CLASSES}, {_INDIVIDUALS} SELECT '<node id="' || translate(name, ' /', '__') || '"><data key="label">' || name || '</data><data key="type">class</data></node>' AS line FROM classes
+UNION ALL SELECT '<node id="' || translate(name, ' /', '__') || '"><data key="label">' || name || '</data><data key="type">individual</data></node>' FROM individuals
+UNION ALL SELECT '<edge source="' || translate(name, ' /', '__') || '" target="' || translate(class, ' /', '__') || '"/>' FROM individuals WHERE class IS NOT NULL""")
+def _(spark, d):
+    return sinks.graphml_lines(star.ontology(spark, d)).where("ord IN (1, 2)").select("line")
+
+
+@_query("k07_markdown", f"""WITH {_CLASSES}, {_INDIVIDUALS} SELECT '- **' || name || '**' || CASE WHEN comment IS NULL THEN '' ELSE ': ' || comment END AS line FROM classes
+UNION ALL (SELECT '- **' || name || '**' || CASE WHEN class IS NULL THEN '' ELSE ' → ' || class END FROM individuals ORDER BY pos LIMIT 50)
+UNION ALL SELECT '- ... and ' || (count(*) - 50) || ' more' FROM individuals""")
+def _(spark, d):
+    return sinks.markdown_lines(star.ontology(spark, d)).where("ord IN (3, 5, 6)").select("line")
+
+
+@_query("f_scalar_functions", """SELECT p_partkey, lower(trim(p_name)) AS exact_key, regexp_replace(lower(trim(p_name)), '[ _-]', '', 'g') AS normalized_key, translate(p_type, ' /', '__') AS safe_id,
+CASE WHEN length(p_name) > 6 THEN substr(p_name, 1, 6) || '…' ELSE p_name END AS short, CASE WHEN p_size >= 90 THEN 'A+' WHEN p_size >= 80 THEN 'A' WHEN p_size >= 70 THEN 'B' WHEN p_size >= 60 THEN 'C' WHEN p_size >= 50 THEN 'D' ELSE 'F' END AS grade,
+repeat('█', p_size * 20 // 100) || repeat('░', 20 - p_size * 20 // 100) AS bar FROM part""")
+def _(spark, d):
+    p = star.read(spark, d, "part")
+    return p.select("p_partkey", fn.exact_key(F.col("p_name")).alias("exact_key"), fn.normalized_key(F.col("p_name")).alias("normalized_key"), fn.safe_id(F.col("p_type")).alias("safe_id"), fn.truncated(F.col("p_name"), 6).alias("short"), fn.grade(F.col("p_size")).alias("grade"), fn.bar(F.col("p_size")).alias("bar"))

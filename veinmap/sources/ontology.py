@@ -80,7 +80,7 @@ def load_ontology(spark: SparkSession, path: str) -> Ontology:
 def load_graph(spark: SparkSession, path: str) -> Graph:
     """Reads nodes and relationships (or ``rels``) of one graph file."""
     raw = spark.read.json(path, multiLine=True)
-    lists = [F.col(c) for c in ("relationships", "rels") if c in raw.columns]
+    lists = [F.col(c) for c in ("relationships", "rels") if dict(raw.dtypes).get(c, "").startswith("array")]
     edges = raw.select(F.posexplode(F.coalesce(*lists)).alias("pos", "e")).select(F.col("pos").cast("long"), "e.*")
     return Graph(raw.select(F.posexplode("nodes").alias("pos", "n")).select(F.col("pos").cast("long"), "n.*"), edges)
 
