@@ -360,3 +360,112 @@ repeat('█', p_size * 20 // 100) || repeat('░', 20 - p_size * 20 // 100) AS b
 def _(spark, d):
     p = star.read(spark, d, "part")
     return p.select("p_partkey", fn.exact_key(F.col("p_name")).alias("exact_key"), fn.normalized_key(F.col("p_name")).alias("normalized_key"), fn.safe_id(F.col("p_type")).alias("safe_id"), fn.truncated(F.col("p_name"), 6).alias("short"), fn.grade(F.col("p_size")).alias("grade"), fn.bar(F.col("p_size")).alias("bar"))
+
+
+@_query("s04_graph_nodes", f"WITH {_GRAPH} SELECT id, name, type FROM nodes")
+def _(spark, d):
+    return star.graph(spark, d).nodes
+
+
+@_query("s08_counts", "SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier")
+def _(spark, d):
+    counted = [star.read(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("customer", "part", "supplier")]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@_query("s11_page_texts", "SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS n_chars, CAST(len(regexp_extract_all(html, '<h1[^>]*>')) AS INTEGER) AS n_headings FROM pages")
+def _(spark, d):
+    bare = F.regexp_replace("html", "<[^>]*>", "")
+    return star.read(spark, d, "pages").select("page_id", F.length(bare).cast("long").alias("n_chars"), F.regexp_count("html", F.lit("<h1[^>]*>")).alias("n_headings"))
+
+
+@_query("k02_csv_classes", f"WITH {_CLASSES} SELECT pos, name, coalesce(comment, '') AS comment FROM classes")
+def _(spark, d):
+    return sinks.csv_classes(star.ontology(spark, d))
+
+
+@_query("k04_csv_properties", "SELECT * FROM (VALUES (0::BIGINT, 'locatedIn', 'supplier', 'nation'), (1, 'buysFrom', 'customer', ''), (2, 'partOf', '', '')) AS t(pos, name, domain, range)")
+def _(spark, d):
+    return sinks.csv_properties(star.ontology(spark, d))
+
+
+@_query("p04_search_classes", f"WITH {_CLASSES} SELECT 'class' AS match_type, pos, name, comment FROM classes WHERE contains(lower(name), 'eur') OR contains(lower(coalesce(comment, '')), 'eur')")
+def _(spark, d):
+    return query.search(star.ontology(spark, d), "eur", "classes")
+
+
+@_query("p07_first_class", f"WITH {_INDIVIDUALS} SELECT pos, coalesce(class, 'Unknown') AS class FROM individuals")
+def _(spark, d):
+    return star.ontology(spark, d).individuals.select("pos", fn.first_class(F.col("class")).alias("class"))
+
+
+@_query("p11_table_columns", "SELECT * FROM (VALUES ('materials', 6, 1), ('material_properties', 10, 2), ('material_composition', 5, 2), ('literature_sources', 7, 1), ('irradiation_behavior', 8, 1)) AS t(name, n_columns, n_required)")
+def _(spark, d):
+    return spark.createDataFrame([(t, len(f), sum(x.required for x in f)) for t, (f, _) in relational.TABLES.items()], "name string, n_columns int, n_required int")
+
+
+@_query("p13_panel", "SELECT c_custkey, 2 AS n_shown FROM customer")
+def _(spark, d):
+    c = star.read(spark, d, "customer").select("c_custkey", F.create_map(F.lit("name"), F.col("c_name"), F.lit("_x"), F.col("c_mktsegment"), F.lit("segment"), F.col("c_mktsegment")).alias("fields"))
+    return graph.panel(c).select("c_custkey", F.size("fields").alias("n_shown"))
+
+
+@_query("l02_display_limit", f"WITH {_INDIVIDUALS} SELECT pos, name FROM individuals WHERE contains(lower(name), '7') ORDER BY pos LIMIT 20")
+def _(spark, d):
+    return query.displayed(query.search(star.ontology(spark, d), "7", "individuals"), 0)[0].select("pos", "name")
+
+
+@_query("u03_all_properties", "SELECT name FROM (VALUES ('locatedIn'), ('buysFrom'), ('partOf'), ('acctbal'), ('size'), ('')) AS t(name)")
+def _(spark, d):
+    o = star.ontology(spark, d)
+    return o.object_properties.select("name").union(o.datatype_properties.select("name"))
+
+
+@_query("e10_class_names", f"WITH {_CLASSES} SELECT DISTINCT name FROM classes")
+def _(spark, d):
+    return star.ontology(spark, d).classes.select(query.class_label().alias("name")).distinct()
+
+
+@_query("e07_classified_names", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'density' WHEN 1 THEN 'melting_point' WHEN 2 THEN 'thermal_conductivity' ELSE NULL END AS property FROM part""")
+def _(spark, d):
+    name = F.element_at(F.array(*map(F.lit, ("mass density", "the melting point", "thickness", "size"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return star.read(spark, d, "part").select("p_partkey", extract.classify(name).alias("property"))
+
+
+@_query("a17_existing_names", f"WITH {_INDIVIDUALS} SELECT DISTINCT name FROM individuals")
+def _(spark, d):
+    return star.ontology(spark, d).individuals.select("name").distinct()
+
+
+@_query("m07_dedup_relationships", "SELECT min(p_partkey) AS pos, arg_max(p_type, p_partkey) AS context, count(*) - 1 AS n_merged FROM part GROUP BY lower(p_type)")
+def _(spark, d):
+    rel = star.read(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.lit("phase").alias("type"), F.col("p_type").alias("context"))
+    return merge.dedup(rel, "context").select("pos", "context", "n_merged")
+
+
+@_query("m08_full_merge", "SELECT lower('U-' || p_size || 'Mo') AS key, count(*) - 1 AS n_merged FROM part GROUP BY 1")
+def _(spark, d):
+    individuals, _, _ = merge.merge_results(extract.extract(star.reports(spark, d)))
+    return individuals.select(F.lower("name").alias("key"), "n_merged")
+
+
+@_query("m08_merged_properties", "SELECT 'density' AS name, p_size + 0.5::DOUBLE AS value FROM part GROUP BY p_size UNION ALL SELECT 'hardness', CAST(p_size AS DOUBLE) FROM part GROUP BY p_size")
+def _(spark, d):
+    _, properties, _ = merge.merge_results(extract.extract(star.reports(spark, d)))
+    return properties.select("name", "value")
+
+
+@_query("n02_property_stats", f"WITH {_UPDATE} SELECT count(*) FILTER (WHERE name IN (SELECT name FROM e)) AS added_properties, count(*) FILTER (WHERE name NOT IN (SELECT name FROM e)) AS skipped_individuals FROM i WHERE pos % 3 = 0")
+def _(spark, d):
+    existing, items = _existing(spark, d)
+    return update.property_stats(existing, items.where("pos % 3 = 0").select("pos", F.col("name").alias("individual"), F.lit("mass").alias("name"), F.lit("1").alias("value")))
+
+
+@_query("f06_text_measures", "SELECT doc_id, CAST(length(text) AS INTEGER) AS char_count, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS line_count FROM documents")
+def _(spark, d):
+    return star.read(spark, d, "documents").select("doc_id", fn.char_count(F.col("text")).alias("char_count"), fn.line_count(F.col("text")).alias("line_count"))
+
+
+@_query("f13_similarity", None)
+def _(spark, d):
+    return star.read(spark, d, "part").select("p_partkey", fn.similarity(F.lower("p_name"), F.lower("p_type")).alias("ratio"))
