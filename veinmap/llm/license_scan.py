@@ -127,3 +127,28 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         F.array_join(F.sort_array("base"), ",").alias("base_labels"), F.array_join(F.sort_array(F.array_union("base", more)), ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(share).alias("score"), F.coalesce("found", F.array().cast("array<struct<label:string,share:double,first:int,last:int>>")).alias("spans"),
     )
+
+
+def oracle() -> str:
+    phrases = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, i FROM p WHERE {' AND '.join(f'w[i + {k + 1}] = ' + chr(39) + x + chr(39) for k, x in enumerate(phrase.split(' ')))}" for phrase, label in PHRASES.items())
+    templates = ", ".join(f"('{label}', string_split('{text}', ' '))" for label, text in TEMPLATES.items())
+    gram = lambda w, i: " || ' ' || ".join(f"{w}[{i} + {k + 1}]" for k in range(GRAM))
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d),
+base AS ({phrases}),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY doc_id),
+t(label, t) AS (VALUES {templates}),
+tg AS (SELECT label, i, {gram("t", "i")} AS g FROM (SELECT label, t, unnest(range(len(t) - {GRAM - 1})) AS i FROM t)),
+dg AS (SELECT doc_id, i, {gram("w", "i")} AS g FROM p WHERE i <= len(w) - {GRAM}),
+diagonals AS (SELECT DISTINCT doc_id, label, dg.i - tg.i AS k FROM dg JOIN tg USING (g)),
+f AS (SELECT *, coalesce(k - lag(k) OVER (PARTITION BY doc_id, label ORDER BY k) > {NEAR}, true) AS fresh FROM diagonals),
+s AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY doc_id, label ORDER BY k) AS span FROM f),
+hits AS (SELECT doc_id, label, span, count(DISTINCT i) AS n, any_value(len(t)) AS size FROM (SELECT doc_id, label, span, k, t, unnest(range(len(t))) AS i FROM s JOIN t USING (label)) JOIN d USING (doc_id) WHERE i + k >= 0 AND w[i + k + 1] = t[i + 1] GROUP BY ALL),
+l AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / size) AS share FROM hits WHERE n / size >= {LEAST} GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(l.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id)
+"""

@@ -43,7 +43,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +59,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_fingerprints, op6_packing, op7_license_scan, op8_near_duplicates, op9_bpe, op10_chat_format)}
-ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op8_near_duplicates": near_dup.oracle(), "op10_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op4_suffix_dedup": suffix_dedup.ORACLE, "op7_license_scan": license_scan.oracle(), "op8_near_duplicates": near_dup.oracle(), "op10_chat_format": chat.ORACLE}

@@ -295,3 +295,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_rows(named.join(places, "text_id", "left"), ["doc_id", "text", "places"], f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string", start)
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), {2 * DEPTH})) AS s FROM (SELECT doc_id, h, unnest(range(n - {DEPTH - 1})) AS i FROM d WHERE n >= {DEPTH})),
+r AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT s FROM w GROUP BY s HAVING count(*) > 1) AS t ON w.s = t.s),
+f AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {DEPTH}, true) AS fresh FROM r),
+g AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + {DEPTH} AS b FROM g GROUP BY doc_id, k),
+ends AS (SELECT doc_id, b AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000) AS b FROM (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, -1, 0 FROM d)),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a) AS h FROM ends JOIN d USING (doc_id) GROUP BY doc_id),
+m AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
