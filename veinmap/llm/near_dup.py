@@ -27,7 +27,7 @@ SIDE, HALF = 12, 2
 #: Documents of a block.
 BLOCK = 256
 #: Words whose hashes a worker keeps.
-MEMO = 300_000
+MEMO = 100_000
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 

@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinmap.llm.common import cut, join_few, map_rows
+from veinmap.llm.common import ROWS_AT_ONCE, cut, join_few, map_rows
 
 DEPTH, GRAM = 200, 24
 #: Starts of a run at most, and so the bits of ``place`` for their number.
 RUN = DEPTH - GRAM + 1
 #: Bytes of a block, about.
-BLOCK = 2_000_000
+BLOCK = 500_000
 HOT = 20_000
 #: A perfect difference set modulo PERIOD: any two positions reach it by one common shift.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -260,11 +260,13 @@ def drop_repeats(docs: DataFrame, text_col: str = "text", hot: int = HOT) -> Dat
     column = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            texts, all_places = batch.column(column).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            left = [without(t.encode(), p)[0].decode(errors="ignore") if t and p else t for t, p in zip(texts, all_places, strict=True)]
-            columns = [pa.array(left, pa.string()) if i == column else c for i, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                texts, all_places = batch.column(column).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+                left = [without(t.encode(), p)[0].decode(errors="ignore") if t and p else t for t, p in zip(texts, all_places, strict=True)]
+                columns = [pa.array(left, pa.string()) if i == column else c for i, c in enumerate(batch.columns[:-1])]
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
     return joined.select(*docs.columns, "__places").mapInArrow(run, docs.schema)
 

@@ -23,7 +23,7 @@ _ENDS = bytes.maketrans(b".!?;\r", b"\n\n\n\n\n")
 #: Left out of words.
 _MARKS = b"\"'#$%&()*+,-/:<=>@[\\]^_`{|}~0123456789"
 #: Words whose weights a worker keeps.
-MEMO = 300_000
+MEMO = 100_000
 
 
 def sentences(text: str | None) -> list[list[bytes]]:
@@ -32,7 +32,7 @@ def sentences(text: str | None) -> list[list[bytes]]:
     return [w for s in raw.split(b"\n") if (w := s.split())]
 
 
-@lru_cache(maxsize=MEMO)
+@lru_cache(maxsize=MEMO // 2)
 def buckets(word: bytes) -> tuple[int, ...]:
     """Of the word and of its first four and five letters: insults are inflected and compounded."""
     letters = word.decode(errors="replace")
@@ -119,7 +119,7 @@ def scorer(model: tuple[np.ndarray, np.ndarray, float]):
         def __missing__(self, word: bytes) -> float:
             if len(self) >= MEMO:
                 self.clear()
-            self[word] = w = sum(known.get(b, 0.0) for b in buckets(word))
+            self[word] = w = sum(known.get(b, 0.0) for b in buckets.__wrapped__(word))
             return w
 
     weight = Memo().__getitem__
