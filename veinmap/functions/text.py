@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,13 +77,11 @@ def first_class(classes: Column) -> Column:
 
 def _mapped(f, kind: T.DataType, *columns: Column) -> Column:
     """``f`` of the columns' values, Arrow batch by Arrow batch; null where one of them is null."""
-    import pandas as pd
 
     def run(*series: pd.Series) -> pd.Series:
         return pd.Series([None if any(v is None or v != v for v in row) else f(*row) for row in zip(*series)], dtype="object")
 
-    typed = {1: lambda a: run(a), 2: lambda a, b: run(a, b)}[len(columns)]
-    return F.pandas_udf(typed, kind, F.PandasUDFType.SCALAR)(*columns)
+    return F.pandas_udf(run, kind)(*columns)
 
 
 def _ratio(a: str, b: str) -> float:
