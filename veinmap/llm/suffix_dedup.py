@@ -212,14 +212,15 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     long_enough = docs.where(F.octet_length("text") >= DEPTH)
     by_doc = cut(map_rows(long_enough, ["text_id", "text"], "text_id long, gram array<long>, sign array<long>, place array<long>", start))
     runs = by_doc.select("text_id", F.explode(F.arrays_zip("gram", "sign", "place")).alias("r")).select("text_id", "r.gram", "r.sign", "r.place")
-    often = by_doc.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that both sides of a join have their own exchange and a hot key's rows can be split
+    often = cut(by_doc.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     runs = cut(runs.join(often, "gram", "left_semi"))
 
     kinds = runs.groupBy("gram", "sign").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "place")).alias("one"))
     kinds = cut(kinds)
     settled = runs.join(kinds.where("n > 1").select("gram", "sign"), ["gram", "sign"], "left_semi").select("text_id", "place")
 
-    buckets = kinds.groupBy("gram").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1")
+    buckets = cut(kinds.groupBy("gram").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1"))
     left = kinds.join(buckets, "gram").select("gram", "n_kinds", (F.col("n") > 1).alias("settled"), "one.text_id", "one.place")
     wanted = cut(left.groupBy("text_id").agg(F.collect_list(F.struct("gram", "n_kinds", "settled", "place")).alias("wanted")))  # a text's own runs
     texts = join_few(docs, wanted.select("text_id"), "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
@@ -231,7 +232,7 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         each = each.select("text_id", "place", "settled", F.md5(_bytes()).alias("string"))
         twice = each.groupBy("string").agg((F.count("*") + F.max(F.col("settled").cast("int"))).alias("n")).where("n > 1").select("string")
         found = found.union(each.where(~F.col("settled")).join(twice, "string", "left_semi").select("text_id", "place"))
-    return found.groupBy("text_id").agg(F.collect_set("place").alias("places"))  # a text's own runs
+    return cut(found.groupBy("text_id").agg(F.collect_set("place").alias("places")))  # a text's own runs
 
 
 def without(raw: bytes, places: list[int] | None) -> tuple[bytes, int]:
