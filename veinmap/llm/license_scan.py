@@ -119,7 +119,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     every = F.concat(*(F.col(f"p{i}") for i in range(len(PHRASES))))
     labels = F.array_distinct(F.array_compact(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())))))
     base = places.select("doc_id", "text_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), labels.alias("base"))
-    rows = base.join(found, "text_id", "left")
+    rows = join_few(base, cut(found), "text_id", "left")  # written: a hot text's rows can be split
     more = F.coalesce(F.transform("found", lambda s: s["label"]), F.array().cast("array<string>"))
     share = F.coalesce(F.array_max(F.transform("found", lambda s: s["share"])), F.lit(0.0))
     return rows.select(
