@@ -1,5 +1,6 @@
 import json
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from veinmap import cli
 from veinmap.functions import text as fn
 from veinmap.operators import extract, graph, merge, quality, query, relational, segment, sinks, update
+from veinmap.plans import catalog
 from veinmap.sources.ontology import default_path, load_graph, load_ontology, load_rows
 
 
@@ -251,3 +253,37 @@ def test_scalar_functions(spark):
     df = spark.createDataFrame([("\x1c  a-B_c \n", 0.35, "tide", "diet")], "s string, x double, a string, b string")
     r = df.select(fn.strip(F.col("s")), fn.normalized_key(F.col("s")), fn.rounded(F.col("x")), fn.printed(F.lit(1e16)), fn.similarity(F.col("a"), F.col("b")), fn.similarity(F.col("b"), F.col("a")), fn.truncated(F.lit("abcdef"), 3), fn.bar(F.lit(50)), fn.line_count(F.lit("a\nb"))).first()
     assert tuple(r) == ("a-B_c", "abc", 0.3, "1e+16", 0.25, 0.5, "abc…", "█" * 10 + "░" * 10, 2)
+
+
+def greedy(rows, threshold=0.85):
+    """(pos, key, value) -> the fold over all rows in order: (pos, key, value, n_merged) with latest."""
+    like = lambda a, b: a == b or SequenceMatcher(None, a, b).ratio() >= threshold
+    slots, at = [], {}
+    for r in rows:
+        k = r[1].strip().lower()
+        match = next((s for s in at if like(k, s)), None)
+        if match is None:
+            at[k] = len(slots)
+            slots.append([r[0], r, 0])
+            continue
+        slots[at[match]][2] += 1
+        hit = next((s for s in slots if like(s[1][1].strip().lower(), match)), None)
+        if hit:
+            hit[1] = r
+    return sorted((first, r[1], r[2], n) for first, r, n in slots)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.85, 1.0])
+def test_fuzzy_against_a_fold_over_all_rows(spark, threshold):
+    rng = random.Random(int(threshold * 100))
+    rows = [(i, "".join(rng.choice("abcA ") for _ in range(rng.randint(1, 8))) + rng.choice(["", " alloy"]), str(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "pos long, name string, source string").repartition(5)
+    got = sorted((r.pos, r.name, r.source, r.n_merged) for r in merge.dedup_fuzzy(df, threshold=threshold).collect())
+    assert got == greedy(rows, threshold)
+
+
+def test_fuzzy_query_takes_all_rows(spark):
+    d = "/root/testdata/sf0.001"
+    rows = sorted((r.p_partkey, r.p_name, r.p_brand) for r in spark.read.parquet(f"{d}/part.parquet").collect())
+    got = sorted((r.pos, r.name, r.source, r.n_merged) for r in catalog.QUERIES["m03_dedup_fuzzy"](spark, d).collect())
+    assert got == greedy(rows) and sum(r[3] + 1 for r in got) == len(rows)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from veinmap.operators.links import components, cut
+
 #: Rows handled at a time inside a task, whatever the size of Arrow's batches.
 ROWS_AT_ONCE = 256
 
@@ -57,19 +58,6 @@ def keep_rows(df: DataFrame, column: str, start: Callable[[], Callable[[list], l
     return df.mapInArrow(run, df.schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written to the shared folder of ``spark.checkpoint.dir`` and read again.
-
-    Lost executors then cost no recomputation, and Python stages before it run once.  Where the
-    setting is absent (tests), a folder of the session's warehouse takes its place.
-    """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: A side with at most so many narrow rows (of up to some 100 bytes) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -80,30 +68,6 @@ def join_few(many: DataFrame, few: DataFrame, on: str, how: str = "inner") -> Da
     return many.join(F.broadcast(few) if n <= BROADCAST_ROWS else few, on, how)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``a``, ``b`` (links between longs) -> node, component (the smallest node reachable).
-
-    Each round hooks every node to its smallest neighbour, follows the hooks to their ends and
-    contracts the links, so rounds grow with the logarithm of the nodes.  Rows are small and stay
-    distributed; each round is written, which cuts lineage.
-    """
-    edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    nodes = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("component")))
-    while not edges.isEmpty():
-        up = cut(edges.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("up")))  # a hook leads to a smaller node: no cycles
-        while True:
-            over = up.select(F.col("x").alias("up"), F.col("up").alias("over"))
-            step = cut(up.join(over, "up", "left").select("x", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")))
-            up = step.select("x", "up")
-            if step.where("moved").isEmpty():
-                break
-        end = lambda c: up.select(F.col("x").alias(c), F.col("up").alias(f"{c}_up"))
-        nodes = cut(nodes.join(end("component"), "component", "left").select("node", F.coalesce("component_up", "component").alias("component")))
-        moved = edges.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b"))
-        edges = cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return nodes
-
-
 def sorted_groups(df: DataFrame, key: str, order: list[str], columns: list[str], ddl: str, start: Callable[[], Callable[..., list[list]]]) -> DataFrame:
     """Maps the rows of each ``key`` (a bounded group) to rows of ``ddl``, groups streaming through a task.
 

@@ -2,15 +2,22 @@
 
 Items carry ``pos`` (their order).  Exact and normalized keys shuffle once by key; items without a
 key pass around the shuffle, so a hot empty key costs nothing.  Fuzzy matching depends on the order
-of all items; it is a fold over the distinct keys of a block.
+of all items; it is a fold inside each component of similar keys.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from difflib import SequenceMatcher
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinmap.functions.text import exact_key, normalized_key, rounded
+from veinmap.operators.links import components, cut
 
 
 def _split(items: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -47,45 +54,160 @@ def dedup(items: DataFrame, key: str = "name", strategy: str = "exact", conflict
     return kept.unionByName(bare.withColumn("n_merged", F.lit(0).cast("long")))
 
 
-def dedup_fuzzy(items: DataFrame, key: str = "name", threshold: float = 0.85, conflict: str = "latest", block: Column | None = None) -> DataFrame:
-    """Greedy matching by similarity in the order of pos; exact for ``block=None``, where all rows meet in one fold.
+def _ratio_reaches(a: str, b: str, threshold: float) -> bool:
+    return a == b or SequenceMatcher(None, a, b).ratio() >= threshold
+
 
-    A block (a column) makes it parallel, and approximate: items of different blocks never match.
+def _letters(k: str, threshold: float) -> list[str]:
+    """The rarest of a key's numbered characters: similar keys share one.
+
+    A ratio of ``threshold`` needs 2 M >= threshold * (a + b) equal characters, so M is at least
+    a * threshold / (2 - threshold) of either length, and the rest plus one in any fixed order
+    meets what is common.
     """
-    full, bare = _split(items, key)
-    columns = items.columns
+    if threshold > 1:
+        return []
+    seen: dict[str, int] = {}
+    own = []
+    for c in k:
+        seen[c] = seen.get(c, 0) + 1
+        own.append((-seen[c], _COMMON.find(c), c))
+    most = len(k) - math.ceil(len(k) * threshold / (2 - threshold) - 1e-9) + 1
+    return [f"{-n}{c}" for n, _, c in sorted(own)[:most]]
+
+
+#: Letters from rare to common; others come first.
+_COMMON = "zqjxkvbpgywfmucldrhsniota e"
+
+
+def _similar(keys: DataFrame, threshold: float) -> DataFrame:
+    """__b, x, y: pairs of different keys of a block whose ratio, either way, reaches ``threshold``."""
+
+    def letters(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: _letters(k, threshold))
+
+    def size(keys: pd.Series) -> pd.Series:
+        return keys.map(len)
 
-    def fold(pdf):
-        from difflib import SequenceMatcher
+    rows = cut(keys.select("__b", "__k", F.pandas_udf(letters, "array<string>")("__k").alias("letters"), F.pandas_udf(size, "int")("__k").alias("size")))
+    shared = rows.select("__b", F.explode("letters").alias("letter"), "size", "__k")
+    least = F.ceil(F.col("size") * (threshold / (2 - threshold) if threshold <= 1 else 1) - 1e-9).cast("int")
+    longer = shared.select("__b", "letter", F.explode(F.sequence(F.least(least, F.col("size")), F.col("size"))).alias("size"), F.col("__k").alias("other"))
+    pairs = shared.join(longer, ["__b", "letter", "size"]).where("__k <> other").select("__b", F.least("__k", "other").alias("x"), F.greatest("__k", "other").alias("y")).distinct()
 
-        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
-        keys = [str(x).strip().lower() for x in pdf[key]]
-        like = lambda a, b: a == b or SequenceMatcher(None, a, b).ratio() >= threshold
+    def reaches(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(a, b):
+            need = threshold * (len(a) + len(b)) / 2 - 1e-9
+            common = sum((Counter(a) & Counter(b)).values())
+            return common >= need and (_ratio_reaches(a, b, threshold) or _ratio_reaches(b, a, threshold))
+
+        return pd.Series([one(a, b) for a, b in zip(x, y)], dtype=bool)
+
+    return pairs.where(F.pandas_udf(reaches, "boolean")("x", "y"))
+
+
+def _folded(rows: DataFrame, order: str, ddl: str, start) -> DataFrame:
+    """Maps rows (__b, __c, ...) in order inside each component; rows stream, only the fold's state is held.
+
+    ``start`` gives two functions: of a row, and of the end; both give rows of ``ddl``.
+    """
+    names = [f.split(" ")[0] for f in ddl.split(", ")]
+
+    def run(batches):
+        now, each, end = None, None, None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False, name=None):
+                if r[:2] != now:
+                    out += end() if end else []
+                    now, (each, end) = r[:2], start(r[0])
+                out += each(*r[2:])
+            yield pd.DataFrame(out, columns=names)
+        if end:
+            yield pd.DataFrame(end(), columns=names)
+
+    return rows.repartition("__b", "__c").sortWithinPartitions("__b", "__c", order).mapInPandas(run, ddl)
+
+
+def _leaders(keys: DataFrame, threshold: float) -> DataFrame:
+    """__b, __c, __k, leader, several: of keys like another, their component and leader, and whether it has several."""
+    if threshold > 0:
+        node = lambda c: F.xxhash64("__b", c)
+        links = _similar(keys, threshold).select(node("x").alias("a"), node("y").alias("b"))
+        # equal hashes only put components together: the fold compares the keys
+        parts = keys.withColumn("node", node("__k")).join(components(links), "node").select("__b", F.col("component").alias("__c"), "__first", "__k")
+    else:
+        parts = keys.select("__b", F.lit(0).cast("long").alias("__c"), "__first", "__k")
+
+    def start(b):
         leaders: list[str] = []
-        places: list[int] = []
-        content: list[int] = []
-        merged: list[int] = []
-        at_leader: dict[str, int] = {}
-        for i, k in enumerate(keys):
-            match = next((s for s in leaders if like(k, s)), None)
+
+        def each(first, k):
+            match = next((s for s in leaders if _ratio_reaches(k, s, threshold)), None)
             if match is None:
-                at_leader[k] = len(places)
                 leaders.append(k)
-                places.append(i)
-                content.append(i)
-                merged.append(0)
-                continue
-            merged[at_leader[match]] += 1
-            if conflict == "latest" and (hit := next((p for p, c in enumerate(content) if like(keys[c], match)), None)) is not None:
-                content[hit] = i
-        out = pdf.iloc[content].reset_index(drop=True)
-        out["pos"] = pdf["pos"].iloc[places].to_numpy()
-        out["n_merged"] = merged
-        return out[[*columns, "n_merged"]]
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", n_merged long"
-    grouped = full.withColumn("__b", block if block is not None else F.lit(0))
-    kept = grouped.groupBy("__b").applyInPandas(lambda pdf: fold(pdf.drop(columns="__b")), ddl)
+            return [(b, k, k if match is None else match)]
+
+        return each, list
+
+    found = cut(_folded(parts, "__first", "__b string, __k string, leader string", start).join(parts.select("__b", "__k", "__c"), ["__b", "__k"]))
+    several = found.groupBy("__b", "__c").agg((F.countDistinct("leader") > 1).alias("several"))
+    return cut(found.join(several, ["__b", "__c"]))
+
+
+def _latest(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows (__b, __c, pos, __k, leader) of components -> __b, leader, __k, pos: the item each leader's place ends with.
+
+    An item takes the first place whose content is like its leader; that may be another leader's.
+    """
+    pos = rows.schema["pos"].dataType.simpleString()
+
+    def start(b):
+        at: dict[str, int] = {}
+        content: list[tuple] = []
+        like = lru_cache(maxsize=1 << 18)(lambda a, c: _ratio_reaches(a, c, threshold))
+
+        def each(pos, k, leader):
+            if leader not in at:
+                at[leader] = len(content)
+                content.append((k, pos))
+            elif (hit := next((i for i, (c, _) in enumerate(content) if like(c, leader)), None)) is not None:
+                content[hit] = (k, pos)
+            return []
+
+        return each, lambda: [(b, s, *content[i]) for s, i in at.items()]
+
+    return _folded(rows, "pos", f"__b string, leader string, __k string, pos {pos}", start)
+
+
+def dedup_fuzzy(items: DataFrame, key: str = "name", threshold: float = 0.85, conflict: str = "latest", block: Column | None = None) -> DataFrame:
+    """Greedy matching by similarity in the order of pos, exact for ``block=None``.
+
+    A key's leader depends on the distinct keys and their first places only; keys like no other
+    never meet.  Where a component of similar keys has one leader, its last item is the latest;
+    where it has several, its items are folded in order, in one task a component.  A block (a
+    column) is approximate: items of different blocks never match.
+    """
+    full, bare = _split(items, key)
+    columns = [c for c in items.columns if c != "pos"]
+    row = F.struct("pos", *columns)
+
+    def lowered(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda x: str(x).strip().lower())
+
+    side = F.lit("") if block is None else F.coalesce(F.concat(F.lit("b"), block.cast("string")), F.lit(""))
+    named = full.withColumn("__b", side).withColumn("__k", F.pandas_udf(lowered, "string")(F.col(key)))
+    keys = cut(named.groupBy("__b", "__k").agg(F.min("pos").alias("__first"), F.max("pos").alias("__last"), F.count("*").alias("__n"), F.min_by(row, "pos").alias("__head"), F.max_by(row, "pos").alias("__tail")))
+    leaders = _leaders(keys.select("__b", "__k", "__first"), threshold)
+    led = keys.join(leaders.select("__b", "__k", "leader"), ["__b", "__k"], "left").withColumn("leader", F.coalesce("leader", "__k"))
+    kept = led.groupBy("__b", "leader").agg(F.min("__first").alias("__first"), (F.sum("__n") - 1).alias("n_merged"), F.min_by("__head", "__first").alias("__head"), F.max_by("__tail", "__last").alias("__tail"))
+    if conflict == "latest":
+        rows = named.join(leaders.where("several"), ["__b", "__k"]).select("__b", "__c", "pos", "__k", "leader")
+        last = named.select("__b", "__k", "pos", row.alias("__own")).join(cut(_latest(rows, threshold)), ["__b", "__k", "pos"]).select("__b", "leader", "__own").dropDuplicates(["__b", "leader"])
+        kept = kept.join(last, ["__b", "leader"], "left").withColumn("__row", F.coalesce("__own", "__tail"))
+    else:
+        kept = kept.withColumn("__row", F.col("__head"))
+    kept = kept.select(F.col("__first").alias("pos"), *(F.col("__row")[c].alias(c) for c in columns), "n_merged")
     return kept.unionByName(bare.withColumn("n_merged", F.lit(0).cast("long")))
 
 

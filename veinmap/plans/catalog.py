@@ -268,8 +268,7 @@ def _(spark, d):
 
 @_query("m03_dedup_fuzzy", None)
 def _(spark, d):
-    names = star.results(spark, d).groupBy("name").agg(F.min("pos").alias("pos"), F.min_by("source", "pos").alias("source"))
-    return merge.dedup(names.select("pos", "name", "source"), strategy="fuzzy").select("pos", "name", "source", "n_merged")
+    return merge.dedup(star.results(spark, d), strategy="fuzzy").select("pos", "name", "source", "n_merged")
 
 
 @_query("m05_merge_conflict", f"WITH {_ITEMS} SELECT min(pos) AS pos, arg_min(name, pos) AS name, CAST(arg_min(size, pos) AS VARCHAR) AS size, CAST(count(DISTINCT source) + 1 AS INTEGER) AS n_attrs FROM items GROUP BY lower(trim(name))")
