@@ -59,3 +59,32 @@ def test_spans_are_merged_and_verified(spark, text, labels):
     r = ls.scan(df).first()
     assert r.labels == labels == brute(text)[5]
     assert 0 <= r.score <= 1 and (r.score > 0) == bool(labels)
+
+
+LONG = ls.TEMPLATES["bsd"].split(" ")
+EDITED = [
+    ("Licensed under the Apache License, Version 2.1", "apache"),
+    ("Licensed under the Apache Licence, Version 2.0", "apache"),
+    ("Licensed under the Apache Software License, Version 2.0", "apache"),
+    ("under the Apache License, Version 2.0", "apache"),
+    ("under the Apache License", ""),
+    ("the Apache License", ""),
+    ("licensed under the mozilla license version 2 0", ""),
+    ("Licensed under CC-BY-NC 3.0", "cc-by,cc-by-nc"),
+    ("Licensed under CC-BY-SA 3.0", "cc-by,cc-by-sa"),
+    ("Licensed under CC-BY-ND 4.0", "cc-by"),
+    ("Released under an MIT license", "mit"),
+    ("Released under MIT license", "mit"),
+    ("released under the terms of the MIT license", "mit"),
+    ("released under the bsd license", ""),
+    (" ".join([*LONG[:10], *"a b c d e f".split(), *LONG[10:]]), "bsd"),
+    (" ".join([*LONG[:10], *"a b c d e f".split(), *LONG[14:]]), ""),
+    (" ".join([*LONG[10:], *"a b c d e f".split(), *LONG[:10]]), ""),
+]
+
+
+def test_edited_inserted_and_truncated_notices(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(EDITED)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in ls.scan(df).collect()}
+    assert [got[i][0] for i in range(len(EDITED))] == [labels for _, labels in EDITED]
+    assert all((score > 0) == bool(labels) for labels, score in got.values())

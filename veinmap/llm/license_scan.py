@@ -3,8 +3,10 @@
 Every rolling word k-gram of the corpus is hashed and joined with the k-grams of known license
 texts.  A hit at word ``p`` of a document and ``t`` of a template votes for the diagonal p - t.
 Votes are counted by diagonal, neighbouring diagonals (an insertion or deletion shifts the rest of
-a notice by a few words) are merged into spans, and spans are verified word by word.  Expressions
-and joins only; no Python runs on executors.
+a notice by a few words) are merged into spans, spans that follow each other in text and template
+are joined, and they are verified word by word.  Short templates may differ in one word, but not in
+the one that names the license; pairs of words with it vote too, as an edit may leave no k-gram.
+Expressions and joins only; no Python runs on executors.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ GRAM = 4
 NEAR = 3
 #: Share of a template's words that verifies it.
 LEAST = 0.88
+#: Words that a short template's notice must hold; then one of its other words may differ.
+NAMING = {"apache": "apache", "cc-by-nc": "nc", "cc-by-sa": "sa", "mit": "mit"}
 
 #: Label and words of license notices.
 TEMPLATES = {
@@ -67,37 +71,68 @@ def template_grams(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return rows.select("label", F.posexplode(_grams(F.col("words"))).alias("t", "gram"))
 
 
+def naming_pairs(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """label, t, gram: of pairs of words with a short template's naming word."""
+    rows = [(label, t, *text.split(" ")[t : t + 2]) for label, text in templates.items() if label in NAMING for t in range(len(text.split(" ")) - 1) if NAMING[label] in text.split(" ")[t : t + 2]]
+    return spark.createDataFrame(rows, "label string, t int, a string, b string").select("label", "t", F.xxhash64("a", "b").alias("gram"))
+
+
 def _grams(words: Column) -> Column:
     gram = lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(GRAM)))
     return F.when(F.size(words) >= GRAM, F.transform(F.sequence(F.lit(0), F.size(words) - GRAM), gram)).otherwise(F.array().cast("array<long>"))
 
 
+def _pairs(words: Column) -> Column:
+    """(p, gram) of the text's pairs of words with a naming word."""
+    names = sorted(set(NAMING.values()))
+    near = lambda i: F.get(words, i).isin(names) | F.get(words, i + 1).isin(names)
+    some = (F.size(words) >= 2) & F.arrays_overlap(words, F.array(*map(F.lit, names)))
+    return F.when(some, F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), near), lambda i: F.struct(i.alias("p"), F.xxhash64(F.get(words, i), F.get(words, i + 1)).alias("gram"))))
+
+
 def spans(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """docs (text_id, words) -> text_id, label, first, last (words), votes, diagonals: candidate spans.
 
-    Equal texts share their spans; hits of copies are one hit.
+    Equal texts share their spans; hits of copies are one hit.  A span continues the one before it
+    if it starts after it in text and template, at most the template's length of words further on.
     """
-    grams = template_grams(docs.sparkSession, templates or TEMPLATES)
+    spark, texts = docs.sparkSession, templates or TEMPLATES
+    grams = template_grams(spark, texts)
     rolled = docs.select("text_id", F.posexplode(_grams(F.col("words"))).alias("p", "gram"))
-    hits = rolled.join(F.broadcast(grams), "gram").select("text_id", "label", "p", (F.col("p") - F.col("t")).alias("diagonal")).distinct()
-    votes = hits.groupBy("text_id", "label", "diagonal").agg(F.count("*").alias("votes"), F.min("p").alias("first"), (F.max("p") + (GRAM - 1)).alias("last"))
+    hits = rolled.join(F.broadcast(grams), "gram").select("text_id", "label", "p", (F.col("p") - F.col("t")).alias("diagonal"), (F.col("p") + (GRAM - 1)).alias("end"))
+    paired = docs.select("text_id", F.inline(_pairs(F.col("words")))).join(F.broadcast(naming_pairs(spark, texts)), "gram").select("text_id", "label", "p", (F.col("p") - F.col("t")).alias("diagonal"), (F.col("p") + 1).alias("end"))
+    votes = hits.union(paired).distinct().groupBy("text_id", "label", "diagonal").agg(F.count("*").alias("votes"), F.min("p").alias("first"), F.max("end").alias("last"))
     line = Window.partitionBy("text_id", "label").orderBy("diagonal")  # a text's own diagonals
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line) > NEAR, F.lit(True)).cast("int")
     named = votes.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return named.groupBy("text_id", "label", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("votes").alias("votes"), F.collect_set("diagonal").alias("diagonals")).drop("span")
+    t = F.struct((F.col("first") - F.col("diagonal")).alias("from"), (F.col("last") - F.col("diagonal")).alias("to"))
+    whole = named.withColumn("t", t).groupBy("text_id", "label", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("votes").alias("votes"), F.collect_set("diagonal").alias("diagonals"), F.min("t.from").alias("from"), F.max("t.to").alias("to"))
+    sizes = F.create_map(*(F.lit(x) for label, text in texts.items() for x in (label, len(text.split(" ")))))
+    order = Window.partitionBy("text_id", "label").orderBy("first", "last", "span")  # a text's own spans
+    gap = F.col("first") - F.lag("last").over(order)
+    follows = (gap > 0) & (gap <= F.element_at(sizes, F.col("label")) + 1) & (F.col("from") > F.lag("to").over(order))
+    joined = whole.withColumn("fresh", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return joined.groupBy("text_id", "label", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("votes").alias("votes"), F.flatten(F.collect_list("diagonals")).alias("diagonals")).drop("part")
 
 
 def verified(docs: DataFrame, candidates: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """text_id, found: array of (label, share, first, last) of spans with enough of a template's words on their diagonals."""
-    texts = docs.sparkSession.createDataFrame([(label, text.split(" ")) for label, text in (templates or TEMPLATES).items()], "label string, template array<string>")
+    """text_id, found: array of (label, share, first, last) of spans with enough of a template's words on their diagonals.
+
+    Of a short template (``NAMING``) one word may be missing, and words count up to ``NEAR`` off a diagonal.
+    """
+    texts = docs.sparkSession.createDataFrame([(label, text.split(" "), NAMING.get(label)) for label, text in (templates or TEMPLATES).items()], "label string, template array<string>, naming string")
     own = candidates.groupBy("text_id").agg(F.collect_list(F.struct("label", "first", "last", "diagonals")).alias("spans"))
     own = cut(own)
     rows = join_few(docs, own.select("text_id"), "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
     rows = rows.join(own, "text_id").select("text_id", words_of(F.col("text")).alias("words"), F.col("spans"))
     rows = rows.select("text_id", "words", F.inline("spans")).join(F.broadcast(texts), "label")
+    wide = F.array_distinct(F.flatten(F.transform("diagonals", lambda d: F.sequence(d - NEAR, d + NEAR))))
+    rows = rows.withColumn("diagonals", F.when(F.col("naming").isNotNull(), wide).otherwise(F.col("diagonals")))
     stands = lambda t: F.exists("diagonals", lambda d: F.coalesce((t + d >= 0) & (F.get(F.col("words"), F.greatest(t + d, F.lit(0))) == F.get(F.col("template"), t)), F.lit(False)))
-    share = F.size(F.filter(F.sequence(F.lit(0), F.size("template") - 1), stands)) / F.size("template")
-    rows = rows.select("text_id", "label", "first", "last", share.alias("share")).where(F.col("share") >= least)
+    rows = rows.withColumn("stand", F.filter(F.sequence(F.lit(0), F.size("template") - 1), stands))
+    share = F.size("stand") / F.size("template")
+    edited = F.col("naming").isNotNull() & (F.size("stand") >= F.size("template") - 1) & F.exists("stand", lambda t: F.get(F.col("template"), t) == F.col("naming"))
+    rows = rows.where((share >= least) | F.coalesce(edited, F.lit(False))).select("text_id", "label", "first", "last", share.alias("share"))
     return rows.groupBy("text_id").agg(F.collect_list(F.struct("label", "share", "first", "last")).alias("found"))
 
 
