@@ -287,3 +287,10 @@ def test_fuzzy_query_takes_all_rows(spark):
     rows = sorted((r.p_partkey, r.p_name, r.p_brand) for r in spark.read.parquet(f"{d}/part.parquet").collect())
     got = sorted((r.pos, r.name, r.source, r.n_merged) for r in catalog.QUERIES["m03_dedup_fuzzy"](spark, d).collect())
     assert got == greedy(rows) and sum(r[3] + 1 for r in got) == len(rows)
+
+
+def test_fuzzy_with_all_conflict_rules(spark):
+    rows = [("U-10Mo alloy", {"x": "1"}), ("U-10Mo Alloyy", {"y": "2", "x": "3"}), ("Zr", {"z": "4"}), ("u-10mo alloy", {"y": "5", "w": "6"})]
+    assert merged(spark, rows, strategy="fuzzy") == [("u-10mo alloy", {"y": "5", "w": "6"}), ("Zr", {"z": "4"})]
+    assert merged(spark, rows, strategy="fuzzy", conflict="priority") == [rows[0], rows[2]]
+    assert merged(spark, rows, strategy="fuzzy", conflict="merge", attrs="attrs") == [("U-10Mo alloy", {"x": "1", "y": "2", "w": "6"}), rows[2]]

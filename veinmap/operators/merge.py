@@ -33,7 +33,7 @@ def dedup(items: DataFrame, key: str = "name", strategy: str = "exact", conflict
     ``attrs`` the keys it lacks from later items, first come.  Any other: the first item's content.
     """
     if strategy == "fuzzy":
-        return dedup_fuzzy(items, key)
+        return dedup_fuzzy(items, key, conflict=conflict, attrs=attrs)
     full, bare = _split(items, key)
     k = normalized_key(F.col(key)) if strategy == "normalized" else exact_key(F.col(key))
     columns = [c for c in items.columns if c != "pos"]
@@ -180,11 +180,11 @@ def _latest(rows: DataFrame, threshold: float) -> DataFrame:
     return _folded(rows, "pos", f"__b string, leader string, __k string, pos {pos}", start)
 
 
-def dedup_fuzzy(items: DataFrame, key: str = "name", threshold: float = 0.85, conflict: str = "latest", block: Column | None = None) -> DataFrame:
+def dedup_fuzzy(items: DataFrame, key: str = "name", threshold: float = 0.85, conflict: str = "latest", block: Column | None = None, attrs: str | None = None) -> DataFrame:
     """Greedy matching by similarity in the order of pos, exact for ``block=None``.
 
     A key's leader depends on the distinct keys and their first places only; keys like no other
-    never meet.  Where a component of similar keys has one leader, its last item is the latest;
+    never meet.  ``conflict`` and ``attrs`` are as in ``dedup``.  Where a component of similar keys has one leader, its last item is the latest;
     where it has several, its items are folded in order, in one task a component.  A block (a
     column) is approximate: items of different blocks never match.
     """
@@ -205,6 +205,11 @@ def dedup_fuzzy(items: DataFrame, key: str = "name", threshold: float = 0.85, co
         rows = named.join(leaders.where("several"), ["__b", "__k"]).select("__b", "__c", "pos", "__k", "leader")
         last = named.select("__b", "__k", "pos", row.alias("__own")).join(cut(_latest(rows, threshold)), ["__b", "__k", "pos"]).select("__b", "leader", "__own").dropDuplicates(["__b", "leader"])
         kept = kept.join(last, ["__b", "leader"], "left").withColumn("__row", F.coalesce("__own", "__tail"))
+    elif conflict == "merge" and attrs:
+        each = named.select("__b", "__k", "pos", F.explode(attrs).alias("a", "v")).groupBy("__b", "__k", "a").agg(F.min_by("v", "pos").alias("v"), F.min("pos").alias("pos"))
+        each = each.join(leaders.select("__b", "__k", "leader"), ["__b", "__k"], "left").withColumn("leader", F.coalesce("leader", "__k")).groupBy("__b", "leader", "a").agg(F.min_by("v", "pos").alias("v"))
+        joined = each.groupBy("__b", "leader").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("a", "v")))).alias("__attrs"))  # distinct attribute names of one leader
+        kept = kept.join(joined, ["__b", "leader"], "left").withColumn("__row", F.col("__head").withField(attrs, F.coalesce("__attrs", F.col("__head")[attrs])))
     else:
         kept = kept.withColumn("__row", F.col("__head"))
     kept = kept.select(F.col("__first").alias("pos"), *(F.col("__row")[c].alias(c) for c in columns), "n_merged")
