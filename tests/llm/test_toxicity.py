@@ -37,3 +37,20 @@ def test_offending_sentences_and_odd_rows(spark, odd, none):
     assert sorted(r.score for r in toxicity.toxicity(odd, model).collect() if r.doc_id in (2, 3, 4)) == [0, 0, 0]
     assert toxicity.toxicity(odd, model).count() == odd.count()
     assert toxicity.toxicity(none, toxicity.learn(none, docs.selectExpr("doc_id", "1 toxic"))).count() == 0
+
+
+def test_long_clean_texts_stay(spark):
+    bucket = lambda w: zlib.crc32(w) % toxicity.BUCKETS
+    model = np.array(sorted([bucket(b"grubnik"), bucket(b"meh")]), np.int32), np.zeros(2, np.float32), -8.8
+    for word, weight in ((b"grubnik", 14.0), (b"meh", 4.2)):
+        model[1][np.searchsorted(model[0], bucket(word))] = weight
+    n = 100_000
+    plain = ["A plain line of words."] * n
+    weak = [("This is meh." if i % 200 == 0 else s) for i, s in enumerate(plain)]
+    bad = [*weak[: n // 2], "You grubnik!", *weak[n // 2 :]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((plain, weak, bad, plain[:10]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, model).collect()}
+    assert [got[i].predicted for i in range(4)] == [0, 0, 1, 0]
+    assert 0 < got[3].score < got[0].score < 0.11 and got[0].n_sentences == n
+    assert [o.sentence for o in got[2].offending] == [n // 2] and not got[1].offending
+    assert sorted(r.doc_id for r in toxicity.drop_toxic(docs, model).collect()) == [0, 1, 3]

@@ -2,7 +2,9 @@
 
 A document is a bag of sentences.  A sentence's score is a logistic function of its words, and the
 document's is their noisy-or: 1 - prod(1 - q_s).  The weights are learned from document labels
-alone, through the noisy-or; the sentence scores then tell where the offence stands.
+alone, through the noisy-or; the sentence scores then tell where the offence stands.  A document's
+verdict must not grow with its length: what sentences score without any known word adds up to
+``FLOOR_MOST`` only, and a text of more sentences than ``PASSAGE`` scores as its worst passage of so many.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ _ENDS = bytes.maketrans(b".!?;\r", b"\n\n\n\n\n")
 _MARKS = b"\"'#$%&()*+,-/:<=>@[\\]^_`{|}~0123456789"
 #: Words whose weights a worker keeps.
 MEMO = 100_000
+#: Sentences over which lesser scores add up.
+PASSAGE = 1_000
+#: The most that sentences without known words add up to.
+FLOOR_MOST = 0.1
 
 
 def sentences(text: str | None) -> list[list[bytes]]:
@@ -131,6 +137,20 @@ def scorer(model: tuple[np.ndarray, np.ndarray, float]):
     return scores
 
 
+def floor_of(model: tuple[np.ndarray, np.ndarray, float]) -> float:
+    """The score of a sentence without known words; none where such a sentence offends itself."""
+    return float(1 / (1 + np.exp(-model[2]))) if model[2] < 0 else 0.0
+
+
+def document_score(scores: np.ndarray, floor: float = 0.0) -> float:
+    """The noisy-or of the scores beyond ``floor``, (q - floor) / (1 - floor), in the worst passage, and of a bounded floor."""
+    signs = np.maximum(np.log1p(-floor) - np.log1p(-scores.clip(max=1 - 1e-12)), 0)
+    upto = np.append(0, np.cumsum(signs))
+    worst = (upto[PASSAGE:] - upto[:-PASSAGE]).max() if len(signs) > PASSAGE else upto[-1]
+    plain = min(-len(scores) * np.log1p(-floor), -np.log1p(-FLOOR_MOST))
+    return float(-np.expm1(-worst - plain))
+
+
 def noisy_or(scores: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-scores.clip(max=1 - 1e-12)).sum()))
 
@@ -146,13 +166,13 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_co
     shared = sc.broadcast(model)  # at most BUCKETS weights
 
     def start():
-        sentence_scores = scorer(shared.value)
+        sentence_scores, floor = scorer(shared.value), floor_of(shared.value)
 
         def step(ids, texts):
             scores, sizes, found = [], [], []
             for text in texts:
                 q = sentence_scores(text)
-                scores.append(noisy_or(q))
+                scores.append(document_score(q, floor))
                 sizes.append(len(q))
                 found.append([{"sentence": int(i), "score": float(q[i])} for i in np.flatnonzero(q >= offending_from)])
             held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]
@@ -169,7 +189,7 @@ def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], tex
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS weights
 
     def start():
-        scores = scorer(shared.value)
-        return lambda texts: [noisy_or(scores(t)) < reject_from for t in texts]
+        scores, floor = scorer(shared.value), floor_of(shared.value)
+        return lambda texts: [document_score(scores(t), floor) < reject_from for t in texts]
 
     return keep_rows(docs, text_col, start)
