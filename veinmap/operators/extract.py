@@ -7,14 +7,23 @@ from pyspark.sql import functions as F
 
 from veinmap.functions.text import WORD, strip
 
-_N = r"\p{Nd}+\.?\p{Nd}*"
 _S = r"[\s\x1c-\x1f]"
-#: What the patterns accept.
-ALLOY = rf"(?<!{WORD})([A-Z][a-z]?(?:-{_N}(?:[A-Z][a-z]?)?)+)(?!{WORD})"
-PROPERTY = rf"(?U)((?:{WORD}|{_S})+?)(?:[:=]{_S}*| is{_S}+| of{_S}+)({_N}){_S}*((?:[°%/³²·]|{WORD})+)"
-RANGE = rf"(?U)({_N}){_S}*[–\-]{_S}*({_N}){_S}*(°[CF]|K)"
-PHASE = rf"(?iuU)(?<!{WORD})(?=\w|[γαβδ])(?:γ|α|β|δ|BCC|FCC|HCP){_S}*(?:phase|U|structure)?(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
-PERCENT = rf"({_N})[\s\x1c-\x1f]*(wt%|at%|vol%|mol%)"
+_D = r"\p{Nd}"
+#: A number that gives nothing back; a match that takes one starts at the first of its digits.
+_N = rf"{_D}++(?:\.{_D}*+)?+"
+_NAME = rf"[\p{{L}}\p{{N}}_\s\x1c-\x1f]"
+_END = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+_ELEMENT = r"(?:[A-Z][a-z]?)?"
+#: Parts of an alloy's name follow each other without backtracking, so a part must end the name or be followed by one.
+_PART = rf"-{_D}+\.?{_D}*{_ELEMENT}(?:{_END}|(?=-{_D}+\.?{_D}*{_ELEMENT}(?:{_END}|-{_D})))"
+_FACT = rf"({_NAME}+?)(?:[:=]{_S}*| is{_S}+| of{_S}+)({_D}+\.?{_D}*){_S}*([°%/³²·\p{{L}}\p{{N}}_]+)"
+#: What the patterns accept.  Each character class stands alone in its loop and every
+#: attempt starts where a run of names or digits starts, so time is linear and nothing recurses.
+ALLOY = rf"(?<!{WORD})([A-Z][a-z]?(?:{_PART})++){_END}"
+PROPERTY = rf"(?U)(?:(?<!{_NAME})|\G){_FACT}"
+RANGE = rf"(?U)(?<!{_D})({_N}){_S}*[–\-]{_S}*({_N}){_S}*(°[CF]|K)"
+PHASE = rf"(?iuU)(?<!{WORD})(?=\w|[γαβδ])(?:γ|α|β|δ|BCC|FCC|HCP){_S}*(?:phase|U|structure)?{_END}"
+PERCENT = rf"(?<!{_D})({_N})[\s\x1c-\x1f]*(wt%|at%|vol%|mol%)"
 #: Properties and their keywords, in order.
 KEYWORDS = {
     "density": ["density", "ρ", "mass density"],
@@ -45,14 +54,19 @@ def classify(name: Column) -> Column:
     return out
 
 
-def _all(text: Column, pattern: str, group: int) -> Column:
+def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _groups(match: Column, pattern: str, *numbers: int) -> list[Column]:
+    """Groups of a match's own text: the long text is searched once."""
+    return [F.regexp_extract(match, pattern, n) for n in numbers]
+
+
 def composition(name: Column) -> Column:
     """Element -> percentage of parts that begin with an element and a number; the first part's element takes the rest."""
     parts = F.split(name, "-")
-    own = F.filter(parts, lambda p: p.rlike(rf"\A[A-Z][a-z]?{_N}"))
+    own = F.filter(parts, lambda p: p.rlike(rf"\A[A-Z][a-z]?{_D}"))
     pairs = F.transform(own, lambda p: F.struct(F.regexp_extract(p, r"\A([A-Z][a-z]?)", 1).alias("element"), F.regexp_extract(p, rf"\A[A-Z][a-z]?({_N})", 1).cast("double").alias("share")))
     total = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["share"])
     base = F.regexp_extract(F.get(parts, F.lit(0)), r"\A([A-Z][a-z]?)", 1)
@@ -70,11 +84,12 @@ def alloys(text: Column) -> Column:
 
 def properties(text: Column) -> Column:
     """Numeric properties with a known name."""
-    groups = [_all(text, PROPERTY, g) for g in range(4)]
-    raw = lambda z: F.lower(strip(z["b"]))
-    zipped = F.arrays_zip(*(g.alias(n) for g, n in zip(groups, "abcd")))
-    named = F.transform(zipped, lambda z: F.struct(raw(z).alias("raw_name"), z["a"].alias("context"), z["c"].alias("number"), z["d"].alias("unit")))
-    rows = F.transform(named, lambda z: F.struct(classify(z["raw_name"]).alias("name"), z["number"].try_cast("double").alias("value"), strip(z["unit"]).alias("unit"), z["raw_name"].alias("raw_name"), z["context"].alias("context")))
+    def fact(match: Column) -> Column:
+        name, number, unit = _groups(match, rf"(?U)\A{_FACT}\z", 1, 2, 3)
+        raw = F.lower(strip(name))
+        return F.struct(classify(raw).alias("name"), number.try_cast("double").alias("value"), strip(unit).alias("unit"), raw.alias("raw_name"), match.alias("context"))
+
+    rows = F.transform(_all(text, PROPERTY), fact)
     empty = F.array().cast("array<struct<name:string,value:double,unit:string,raw_name:string,context:string>>")
     return F.when(~text.rlike(r"\p{Nd}"), empty).otherwise(F.filter(rows, lambda p: p["name"].isNotNull()))
 
@@ -86,13 +101,19 @@ def phases(text: Column) -> Column:
 
 
 def temperatures(text: Column) -> Column:
-    low, high, unit = (_all(text, RANGE, g) for g in (1, 2, 3))
-    return F.transform(F.arrays_zip(low.alias("a"), high.alias("b"), unit.alias("c")), lambda z: F.struct(z["a"].try_cast("double").alias("min"), z["b"].try_cast("double").alias("max"), z["c"].alias("unit")))
+    def span(match: Column) -> Column:
+        low, high, unit = _groups(match, RANGE, 1, 2, 3)
+        return F.struct(low.try_cast("double").alias("min"), high.try_cast("double").alias("max"), unit.alias("unit"))
+
+    return F.transform(_all(text, RANGE), span)
 
 
 def percentages(text: Column) -> Column:
-    value, unit = (_all(text, PERCENT, g) for g in (1, 2))
-    return F.transform(F.arrays_zip(value.alias("a"), unit.alias("b")), lambda z: F.struct(z["a"].try_cast("double").alias("value"), z["b"].alias("unit")))
+    def share(match: Column) -> Column:
+        value, unit = _groups(match, PERCENT, 1, 2)
+        return F.struct(value.try_cast("double").alias("value"), unit.alias("unit"))
+
+    return F.transform(_all(text, PERCENT), share)
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
