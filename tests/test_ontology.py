@@ -234,9 +234,11 @@ def test_sinks_and_commands(spark, files, o2, tmp_path, capsys):
     lines = [r.line for r in sinks.graphml_lines(o2).orderBy("ord", "pos", "part").collect()]
     assert sum("<node" in x for x in lines) == 9 and sum("<edge" in x for x in lines) == 3
     for kind in ("json", "csv-classes", "csv-individuals", "csv-properties", "graphml", "markdown"):
-        assert cli.main(["--ontology", path, "export", "--format", kind, "--output", str(tmp_path / kind)], spark) == 0
-    assert spark.read.csv(str(tmp_path / "csv-classes"), header=True).columns == ["name", "comment"]
-    assert "- **U10Mo_fuel** → NuclearFuel" in [r.value for r in spark.read.text(str(tmp_path / "markdown")).collect()]
+        assert cli.main(["--ontology", path, "export", kind, str(tmp_path / kind)], spark) == 0
+    assert (tmp_path / "csv-classes").read_bytes().startswith(b"name,comment\r\nNuclearFuel,")
+    assert (tmp_path / "graphml").read_text().endswith("</graph>\n</graphml>\n") and (tmp_path / "graphml").read_text().startswith("<?xml")
+    assert "\n- **U10Mo_fuel** → NuclearFuel\n" in (tmp_path / "markdown").read_text()
+    assert cli.main([], spark) == 0 and "usage" in capsys.readouterr().out
     for args in (["stats", "-v"], ["query", "fuel", "-n", "1"], ["query", "--class", "NuclearFuel"], ["query", "--property", "density=17", "--output", str(tmp_path / "q")], ["query", "--hierarchy", "Material"], ["validate"], ["validate", "--quick"]):
         assert cli.main(["--ontology", path, *args], spark) == 0
     out = capsys.readouterr().out
@@ -294,3 +296,60 @@ def test_fuzzy_with_all_conflict_rules(spark):
     assert merged(spark, rows, strategy="fuzzy") == [("u-10mo alloy", {"y": "5", "w": "6"}), ("Zr", {"z": "4"})]
     assert merged(spark, rows, strategy="fuzzy", conflict="priority") == [rows[0], rows[2]]
     assert merged(spark, rows, strategy="fuzzy", conflict="merge", attrs="attrs") == [("U-10Mo alloy", {"x": "1", "y": "2", "w": "6"}), rows[2]]
+
+
+def same(a, b):
+    key = lambda df: sorted(map(str, df.collect()))
+    return all(key(getattr(a, c)) == key(getattr(b, c)) for c in ("classes", "object_properties", "datatype_properties", "individuals"))
+
+
+def test_json_round_trip(spark, o2, files, tmp_path):
+    odd = load_ontology(spark, put(files, "odd.json", {"classes": {}, "individuals": [{"name": 'a "quoted"\n, name', "class": ["x"], "n": 1e-5, "b": False, "none": None, "deep": {"k": [1, "é"]}}, {"x": "1,5"}, {}]}))
+    for i, o in enumerate((o2, odd)):
+        path = str(tmp_path / f"{i}.json")
+        assert sinks.export_json(o, path) == len((tmp_path / f"{i}.json").read_bytes())
+        assert json.loads((tmp_path / f"{i}.json").read_text())["individuals"] and same(load_ontology(spark, path), o)
+    assert sinks.save_ontology(odd, path) and same(load_ontology(spark, path), odd) and len(list(tmp_path.glob("1.json.backup_*"))) == 1
+
+
+def test_results_follow_the_relation_first(spark, o2):
+    got, more = query.displayed(query.search(o2, "l"), 3)
+    assert [(r.match_type, r.pos) for r in got.collect()] == [("class", 0), ("class", 1), ("class", 2)] and more == 3
+    assert [r.relation for r in query.displayed(query.hierarchy(o2, "Material"))[0].collect()] == ["class", "child"]
+
+
+def test_update_targets_and_totals(spark):
+    have = items(spark, [("a", {}), ("b", {})])
+    props = spark.createDataFrame([(0, None, "b", "m", "1"), (1, "", "b", "m", "2"), (2, None, None, "m", "3")], "pos long, individual string, source string, name string, value string")
+    attrs = lambda df: [r.attrs for r in df.orderBy("pos").collect()]
+    assert attrs(update.add_properties(have, props)) == [{}, {"prop_m": "1"}] and tuple(update.property_stats(have, props).first()) == (1, 2)
+    assert attrs(update.add_properties(have, props, "a")) == [{"prop_m": "3"}, {}]
+    new = items(spark, [("a", {"x": "1"}), ("", {})])
+    assert update.add_individuals(have, new, dedup=False).count() == 3 and update.changes(have, new, dedup=False).count() == 1
+    assert tuple(update.totals(update.update_stats(have, new), update.update_stats(have, new, False), update.property_stats(have, props)).first()) == (1, 1, 4, 1)
+
+
+def test_properties_are_told_apart_as_printed(spark):
+    rows = [(0, "n", "a_b", "c"), (1, "n", "a", "b_c"), (2, "n", "a", "b_d")]
+    props = spark.createDataFrame(rows, "pos long, name string, value string, unit string")
+    assert sorted(r.pos for r in merge.merge_properties(props).collect()) == [0, 2]
+    numbers = spark.createDataFrame([(0, "n", 1e16, "u"), (1, "n", 1e16, "u"), (2, None, 1.0, None)], "pos long, name string, value double, unit string")
+    assert sorted(r.pos for r in merge.merge_properties(numbers).collect()) == [0, 2]
+
+
+def test_streams_go_on(spark, tmp_path):
+    from veinmap.streaming import incremental
+
+    folder = str(tmp_path / "state")
+    incremental.start(items(spark, [(f"n{i}", {}) for i in range(300)]), folder)
+    for i in range(2):  # each with a checkpoint of its own
+        items(spark, [(f"s{i}", {}), ("n5", {f"k{i}": "1"})]).write.parquet(str(tmp_path / f"in{i}"))
+        stream = spark.readStream.schema(incremental.COLUMNS).parquet(str(tmp_path / f"in{i}"))
+        for _ in range(2):  # a stream that is started again applies nothing twice
+            incremental.follow(stream, folder, str(tmp_path / f"checkpoint{i}")).awaitTermination()
+    rows = [(r.name, r.attrs) for r in incremental.current(spark, folder).collect()]
+    assert len(rows) == 302 and dict(rows)["n5"] == {"k0": "1", "k1": "1"} and {"s0", "s1"} <= set(dict(rows))
+    touched = [len(list(v.glob("bucket=*"))) for v in (tmp_path / "state").glob("version=*-*-*")]
+    assert len(touched) == 2 and max(touched) <= 2
+    incremental.compact(spark, folder)
+    assert sorted(map(str, incremental.current(spark, folder).collect())) == sorted(map(str, [r for r in incremental.current(spark, folder).collect()])) and incremental.current(spark, folder).count() == 302

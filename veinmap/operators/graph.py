@@ -47,6 +47,15 @@ def top_edges(g: Graph, out_most: int = 5, in_most: int = 3) -> DataFrame:
     return ranked.where(F.col("rank") <= F.when(F.col("direction") == "out", out_most).otherwise(in_most)).select("id", "direction", "rank", "other")
 
 
+def panel_edges(g: Graph, most: int = 20) -> DataFrame:
+    """The lists of a node's panel: the first edges of each direction by pos, and how many more there are.
+
+    id, direction, rank, other, n (edges of the direction), more (those that aren't shown).
+    """
+    n = degrees(g).select("id", F.explode(F.create_map(F.lit("out"), "n_out", F.lit("in"), "n_in")).alias("direction", "n"))
+    return top_edges(g, most, most).join(n, ["id", "direction"]).select("id", "direction", "rank", "other", "n", F.greatest(F.col("n") - most, F.lit(0)).alias("more"))
+
+
 def counts(g: Graph) -> DataFrame:
     kinds = g.nodes.select(F.lit(1).alias("n")).unionByName(g.edges.select(F.lit(0).alias("n")))
     return kinds.groupBy().agg(F.count_if(F.col("n") == 1).alias("nodes"), F.count_if(F.col("n") == 0).alias("relationships"))

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; where that is unset (tests), in the session's warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written to the shared folder of ``spark.checkpoint.dir`` and read again.
 
     Lost executors then cost no recomputation, and Python stages before it run once.  Where the
     setting is absent (tests), a folder of the session's warehouse takes its place.
     """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

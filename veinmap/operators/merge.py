@@ -13,10 +13,10 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veinmap.functions.text import exact_key, normalized_key, rounded
+from veinmap.functions.text import exact_key, normalized_key, printed, rounded
 from veinmap.operators.links import components, cut
 
 
@@ -216,23 +216,38 @@ def dedup_fuzzy(items: DataFrame, key: str = "name", threshold: float = 0.85, co
     return kept.unionByName(bare.withColumn("n_merged", F.lit(0).cast("long")))
 
 
+def _as_text(df: DataFrame, c: str) -> Column:
+    """A value as it is printed: numbers as Python's str(), nothing as None."""
+    kind = df.schema[c].dataType.typeName()
+    text = printed(F.col(c)) if kind in ("double", "float", "boolean") else F.col(c).cast("string")
+    return F.coalesce(text, F.lit("None"))
+
+
 def merge_properties(props: DataFrame) -> DataFrame:
-    """Of each name the first of each (value, unit); ordered by the name's first place: adds ``name_pos``."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    one = Window.partitionBy("name", text("value"), text("unit")).orderBy("pos")
-    first = Window.partitionBy("name")
-    return props.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n").withColumn("name_pos", F.min("pos").over(first))
-
-
-def merge_stats(individuals: DataFrame, merged: DataFrame, relationships: DataFrame | None = None, merged_relationships: DataFrame | None = None, source: str = "source") -> DataFrame:
-    """inputs, individuals_in, duplicates_removed, final_individuals, dedup_rate, in one row."""
-    a = individuals.agg(F.countDistinct(source).alias("inputs"), F.count("*").alias("individuals_in"))
-    out = a.crossJoin(merged.agg(F.count("*").alias("final_individuals")))  # one row each
-    gone = F.col("individuals_in") - F.col("final_individuals")
-    if relationships is not None:
-        out = out.crossJoin(relationships.agg(F.count("*").alias("r_in"))).crossJoin(merged_relationships.agg(F.count("*").alias("r_out")))
-        gone = gone + F.col("r_in") - F.col("r_out")
-    return out.select("inputs", "individuals_in", gone.alias("duplicates_removed"), "final_individuals", rounded(gone / F.greatest("individuals_in", F.lit(1)) * 100).alias("dedup_rate"))
+    """Of each name the first of each value_unit, as printed; ``name_pos`` is the name's first place, by which they follow.
+
+    Two partial aggregates: neither a common name nor a common value goes to one task as rows.
+    """
+    key = F.concat(_as_text(props, "value"), F.lit("_"), _as_text(props, "unit"))
+    rows = props.withColumn("__key", key)
+    one = rows.groupBy("name", "__key").agg(F.min_by(F.struct(*props.columns), "pos").alias("__row")).select("__row.*")
+    first = props.groupBy(F.col("name").alias("__name")).agg(F.min("pos").alias("name_pos"))
+    return one.join(first, one["name"].eqNullSafe(first["__name"])).select(*(one[c] for c in props.columns), "name_pos")
+
+
+def merge_stats(individuals: DataFrame, merged: DataFrame, relationships: DataFrame | None = None, merged_relationships: DataFrame | None = None, source: str = "source", properties: DataFrame | None = None, merged_properties: DataFrame | None = None) -> DataFrame:
+    """One row: inputs, *_in and final_* of individuals, properties and relationships, duplicates_removed, dedup_rate.
+
+    Tables that are not given count as empty; inputs are the sources of the individuals.
+    """
+    kinds = {"individuals": (individuals, merged), "properties": (properties, merged_properties), "relationships": (relationships, merged_relationships)}
+    out = individuals.agg(F.countDistinct(source).alias("inputs"))
+    for kind, (before, after) in kinds.items():
+        for df, name in ((before, f"{kind}_in"), (after, f"final_{kind}")):
+            out = out.crossJoin(df.agg(F.count("*").alias(name))) if df is not None else out.withColumn(name, F.lit(0).cast("long"))  # one row each
+    gone = F.col("individuals_in") - F.col("final_individuals") + F.col("relationships_in") - F.col("final_relationships")
+    columns = [f"{k}_in" for k in kinds] + [f"final_{k}" for k in kinds]
+    return out.select("inputs", *columns, gone.alias("duplicates_removed"), rounded(gone / F.greatest("individuals_in", F.lit(1)) * 100).alias("dedup_rate"))
 
 
 def merge_results(results: DataFrame, strategy: str = "exact", conflict: str = "latest") -> tuple[DataFrame, DataFrame, DataFrame]:

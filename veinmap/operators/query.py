@@ -86,7 +86,13 @@ def class_distribution(o: Ontology, top: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("n"), "first_pos").limit(top)
 
 
+def in_order(found: DataFrame) -> list[Column]:
+    """What orders a query's rows: classes before individuals, the class before its children, then ``pos``."""
+    kinds = [F.when(F.col(c) == "class", 0).otherwise(1) for c in ("match_type", "relation") if c in found.columns]
+    return [*kinds, F.col("pos")]
+
+
 def displayed(found: DataFrame, limit: int = 20) -> tuple[DataFrame, int]:
-    """The first rows by pos, and how many more there are; a limit of 0 behaves as 20."""
+    """The first rows in order, and how many more there are; a limit of 0 behaves as 20."""
     limit = limit or 20
-    return found.orderBy("pos").limit(limit), max(0, found.count() - limit)
+    return found.orderBy(*in_order(found)).limit(limit), max(0, found.count() - limit)

@@ -4,19 +4,113 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veinmap.functions.text import safe_id
-from veinmap.model import Ontology
+from veinmap.model import Graph, Ontology
 from veinmap.operators.graph import membership_edges
 from veinmap.operators.query import class_label, stats
 
 
-def export_json(o: Ontology, folder: str) -> None:
-    """A folder per section, a JSON object per entity and line."""
-    for name, df in (("classes", o.classes), ("objectProperties", o.object_properties), ("datatypeProperties", o.datatype_properties), ("individuals", o.individuals)):
-        df.write.mode("overwrite").json(f"{folder}/{name}")
+def one_file(spark: SparkSession, folder: str, path: str) -> int:
+    """Joins a folder's part files, in order, into the file ``path``; removes the folder; returns the file's size.
+
+    Bytes are streamed part by part; the last line has its end too.
+    """
+    jvm = spark._jvm
+    io, path_of = jvm.org.apache.hadoop.io.IOUtils, jvm.org.apache.hadoop.fs.Path
+    fs = path_of(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(s.getPath().getName() for s in fs.listStatus(path_of(folder)) if s.getPath().getName().startswith("part-"))
+    out = fs.create(path_of(path), True)
+    for name in parts:
+        source = fs.open(path_of(f"{folder}/{name}"))
+        io.copyBytes(source, out, 1 << 16, False)
+        source.close()
+    out.close()
+    fs.delete(path_of(folder), True)
+    return fs.getFileStatus(path_of(path)).getLen()
+
+
+def _quoted(c: Column) -> Column:
+    """A string as JSON; null stays null."""
+    text = F.to_json(F.struct(c.alias("v")))
+    return F.when(c.isNotNull(), F.substring(text, F.lit(6), F.length(text) - 6))
+
+
+def _field(key: str, value: Column) -> Column:
+    return F.when(value.isNotNull(), F.concat(F.lit(f'"{key}": '), value))
+
+
+def _names(c: str, listed: Column | None = None) -> Column:
+    """An array as a list of strings, or as one if it is no list."""
+    many = F.concat(F.lit("["), F.array_join(F.transform(c, _quoted), ", ", "null"), F.lit("]"))
+    return F.when(F.coalesce(~listed if listed is not None else F.size(c) == 1, F.lit(False)), _quoted(F.get(c, F.lit(0)))).otherwise(many)
+
+
+def _entity(*fields: Column) -> Column:
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*fields)), ", "), F.lit("}"))
+
+
+def json_lines(o: Ontology) -> DataFrame:
+    """ord, pos, line: an ontology as one JSON document, an entity a line, sections as lists of objects.
+
+    Numbers and booleans are written as such, other values as text, so ``load_ontology`` gives the
+    same ontology again.
+    """
+    plain = lambda *names: [_field(k, _quoted(F.col(c))) for c, k in names]
+    known = F.when(F.col("sub_class_of_present"), F.concat(F.lit('"subClassOf": '), F.coalesce(_names("sub_class_of"), F.lit("null"))))
+    literal = lambda k, v: F.when(~F.map_contains_key("nums", k), _quoted(v)).when(v.isin("True", "False"), F.lower(v)).otherwise(v)
+    more = F.transform(F.map_entries("attrs"), lambda e: F.concat(_quoted(e["key"]), F.lit(": "), literal(e["key"], e["value"])))
+    bodies = {
+        "classes": (o.classes, _entity(*plain(("name", "name"), ("class_name", "className"), ("comment", "comment"), ("uri", "uri")), known, _field("parentClass", _names("parent_class")))),
+        "objectProperties": (o.object_properties, _entity(*plain(*((c, c) for c in ("name", "domain", "range", "uri"))))),
+        "datatypeProperties": (o.datatype_properties, _entity(*plain(*((c, c) for c in ("name", "domain", "range", "uri"))))),
+        "individuals": (o.individuals, _entity(*plain(("name", "name")), _field("class", _names("class", F.col("class_is_list"))), _field("type", _names("type", F.col("type_is_list"))), _field("classes", _names("classes")), F.when(F.size("attrs") > 0, F.array_join(more, ", ")))),
+    }
+    return document({name: df.select("pos", body.alias("body")) for name, (df, body) in bodies.items()})
+
+
+def listed(rows: DataFrame, first_ord: int = 1) -> DataFrame:
+    """ord, pos, line: rows (pos, body) as the items of a JSON list, without its brackets."""
+    first = rows.agg(F.min("pos").alias("first"))  # one row
+    return rows.crossJoin(F.broadcast(first)).select(F.lit(first_ord).alias("ord"), F.col("pos").cast("long").alias("pos"), F.concat(F.when(F.col("pos") == F.col("first"), "").otherwise(","), "body").alias("line"))
+
+
+def document(sections: dict[str, DataFrame]) -> DataFrame:
+    """ord, pos, line: a JSON object of lists; sections: name -> rows (pos, body)."""
+    fixed, out = [(0, 0, "{")], None
+    for i, (name, rows) in enumerate(sections.items()):
+        fixed += [(3 * i + 1, 0, f'"{name}": ['), (3 * i + 3, 0, "]" if i == len(sections) - 1 else "],")]
+        own = listed(rows, 3 * i + 2)
+        out = own if out is None else out.unionByName(own)
+    fixed.append((3 * len(sections) + 1, 0, "}"))
+    return out.unionByName(out.sparkSession.createDataFrame(fixed, "ord int, pos long, line string"))
+
+
+def export_graph(g: Graph, path: str) -> int:
+    """One JSON file of a property graph, which ``load_graph`` reads."""
+    nodes = g.nodes if "pos" in g.nodes.columns else g.nodes.withColumn("pos", F.monotonically_increasing_id())
+    body = lambda df: df.select("pos", F.to_json(F.struct(*(c for c in df.columns if c != "pos"))).alias("body"))
+    return export_lines(document({"nodes": body(nodes), "relationships": body(g.edges)}), path)
+
+
+def export_rows(rows: DataFrame, path: str) -> int:
+    """One JSON file of a list of objects, in the order of pos, which ``load_rows`` reads."""
+    lines = listed(rows.select("pos", F.to_json(F.struct(*(c for c in rows.columns if c != "pos"))).alias("body")))
+    ends = rows.sparkSession.createDataFrame([(0, 0, "["), (2, 0, "]")], "ord int, pos long, line string")
+    return export_lines(lines.unionByName(ends), path)
+
+
+def export_json(o: Ontology, path: str) -> int:
+    """One JSON file, which ``load_ontology`` reads."""
+    return export_lines(json_lines(o), path)
+
+
+def save_ontology(o: Ontology, path: str, backup: bool = True) -> str | None:
+    """Writes the ontology's JSON file through a new file beside it; the old one is kept under a stamped name if wished."""
+    export_json(o, f"{path}.new")
+    return _replace(o.classes.sparkSession, path, backup)
 
 
 def _cell(c: str) -> Column:
@@ -36,9 +130,13 @@ def csv_properties(o: Ontology) -> DataFrame:
     return o.object_properties.select("pos", *(_cell(c).alias(c) for c in ("name", "domain", "range")))
 
 
-def export_csv(rows: DataFrame, folder: str) -> None:
-    """CSV with header, in the order of pos, without it."""
-    rows.orderBy("pos").drop("pos").write.mode("overwrite").csv(folder, header=True, emptyValue="", lineSep="\n")
+def export_csv(rows: DataFrame, path: str) -> int:
+    """One CSV file with a header and CRLF, in the order of pos, without it; returns its size."""
+    names = [c for c in rows.columns if c != "pos"]
+    line = F.to_csv(F.struct(*names), {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    head = rows.sparkSession.createDataFrame([(0, 0, ",".join(names))], "ord int, pos long, line string")
+    lines = head.unionByName(rows.select(F.lit(1).alias("ord"), F.col("pos").cast("long").alias("pos"), line.alias("line")))
+    return export_lines(lines, path, "\r\n")
 
 
 def graphml_lines(o: Ontology, graph_id: str = "ontology") -> DataFrame:
@@ -66,32 +164,39 @@ def markdown_lines(o: Ontology, title: str = "Ontology report", shown: int = 50)
     return fixed.unionByName(numbers.withColumn("pos", F.col("pos").cast("long"))).unionByName(classes).unionByName(first).unionByName(more)
 
 
-def export_lines(lines: DataFrame, folder: str) -> None:
-    """The lines as text, in order."""
-    lines.orderBy(*(c for c in ("ord", "pos", "part") if c in lines.columns)).select("line").write.mode("overwrite").text(folder)
+def export_lines(lines: DataFrame, path: str, line_end: str = "\n") -> int:
+    """One text file of the lines, in order; returns its size."""
+    order = [c for c in ("ord", "pos", "part") if c in lines.columns]
+    lines.orderBy(*order).select("line").write.mode("overwrite").option("lineSep", line_end).text(f"{path}.parts")
+    return one_file(lines.sparkSession, f"{path}.parts", path)
 
 
-def save(spark: SparkSession, rows: DataFrame, folder: str, backup: bool = True) -> str | None:
-    """Overwrites ``folder`` through a new folder beside it; the old one is kept under a stamped name if wished."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    rows.write.mode("overwrite").parquet(f"{folder}.new")
+def _replace(spark: SparkSession, path: str, backup: bool) -> str | None:
+    """Puts ``path``.new in the place of ``path``; the old one's stamped name, if it is kept."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
     kept = None
-    if fs.exists(path):
-        kept = f"{folder}.backup_{time.strftime('%Y%m%d_%H%M%S')}" if backup else None
+    if fs.exists(path_of(path)):
+        kept = f"{path}.backup_{time.strftime('%Y%m%d_%H%M%S')}" if backup else None
         if kept:
-            fs.rename(path, jvm.org.apache.hadoop.fs.Path(kept))
+            fs.rename(path_of(path), path_of(kept))
         else:
-            fs.delete(path, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{folder}.new"), path)
+            fs.delete(path_of(path), True)
+    fs.rename(path_of(f"{path}.new"), path_of(path))
     return kept
 
 
+def save(spark: SparkSession, rows: DataFrame, folder: str, backup: bool = True) -> str | None:
+    """Overwrites a table's ``folder`` through a new folder beside it; the old one is kept under a stamped name if wished."""
+    rows.write.mode("overwrite").parquet(f"{folder}.new")
+    return _replace(spark, folder, backup)
+
+
 def insert(rows: DataFrame, folder: str) -> int:
-    """Appends rows to a table's folder; returns their number."""
-    rows.write.mode("append").parquet(folder)
-    return rows.count()
+    """Appends rows to a table's folder; returns their number, counted while they are written."""
+    seen = Observation()
+    rows.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(folder)
+    return seen.get["n"]
 
 
 def delete(spark: SparkSession, folder: str, predicate: str) -> None:

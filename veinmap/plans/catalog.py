@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from veinmap.functions import text as fn
 from veinmap.operators import extract, graph, merge, quality, query, relational, segment, sinks, update
+from veinmap.operators.links import shared_path
 from veinmap.sources import star
+from veinmap.sources.ontology import load_graph, load_ontology, load_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -291,7 +293,7 @@ def _(spark, d):
 @_query("a13_merge_stats", f"WITH {_ITEMS}, n AS (SELECT count(DISTINCT source) AS inputs, count(*) AS individuals_in, count(DISTINCT lower(trim(name))) AS final_individuals FROM items) SELECT inputs, individuals_in, individuals_in - final_individuals AS duplicates_removed, final_individuals, round((individuals_in - final_individuals) / individuals_in::DOUBLE * 100, 1) AS dedup_rate FROM n")
 def _(spark, d):
     items = star.results(spark, d)
-    return merge.merge_stats(items, merge.dedup(items))
+    return merge.merge_stats(items, merge.dedup(items)).select("inputs", "individuals_in", "duplicates_removed", "final_individuals", "dedup_rate")
 
 
 def _existing(spark, d):
@@ -468,3 +470,121 @@ def _(spark, d):
 @_query("f13_similarity", None)
 def _(spark, d):
     return star.read(spark, d, "part").select("p_partkey", fn.similarity(F.lower("p_name"), F.lower("p_type")).alias("ratio"))
+
+
+#: What the extraction patterns accept, in DuckDB's dialect (leftmost matches; ASCII word borders).
+_RE_ALLOY = r"\b[A-Z][a-z]?(?:-\d+\.?\d*(?:[A-Z][a-z]?)?)+\b"
+_RE_FACT = r"([\pL\pN_\s]+?)(?:[:=]\s*| is\s+| of\s+)(\d+\.?\d*)\s*([°%/³²·\pL\pN_]+)"
+_RE_RANGE = r"(\d+\.?\d*)\s*[–-]\s*(\d+\.?\d*)\s*(°[CF]|K)"
+_NAMED = "CASE " + " ".join(f"WHEN {' OR '.join('contains(raw, ' + chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) + ')' for w in words)} THEN '{prop}'" for prop, words in extract.KEYWORDS.items()) + " END"
+_LONG = "long AS (SELECT doc_id, coalesce(text, '') || '. The U-' || (doc_id % 90 + 1) || 'Mo alloy has density: ' || doc_id || '.5 g/cm3, hardness is ' || doc_id || ' HV from 25–' || doc_id || ' K. ' || coalesce(text, '') AS text FROM documents)"
+_FACTS = f"""{_LONG},
+m AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_RE_FACT}', 0)) AS context FROM long),
+p AS (SELECT *, lower(trim(regexp_extract(context, '{_RE_FACT}', 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS raw, CAST(regexp_extract(context, '{_RE_FACT}', 2) AS DOUBLE) AS value, regexp_extract(context, '{_RE_FACT}', 3) AS unit FROM m),
+facts AS (SELECT * FROM (SELECT doc_id, {_NAMED} AS name, value, unit, raw AS raw_name, context FROM p) WHERE name IS NOT NULL)"""
+_ALLOYS = f"alloys AS (SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_RE_ALLOY}', 0)) AS name FROM long) WHERE length(name) >= 3)"
+
+
+@_query("e02_documents", f"WITH {_LONG}, {_ALLOYS} SELECT * FROM alloys")
+def _(spark, d):
+    return star.long_reports(spark, d).select("doc_id", F.explode(extract.alloys(F.col("text"))).alias("a")).select("doc_id", "a.name")
+
+
+@_query("e03_documents", f"WITH {_FACTS} SELECT * FROM facts")
+def _(spark, d):
+    return star.long_reports(spark, d).select("doc_id", F.inline(extract.properties(F.col("text"))))
+
+
+@_query("e05_documents", f"WITH {_LONG} SELECT doc_id, regexp_extract(m, '{_RE_RANGE}', 3) AS unit, CAST(regexp_extract(m, '{_RE_RANGE}', 1) AS DOUBLE) AS low FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_RE_RANGE}', 0)) AS m FROM long)")
+def _(spark, d):
+    return star.long_reports(spark, d).select("doc_id", F.inline(extract.temperatures(F.col("text")))).select("doc_id", "unit", F.col("min").alias("low"))
+
+
+@_query("e01_documents", f"WITH {_FACTS}, {_ALLOYS} SELECT doc_id, CAST((SELECT count(*) FROM alloys a WHERE a.doc_id = d.doc_id) AS INTEGER) AS individuals, CAST((SELECT count(*) FROM facts f WHERE f.doc_id = d.doc_id) AS INTEGER) AS properties, CAST(length(text) AS INTEGER) AS text_length FROM long d")
+def _(spark, d):
+    return extract.extract(star.long_reports(spark, d)).select("doc_id", *(F.size(c).alias(c) for c in ("individuals", "properties")), "text_length")
+
+
+@_query("a13_full_merge_stats", f"""WITH {_ITEMS}, n AS (SELECT count(DISTINCT source) AS inputs, count(*) AS individuals_in, count(DISTINCT lower(trim(name))) AS final_individuals FROM items),
+p AS (SELECT count(*) AS properties_in, count(DISTINCT p_brand || ' ' || p_size) AS final_properties FROM part), r AS (SELECT count(*) AS relationships_in, count(DISTINCT lower(p_type)) AS final_relationships FROM part)
+SELECT *, individuals_in - final_individuals + relationships_in - final_relationships AS duplicates_removed, round((individuals_in - final_individuals + relationships_in - final_relationships) / individuals_in::DOUBLE * 100, 1) AS dedup_rate FROM n, p, r""")
+def _(spark, d):
+    items, part = star.results(spark, d), star.read(spark, d, "part")
+    props = part.select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("name"), F.col("p_size").alias("value"), F.lit("mm").alias("unit"))
+    rel = part.select(F.col("p_partkey").alias("pos"), F.lit("phase").alias("type"), F.col("p_type").alias("context"))
+    return merge.merge_stats(items, merge.dedup(items), rel, merge.dedup(rel, "context"), properties=props, merged_properties=merge.merge_properties(props))
+
+
+@_query("a14_total_stats", f"WITH {_UPDATE} SELECT count(*) FILTER (WHERE action = 'add') + (SELECT count(*) FROM i) AS added_individuals, count(*) FILTER (WHERE action = 'update') AS updated_individuals, count(*) FILTER (WHERE action = 'skip') + count(*) FILTER (WHERE pos % 3 = 0 AND name NOT IN (SELECT name FROM e)) AS skipped_individuals, count(*) FILTER (WHERE pos % 3 = 0 AND name IN (SELECT name FROM e)) AS added_properties FROM a")
+def _(spark, d):
+    existing, items = _existing(spark, d)
+    props = items.where("pos % 3 = 0").select("pos", F.col("name").alias("source"), F.lit("mass").alias("name"), F.col("pos").cast("string").alias("value"))
+    return update.totals(update.update_stats(existing, items), update.update_stats(existing, items, dedup=False), update.property_stats(existing, props))
+
+
+@_query("n02_target_individual", f"WITH {_UPDATE} SELECT pos, CASE WHEN pos = (SELECT min(pos) FROM e WHERE name = (SELECT arg_min(name, pos) FROM e)) THEN (SELECT CAST(max(pos) AS VARCHAR) FROM i WHERE pos % 3 = 0) END AS mass FROM e")
+def _(spark, d):
+    existing, items = _existing(spark, d)
+    props = items.where("pos % 3 = 0").select("pos", F.lit("nobody").alias("individual"), F.lit("mass").alias("name"), F.col("pos").cast("string").alias("value"))
+    return update.add_properties(existing, props, existing.orderBy("pos").first()["name"]).select("pos", F.col("attrs")["prop_mass"].alias("mass"))
+
+
+@_query("l02_mixed_results", f"WITH {_CLASSES}, {_INDIVIDUALS} SELECT match_type, pos, name FROM (SELECT 0 AS k, 'class' AS match_type, pos, name FROM classes WHERE contains(lower(name), 'an') OR contains(lower(coalesce(comment, '')), 'an') UNION ALL SELECT 1, 'individual', pos, name FROM individuals WHERE contains(lower(name), 'an')) ORDER BY k, pos LIMIT 20")
+def _(spark, d):
+    return query.displayed(query.search(star.ontology(spark, d), "AN"))[0].select("match_type", "pos", "name")
+
+
+@_query("l04_panel_edges", f"""WITH {_GRAPH}, b AS (SELECT src AS id, 'out' AS direction, pos, dst AS other FROM edges UNION ALL SELECT dst, 'in', pos, src FROM edges),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, direction ORDER BY pos) AS rank, count(*) OVER (PARTITION BY id, direction) AS n FROM b) SELECT id, direction, CAST(rank AS INTEGER) AS rank, other, n, greatest(n - 20, 0) AS more FROM r WHERE rank <= 20""")
+def _(spark, d):
+    return graph.panel_edges(star.graph(spark, d))
+
+
+def _exported(spark, write, *args) -> str:
+    path = shared_path(spark, "export")
+    write(*args, path)
+    return path
+
+
+@_query("s01_loaded_individuals", f"WITH {_INDIVIDUALS} SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, name, class, t1 AS type, CAST(size AS DOUBLE) AS size FROM individuals")
+def _(spark, d):
+    o = load_ontology(spark, _exported(spark, sinks.export_json, star.ontology(spark, d)))
+    return o.individuals.select("pos", "name", F.get("class", F.lit(0)).alias("class"), F.get("type", F.lit(0)).alias("type"), F.col("nums")["prop_size"].alias("size"))
+
+
+@_query("k01_json_round_trip", f"WITH {_CLASSES} SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, name, comment, parent FROM classes")
+def _(spark, d):
+    once = load_ontology(spark, _exported(spark, sinks.export_json, star.ontology(spark, d)))
+    return load_ontology(spark, _exported(spark, sinks.export_json, once)).classes.select("pos", "name", "comment", F.get("sub_class_of", F.lit(0)).alias("parent"))
+
+
+@_query("s04_loaded_graph", f"WITH {_GRAPH} SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, src AS \"from\", dst AS \"to\", type FROM edges")
+def _(spark, d):
+    return load_graph(spark, _exported(spark, sinks.export_graph, star.graph(spark, d))).edges.select("pos", "from", "to", "type")
+
+
+@_query("s06_loaded_rows", "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, s_acctbal FROM supplier")
+def _(spark, d):
+    rows = star.read(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), "s_suppkey", "s_name", "s_acctbal")
+    return load_rows(spark, _exported(spark, sinks.export_rows, rows)).select("s_suppkey", "s_name", "s_acctbal")
+
+
+@_query("k05_csv_file", f"WITH {_INDIVIDUALS} SELECT name, coalesce(class, '') AS class, coalesce(t1, '') AS type FROM individuals")
+def _(spark, d):
+    path = _exported(spark, sinks.export_csv, sinks.csv_individuals(star.ontology(spark, d)))
+    return spark.read.csv(path, header=True, escape='"', lineSep="\r\n").na.fill("")
+
+
+@_query("k06_graphml_file", f"""WITH {_CLASSES}, {_INDIVIDUALS} SELECT (SELECT count(*) FROM classes) + (SELECT count(*) FROM individuals) AS nodes, (SELECT count(*) FROM individuals WHERE class IN (SELECT name FROM classes)) AS edges, CAST(7 AS BIGINT) AS others""")
+def _(spark, d):
+    lines = spark.read.text(_exported(spark, sinks.export_lines, sinks.graphml_lines(star.ontology(spark, d))))
+    return lines.agg(F.count_if(F.col("value").startswith("<node ")).alias("nodes"), F.count_if(F.col("value").startswith("<edge ")).alias("edges"), F.count_if(~F.col("value").startswith("<node ") & ~F.col("value").startswith("<edge ")).alias("others"))
+
+
+@_query("w05_nearest_windows", """WITH t AS (SELECT doc_id, text, lower(text) AS low, length(text) AS n FROM documents),
+parts AS (SELECT doc_id, text, n, unnest(string_split(low, 'license')) AS part, generate_subscripts(string_split(low, 'license'), 1) AS i FROM t),
+places AS (SELECT doc_id, text, n, i, sum(length(part) + 7) OVER (PARTITION BY doc_id ORDER BY i) - 7 AS "at", count(*) OVER (PARTITION BY doc_id) AS k FROM parts),
+f AS (SELECT doc_id, any_value(text) AS text, any_value(n) AS n, min("at") AS first_at FROM places WHERE i < k GROUP BY doc_id)
+SELECT doc_id, CAST(first_at AS INTEGER) AS match_position, CAST(greatest(0, first_at - 1000000000) AS INTEGER) AS start_char, CAST(least(n, first_at + 1000000000) AS INTEGER) AS end_char FROM f""")
+def _(spark, d):
+    return segment.segment_keywords(star.read(spark, d, "documents"), ["license"], 1_000_000_000).select("doc_id", "match_position", "start_char", "end_char")

@@ -59,6 +59,14 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: each document, a sentence of facts, and the document again."""
+    i, text = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    alloy = (F.col("doc_id") % 90 + 1).cast("string")
+    fact = F.concat(F.lit(". The U-"), alloy, F.lit("Mo alloy has density: "), i, F.lit(".5 g/cm3, hardness is "), i, F.lit(" HV from 25–"), i, F.lit(" K. "))
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(text, fact, text).alias("text"))
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos, source, name, attrs: extracted individuals, one result per brand."""
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("source"), F.col("p_name").alias("name"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.col("p_brand"), F.col("p_partkey").cast("string")).alias("attrs"))
