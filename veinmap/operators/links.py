@@ -8,10 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Shared paths of this process that ``clean`` has not removed yet.
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of ``spark.checkpoint.dir``; where that is unset (tests), in the session's warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path := f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes what this process wrote to shared paths; DataFrames that read them end with it."""
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, _made):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made.clear()
 
 
 def cut(df: DataFrame) -> DataFrame:
