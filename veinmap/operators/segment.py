@@ -1,12 +1,14 @@
 """Segmentation of long texts: by headings, by size, around keywords.
 
 Heading and keyword cuts are expressions: ``split`` before each heading (or at each keyword) and
-running lengths give the places.  Fixed-size cuts depend on the cut before, so they are a table
+running lengths (an Arrow function on the lengths alone) give the places.  Fixed-size cuts depend on the cut before, so they are a table
 function.  Places are code points.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +20,22 @@ _HASH = r"[ \t\n\x0b\f\r\x1c-\x1f\x85\p{Z}]"
 HEADING = rf"^(#{{1,6}})({_HASH}+)([^\n]+)$"
 
 
+def _running(lengths: Column) -> Column:
+    """Running sums of an array, in linear time."""
+
+    def sums(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: None if a is None else np.cumsum(a, dtype=np.int64))
+
+    return F.pandas_udf(sums, "array<long>")(lengths)
+
+
 def sections(text: Column) -> Column:
     """Chunks of a text before small ones are folded: preamble and one per heading with a body."""
     n = F.length(text)
     parts = F.split(text, rf"(?md)(?={HEADING})")
-    pieces = F.aggregate(
-        F.filter(parts, lambda p: p != ""),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,part:string>>").alias("out")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("at"), p.alias("part"))).alias("out")),
-        lambda acc: acc["out"],
-    )
+    own = F.filter(parts, lambda p: p != "")
+    ends = _running(F.transform(own, F.length))
+    pieces = F.transform(F.arrays_zip(ends.alias("end"), own.alias("part")), lambda z: F.struct((z["end"] - F.length(z["part"])).cast("int").alias("at"), z["part"].alias("part")))
     head = rf"(?d)\A(#{{1,6}})({_HASH}+)([^\n]+)"
     def chunk(p: Column) -> Column:
         level = F.length(F.regexp_extract(p["part"], head, 1))
@@ -99,8 +107,8 @@ def _found(text: Column, keyword: str) -> Column:
     """Places of a keyword (any case), without overlap, in order."""
     parts = F.split(text, rf"(?iu)\Q{keyword}\E", -1)
     n = len(keyword)
-    ends = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, p: F.struct((acc["at"] + F.length(p) + n).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(p)).alias("out")), lambda acc: acc["out"])
-    return F.slice(ends, 1, F.size(ends) - 1)
+    ends = _running(F.transform(parts, F.length))
+    return F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda end, i: end + i * n)
 
 
 def segment_keywords(docs: DataFrame, keywords: list[str], window: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
