@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -12,8 +14,31 @@ from pyspark.sql.types import StructType
 
 from veinmap.operators.links import components, cut
 
-#: Rows handled at a time inside a task, whatever the size of Arrow's batches.
-ROWS_AT_ONCE = 256
+#: Rows, and bytes of them, handled at a time inside a task, whatever the size of Arrow's batches.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 8 << 20
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ROWS_AT_ONCE rows and about BYTES_AT_ONCE bytes (one row at least)."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+            sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES_AT_ONCE, "right")) - at
+        n = min(ROWS_AT_ONCE, max(1, fits))
+        yield batch.slice(at, n)
+        at += n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,15 +53,14 @@ def map_rows(df: DataFrame, columns: list[str], ddl: str, start: Callable[[], Ca
     """Maps ``columns`` of ``df`` to rows of ``ddl``, Arrow batch by Arrow batch.
 
     ``start`` runs once in each task (it loads tables); what it returns gets lists of column
-    values, ``ROWS_AT_ONCE`` rows at most, and gives back the output's columns as lists.
+    values, a slice at a time, and gives back the output's columns as lists.
     """
     schema = to_arrow_schema(parsed(ddl), prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for part in pieces(batch):
                 out = step(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, schema.types, strict=True)], schema=schema)
 
@@ -51,13 +75,28 @@ def keep_rows(df: DataFrame, column: str, start: Callable[[], Callable[[list], l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for part in pieces(batch):
                 yield part.filter(pa.array(keep(part.column(names.index(column)).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
 
+def rewrite_rows(df: DataFrame, column: str, start: Callable[[], Callable[[list], list[tuple[bool, str | None]]]]) -> DataFrame:
+    """The rows of ``df`` that the function that ``start`` gives keeps, with its new value of the string ``column``."""
+
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = start()
+        for batch in batches:
+            for part in pieces(batch):
+                found = change(part.column(at).to_pylist())
+                columns = [pa.array([new for _, new in found], pa.string()) if i == at else c for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names).filter(pa.array([kept for kept, _ in found], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 #: A side with at most so many narrow rows (of up to some 100 bytes) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -101,4 +140,4 @@ def sorted_groups(df: DataFrame, key: str, order: list[str], columns: list[str],
     return df.repartition(F.col(key)).sortWithinPartitions(key, *order).select(key, *columns).mapInArrow(run, ddl)
 
 
-__all__ = ["ROWS_AT_ONCE", "components", "cut", "join_few", "keep_rows", "map_rows", "parsed", "sorted_groups", "table"]
+__all__ = ["components", "cut", "fresh", "join_few", "keep_rows", "map_rows", "parsed", "pieces", "rewrite_rows", "sorted_groups", "table"]

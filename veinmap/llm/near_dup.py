@@ -7,9 +7,9 @@ SIDE**2 tables for 2 * SIDE * HALF minhashes.  A pair meets in a table unless al
 in one of the collections: at similarity 0.8 that is 2 * (1 - 0.8**2)**12, about 1 in 100,000.
 
 Halves that no other document has are dropped before the pairs of halves are formed, so documents
-without a near neighbour never reach the tables.  Documents that met are dealt into blocks around
-the smallest document they met; blocks that share a table key are compared on full shingle sets,
-in tasks of two blocks that give back links only, never pairs to be tested.
+without a near neighbour never reach the tables.  Documents that met are dealt into blocks around an anchor,
+compared on full shingle sets and contracted (``links``); only what no link has connected then is
+compared across blocks, in tasks that give back links, never pairs to be tested.
 """
 
 from __future__ import annotations
@@ -18,14 +18,18 @@ from functools import lru_cache
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinmap.llm.common import components, cut, join_few, map_rows, sorted_groups
 
 SIDE, HALF = 12, 2
-#: Documents of a block.
-BLOCK = 256
+#: Documents of a block; one of n times LONG shingles counts as n.
+BLOCK, LONG = 128, 1000
+#: Turns of contraction go on while large components with more than SPREAD blocks share a key, TURNS times at most.
+SPREAD, TURNS = 8, 4
+#: Documents of a large component.
+LARGE = 32
 #: Words whose hashes a worker keeps.
 MEMO = 100_000
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -94,39 +98,88 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     return map_rows(docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)], "doc_id long, n_shingles long, set_hash string, u array<long>, v array<long>", start)
 
 
-def blocks_to_compare(reps: DataFrame) -> DataFrame:
-    """rep, places: array of (task, side) in which the representative is compared."""
+def shared_keys(reps: DataFrame) -> DataFrame:
+    """rep, key, anchor: table keys that several representatives have.
+
+    A key's anchor is its most famous representative, whose halves stand most often in all: what
+    the others were edited from, rather than an edit.
+    """
 
     def shared(column: str) -> DataFrame:
         rows = reps.select("rep", F.posexplode(column).alias("i", "half"))
-        twice = rows.groupBy("i", "half").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        return rows.join(twice, ["i", "half"], "left_semi").groupBy("rep").agg(F.collect_list(F.struct("i", "half")).alias(column))  # SIDE at most
+        twice = rows.groupBy("i", "half").agg(F.count("*").alias("n")).where("n > 1")
+        return rows.join(twice, ["i", "half"]).groupBy("rep").agg(F.collect_list(F.struct("i", "half")).alias(column), F.sum("n").alias(f"{column}_n"))  # SIDE at most
 
     both = shared("u").join(shared("v"), "rep")
-    tensor = both.select("rep", F.explode("u").alias("u"), "v").select("rep", "u", F.explode("v").alias("v"))
+    tensor = both.select(F.struct(-(F.col("u_n") + F.col("v_n")).alias("h"), "rep").alias("rep"), F.explode("u").alias("u"), "v").select("rep", "u", F.explode("v").alias("v"))
     keys = cut(tensor.select("rep", F.xxhash64("u.i", "u.half", "v.i", "v.half").alias("key")))
-    met = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = cut(keys.join(met, "key"))
-    hub = met.groupBy("rep").agg(F.min("hub").alias("hub"))
-    size = hub.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
-    member = cut(hub.join(size, "hub").select("rep", F.xxhash64("hub", F.pmod(F.xxhash64("rep"), "n_blocks")).alias("block")))
-    seen = met.select("rep", "key").join(member, "rep").select("key", "block").distinct()
-    many = seen.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    seen = cut(seen.join(many, "key", "left_semi"))
-    pairs = seen.join(seen.select("key", F.col("block").alias("other")), "key").where("block < other").select("block", "other").distinct()
-    own = member.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.col("block").alias("other"))
-    pairs = cut(pairs.union(own).select(F.xxhash64("block", "other").alias("task"), "block", "other"))
-    sides = pairs.select("task", "block", F.lit(0).alias("side")).union(pairs.where("block <> other").select("task", F.col("other").alias("block"), F.lit(1).alias("side")))
-    return member.join(sides, "block").groupBy("rep").agg(F.collect_list(F.struct("task", "side")).alias("places"))
+    anchors = keys.groupBy("key").agg(F.min("rep").alias("anchor"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return cut(keys.join(anchors, "key").select("rep.rep", "key", "anchor"))
+
+
+def anchored_anew(keys: DataFrame, turn: int) -> DataFrame:
+    """``keys`` with other anchors: the first of each key in an order at random."""
+    first = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep")).alias("anchor"))
+    return cut(keys.drop("anchor").join(first, "key").select("rep", "key", "anchor"))
+
+
+def _chunks(weight: Column) -> Column:
+    """Over how many blocks a group's representatives are dealt: by number, and by weight where they are long."""
+    return F.ceil(F.sum(weight) / BLOCK)
+
+
+def dealt(keys: DataFrame, sizes: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of a turn (rep, block, anchor, weight), and the anchors of each block (rep, block).
+
+    Each representative joins the group of its first anchor.
+    """
+    group = keys.groupBy("rep").agg(F.min("anchor").alias("anchor")).select("rep", F.col("anchor.rep").alias("anchor"))
+    group = cut(group.join(sizes, "rep"))
+    chunks = group.groupBy("anchor").agg(_chunks(F.col("weight")).alias("n"))
+    block = lambda number: F.xxhash64(F.lit(turn), "anchor", number)
+    blocks = group.join(chunks, "anchor").select("rep", block(F.pmod(F.xxhash64("rep"), "n")).alias("block"), "anchor", "weight")
+    every = chunks.select("anchor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    return cut(blocks), every.select(F.col("anchor").alias("rep"), block(F.col("i")).alias("block"))
+
+
+def labelled(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """``blocks`` with component and large: whether the component has LARGE documents."""
+    named = blocks.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    large = cut(labels.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE).select("component", F.lit(True).alias("large")))
+    return cut(join_few(named, large, "component", "left").withColumn("large", F.coalesce("large", F.lit(False))))
+
+
+def members(named: DataFrame) -> DataFrame:
+    """rep, component, large, seen (its block of the turn) and the block in which it will be compared with others.
+
+    Large components have blocks of their own, which need no comparison with each other; the rest
+    shares blocks by its anchor.
+    """
+    homes = named.withColumn("home", F.when(F.col("large"), F.xxhash64(F.lit("component"), "component")).otherwise(F.xxhash64(F.lit("anchor"), "anchor")))
+    chunks = homes.groupBy("home").agg(_chunks(F.col("weight")).alias("n"))
+    return cut(homes.join(chunks, "home").select("rep", "component", "large", F.col("block").alias("seen"), F.xxhash64("home", F.pmod(F.xxhash64(F.lit("block"), "rep"), "n")).alias("block")))
+
+
+def pairs_of_blocks(at: DataFrame) -> DataFrame:
+    """block, other: which blocks to compare.  at: key, block, component, large of a representative's keys with several components."""
+    places = cut(at.select("key", "block", F.when(F.col("large"), F.col("component")).alias("pure")).distinct())
+    other = places.select("key", F.col("block").alias("other"), F.col("pure").alias("other_pure"))
+    pairs = places.join(other, "key").where((F.col("block") < F.col("other")) & ~F.coalesce(F.col("pure") == F.col("other_pure"), F.lit(False))).select("block", "other").distinct()
+    own = places.where("pure IS NULL").select("block", F.col("block").alias("other")).distinct()
+    return cut(pairs.union(own))
 
 
 def verified_links(docs: DataFrame, places: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """a, b: links that connect all texts of a task that full sets connect."""
+    """a, b: links that connect all texts of a task that full sets connect.
+
+    places: rep, task, side, component (connected before), seen (a block that compared all its own).
+    If a task has two sides, texts are compared across them.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    rows = join_few(texts, places, "rep").select("rep", "text", F.inline("places"))
+    rows = join_few(texts, places, "rep")
 
     def start():
-        def step(_, reps, texts, sides):
+        def step(_, reps, texts, sides, components, seen):
             root = list(range(len(reps)))
 
             def find(i: int) -> int:
@@ -134,6 +187,9 @@ def verified_links(docs: DataFrame, places: DataFrame, width: int, percent: int,
                     root[i] = i = root[root[i]]
                 return i
 
+            first_of: dict[int, int] = {}
+            for i, c in enumerate(components):
+                root[i] = first_of.setdefault(c, i)
             sets = [frozenset(shingles(t, width).tolist()) for t in texts]
             first = [i for i, s in enumerate(sides) if s == 0]
             second = [i for i, s in enumerate(sides) if s == 1]
@@ -141,10 +197,10 @@ def verified_links(docs: DataFrame, places: DataFrame, width: int, percent: int,
             for n, i in enumerate(first):
                 for j in second or first[:n]:
                     x, y = sets[i], sets[j]
-                    if not x or not y or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or find(i) == find(j):
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or (seen[i] is not None and seen[i] == seen[j]) or find(i) == find(j):
                         continue
                     both = len(x & y)
-                    if 100 * both >= percent * (len(x) + len(y) - both):
+                    if both and 100 * both >= percent * (len(x) + len(y) - both):
                         root[find(i)] = find(j)
                         a.append(reps[i])
                         b.append(reps[j])
@@ -152,10 +208,55 @@ def verified_links(docs: DataFrame, places: DataFrame, width: int, percent: int,
 
         return step
 
-    return sorted_groups(rows, "task", ["side", "rep"], ["rep", "text", "side"], "a long, b long", start)
+    return sorted_groups(rows, "task", ["side", "rep"], ["rep", "text", "side", "component", "seen"], "a long, b long", start)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, width: int, percent: int, id_col: str, text_col: str, report: dict | None = None) -> DataFrame:
+    """node, component of all representatives (rep, n_shingles, u, v) that verified links connect.
+
+    Turns first: representatives that share a key are dealt into blocks around anchors, compared
+    within their block (a group's anchor stands in each of its blocks), and what is linked is
+    contracted.  A key all of whose representatives are connected is done.  Another turn, with other
+    anchors, follows where large components of many blocks share a key (a group that its anchor did
+    not connect).  Then the rest is compared, block by block, across components only.  So a group of
+    near copies costs about its size, and pairs of blocks are formed only around texts that no link
+    connects.  ``report`` gets the numbers of turns and of pairs of blocks.
+    """
+    keys = shared_keys(reps)
+    sizes = cut(reps.select("rep", F.greatest(F.lit(1.0), F.col("n_shingles") / LONG).alias("weight")))
+    report = {} if report is None else report
+    report |= {"turns": 0, "pairs": 0}
+    check = lambda places: verified_links(docs, cut(places), width, percent, id_col, text_col)
+    found, labels, now = None, None, keys
+    while True:
+        blocks, anchors = dealt(now, sizes, report["turns"])
+        rows = blocks.select("rep", "block").union(anchors).distinct().select("rep", F.col("block").alias("task"), F.lit(0).alias("side"))
+        rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left") if labels else rows.withColumn("component", F.col("rep"))
+        new = cut(check(rows.select("rep", "task", "side", F.coalesce("component", "rep").alias("component"), F.lit(None).cast("long").alias("seen"))))
+        found = new if found is None else found.union(new)
+        labels = components(found)
+        report["turns"] += 1
+        named = labelled(blocks, labels)
+        only = F.when(F.col("large"), F.col("component"))
+        kinds = join_few(now.select("rep", "key"), named.select("rep", "component", "large"), "rep")
+        kinds = kinds.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if("large").alias("n"), (F.min(only) < F.max(only)).alias("apart"))
+        mixed = cut(kinds.where("low < high").select("key", ((F.col("n") > SPREAD * BLOCK) & F.col("apart")).alias("apart")))
+        now = cut(join_few(now, mixed.select("key"), "key", "left_semi"))
+        if report["turns"] == TURNS or new.isEmpty() or mixed.where("apart").isEmpty():
+            break
+        now = anchored_anew(now, report["turns"])
+    member = members(named.join(now.select("rep").distinct(), "rep", "left_semi"))
+    pairs = pairs_of_blocks(join_few(now.select("rep", "key"), member, "rep"))
+    report["pairs"] = pairs.count()
+    if not report["pairs"]:
+        return labels
+    tasks = pairs.select(F.xxhash64("block", "other").alias("task"), "block", "other")
+    sides = tasks.select("task", "block", F.lit(0).alias("side")).union(tasks.where("block <> other").select("task", F.col("other").alias("block"), F.lit(1).alias("side")))
+    more = check(member.join(sides, "block").select("rep", "task", "side", "component", "seen"))
+    return components(found.union(more))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
     """Components of near-duplicate texts: doc_id, n_shingles, component_id, kept, set_hash.
 
     Texts are linked if 100 * |A & B| >= percent * |A | B| on their sets of ``width``-word shingles
@@ -163,13 +264,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     smallest doc_id reachable and ``kept`` marks that document.  Equal sets are one class from the
     start.  A null, empty or blank text has an empty set and is linked with nothing.  A null id is
     linked with nothing: component_id null, kept true.  Repeated rows stay and get the same
-    component.  No rows give no rows.
+    component.  No rows give no rows.  Other columns are not looked at.  A very long text is
+    compared in small blocks: a set of shingles takes some 70 bytes each.  ``report``, a dict, gets
+    the numbers of turns and of pairs of blocks that were compared.
     """
     rows = cut(signatures(docs, width, id_col, text_col))
     full = rows.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    reps = cut(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("u").alias("u"), F.first("v").alias("v")))
-    places = cut(blocks_to_compare(reps))
-    found = components(verified_links(docs, places, width, percent, id_col, text_col))
+    reps = cut(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("u").alias("u"), F.first("v").alias("v")))
+    found = links(docs, reps, width, percent, id_col, text_col, report)
     named = reps.select("set_hash", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
