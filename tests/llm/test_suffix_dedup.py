@@ -38,9 +38,9 @@ def made(seed, n):
     return docs + [docs[0], docs[1][: len(docs[1]) // 2], "ab" * 300, "x" * 700, "é" * 99, "é" * 101, "y" * 200, "y" * 200, passages[0] * 3]
 
 
-def held(spark, texts, hot=sd.HOT):
+def held(spark, texts, block=None):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.dedup(df, hot=hot).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.dedup(df, block=block).collect()}
     assert got == dict(enumerate(brute(texts)))
 
 
@@ -48,8 +48,17 @@ def test_against_counting_all_strings(spark):
     held(spark, made(1, 40))
 
 
-def test_hot_buckets_are_split(spark):
-    held(spark, made(2, 40), hot=2)
+def test_buckets_beyond_a_block_are_halved(spark):
+    held(spark, made(2, 40), block=800)
+
+
+def test_a_passage_cut_everywhere(spark):
+    """Every text ends its copy of one passage elsewhere, in texts of very different length."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(700)
+    texts = [noise(rng.choice((5, 50, 3000))) + passage[rng.randrange(250) : 450 + rng.randrange(250)] + noise(rng.choice((0, 7, 400))) for _ in range(60)]
+    held(spark, [*texts, passage, noise(200_000) + passage[100:350]], block=1200)
 
 
 def test_small_blocks(spark, monkeypatch):

@@ -11,7 +11,10 @@ Sorting every suffix of a corpus moves many times its size.  Two exact steps lea
    and ties by ranks of the block's difference-cover sample, precomputed by doubling.  A comparison
    of two long ties costs one look at both ranks, so memory is some words per byte of the block.
 
-A bucket with more than ``HOT`` runs is split by its strings' hashes instead.
+A bucket of more bytes than a block (a passage that very many texts share) is split first, by longer
+samples: starts are halved by their distance to the sample, and each half is dealt by all bytes that
+its strings have in common.  Equal strings stay together, so after a few halvings every bucket
+fits a block and is sorted like the others.
 """
 
 from __future__ import annotations
@@ -20,17 +23,19 @@ import hashlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veinmap.llm.common import ROWS_AT_ONCE, cut, join_few, map_rows
+from veinmap.llm.common import cut, fresh, join_few, map_rows, pieces
 
 DEPTH, GRAM = 200, 24
-#: Starts of a run at most, and so the bits of ``place`` for their number.
+#: Starts of a run at most.
 RUN = DEPTH - GRAM + 1
 #: Bytes of a block, about.
 BLOCK = 500_000
-HOT = 20_000
+#: Bits of a position in a text.
+_AT = np.uint64(31)
 #: A perfect difference set modulo PERIOD: any two positions reach it by one common shift.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 _IN = np.isin(np.arange(PERIOD), COVER)
@@ -59,25 +64,30 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-def runs_of(raw: bytes) -> tuple[list[int], list[int], list[int]]:
-    """Gram hash, hash of all bytes, and place (first start * 256 + number of starts) of each run."""
+def runs_of(raw: bytes) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Gram hash, two 64-bit hashes of all bytes, and place of each run.
+
+    A place holds the first start, how far the sample lies behind it (8 bits) and the number of
+    starts (8 bits).  The sample is the leftmost gram with the least leading bits of its hash, the
+    same number of bits in every text.
+    """
     if len(raw) < DEPTH:
-        return [], [], []
+        return [], [], [], []
     h = gram_hashes(np.frombuffer(raw, np.uint8))
     n = len(h) - RUN + 1  # starts
-    bits = np.uint64(int(len(h)).bit_length())
-    key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    key = (h >> _AT << _AT) | np.arange(len(h), dtype=np.uint64)
     pad = (-len(key)) % RUN
     blocks = np.concatenate([key, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, RUN)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[:n], ahead[RUN - 1 : RUN - 1 + n]) & ((np.uint64(1) << bits) - np.uint64(1))
+    least = np.minimum(back[:n], ahead[RUN - 1 : RUN - 1 + n]) & ((np.uint64(1) << _AT) - np.uint64(1))
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     sizes = np.diff(np.append(first, n))
     text = memoryview(raw)
-    signs = [xxhash.xxh3_64_intdigest(text[a : a + m + DEPTH - 1]) for a, m in zip(first.tolist(), sizes.tolist(), strict=True)]
-    grams = h[least[first].astype(np.int64)].astype(np.int64)
-    return grams.tolist(), np.array(signs, np.uint64).astype(np.int64).tolist(), (first * 256 + sizes).tolist()
+    signs = b"".join([xxhash.xxh3_128_digest(text[a : a + m + DEPTH - 1]) for a, m in zip(first.tolist(), sizes.tolist(), strict=True)])
+    sign, tail = np.frombuffer(signs, np.int64).reshape(-1, 2).T
+    sample = least[first].astype(np.int64)
+    return h[sample].astype(np.int64).tolist(), sign.tolist(), tail.tolist(), ((first << 16) | (sample - first << 8) | sizes).tolist()
 
 
 def _ranks(*keys: np.ndarray) -> np.ndarray:
@@ -166,7 +176,7 @@ def _spans(flags: np.ndarray, first: int) -> list[int]:
 
 
 def sorted_blocks(rows: DataFrame) -> DataFrame:
-    """rows (bucket, text_id, place, settled, raw) -> text_id, place of repeated starts."""
+    """rows (bucket, row, place, settled, raw) -> row, place of repeated starts."""
     import pyarrow as pa
 
     def run(batches):
@@ -174,12 +184,12 @@ def sorted_blocks(rows: DataFrame) -> DataFrame:
 
         def ended():
             ids, places = [], []
-            for (text_id, place, done, _), flags in zip(held, repeated_in_block([h[3] for h in held], [h[2] for h in held]), strict=True):
+            for (row, place, done, _), flags in zip(held, repeated_in_block([h[3] for h in held], [h[2] for h in held]), strict=True):
                 if not done:
-                    own = _spans(flags, place >> 8)
-                    ids += [text_id] * len(own)
+                    own = _spans(flags, place >> 16)
+                    ids += [row] * len(own)
                     places += own
-            return pa.RecordBatch.from_pydict({"text_id": pa.array(ids, pa.int64()), "place": pa.array(places, pa.int64())})
+            return pa.RecordBatch.from_pydict({"row": pa.array(ids, pa.int64()), "place": pa.array(places, pa.int64())})
 
         for batch in batches:
             for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -192,47 +202,95 @@ def sorted_blocks(rows: DataFrame) -> DataFrame:
         if held:
             yield ended()
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "text_id", "place", "settled", "raw").mapInArrow(run, "text_id long, place long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "row", "place", "settled", "raw").mapInArrow(run, "row long, place long")
+
+
+def _parts() -> tuple[Column, Column, Column]:
+    """First start, distance of the sample and number of starts of ``place``."""
+    return F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
 
 
-def _bytes(text: str = "text", place: str = "place"):
-    """The bytes of the run at ``place``."""
-    return F.substring(F.encode(F.col(text), "UTF-8"), (F.shiftright(place, 8) + 1).cast("int"), (F.col(place).bitwiseAND(255) + (DEPTH - 1)).cast("int"))
+def judged(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of written runs (bucket, sign, tail, row, place, settled and, once known, raw, low, high): repeats, and what is left.
 
+    Repeats (row, place) are runs that another one of the bucket equals as a whole.  Left (bucket,
+    n_kinds, row, place, settled, ...) is one run of each kind of a bucket that has several.
+    """
+    kind = ["bucket", "sign", "tail"]
+    more = [c for c in ("raw", "low", "high") if c in runs.columns]
+    kinds = cut(runs.groupBy(*kind).agg(F.count("*").alias("n"), F.max("settled").alias("settled"), F.min_by("place", "row").alias("place"), F.min("row").alias("row"), *(F.first(c).alias(c) for c in more)))
+    whole = runs.where("NOT settled").join(kinds.where("n > 1").select(*kind), kind, "left_semi")
+    buckets = cut(kinds.groupBy("bucket").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1"))
+    left = join_few(kinds, buckets, "bucket").select("bucket", "n_kinds", "row", "place", ((F.col("n") > 1) | F.col("settled")).alias("settled"), *more)
+    first, _, size = _parts()
+    return whole.select("row", (first * 256 + size).alias("place")), cut(left)
+
+
+def with_bytes(docs: DataFrame, names: DataFrame, left: DataFrame) -> DataFrame:
+    """The rows of ``left`` with the bytes of their runs, ``raw``.  names: row, text_id."""
+    wanted = cut(join_few(names, left, "row").groupBy("text_id").agg(F.collect_list(F.struct("row", "bucket", "n_kinds", "place", "settled")).alias("wanted")))  # a text's own runs
+    texts = join_few(docs, wanted.select("text_id"), "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
+    rows = texts.join(wanted, "text_id").select("text", F.inline("wanted"))
+    first, _, size = _parts()
+    raw = F.substring(F.encode("text", "UTF-8"), (first + 1).cast("int"), (size + (DEPTH - 1)).cast("int"))
+    return rows.select("bucket", "n_kinds", "row", "place", "settled", raw.alias("raw"))
 
-def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """text_id, places (array) of starts of repeated DEPTH-byte strings.  docs: text_id, text."""
+
+def halved(hot: DataFrame) -> DataFrame:
+    """Runs (bucket, row, place, settled, raw, low, high) cut in two, by the distance of starts to the sample.
+
+    low, high: the distances of the bucket.  Strings of a half all hold the bytes from ``low`` before
+    the sample to DEPTH - high behind its begin; the half's bucket is the hash of these.
+    """
+    middle = F.floor((F.col("low") + F.col("high")) / 2)
+    rows = hot.select("bucket", "row", "place", "settled", "raw", F.explode(F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))).alias("half"))
+    first, lead, size = _parts()
+    near, far = F.greatest(lead - size + 1, F.col("half.low")), F.least(lead, F.col("half.high"))
+    rows = rows.select("bucket", "row", "settled", "raw", "half.low", "half.high", lead.alias("lead"), first.alias("first"), near.alias("near"), far.alias("far")).where("low <= high AND near <= far")
+    piece = lambda at, size: F.substring(F.col("raw"), (at + 1).cast("int"), size.cast("int"))
+    lead, low, high, near, far = map(F.col, ("lead", "low", "high", "near", "far"))
+    rows = rows.select(
+        F.xxhash64("bucket", low, piece(lead - low, DEPTH - (high - low))).alias("bucket"), "row", "settled", low, high,
+        (F.shiftleft(F.col("first") + lead - far, 16) + far * 256 + (far - near + 1)).alias("place"), piece(lead - far, far - near + DEPTH).alias("raw"),
+    )
+    return rows.withColumn("sign", F.xxhash64("raw")).withColumn("tail", F.xxhash64(F.lit(1), "raw"))
+
+
+def repeats(docs: DataFrame, block: int | None = None) -> DataFrame:
+    """text_id, places (array) of starts of repeated DEPTH-byte strings.  docs: text_id (128 bits), text."""
+    most = (block or BLOCK) // (2 * DEPTH)
 
     def start():
+        first, seen = TaskContext.get().partitionId() << 40, 0
+
         def step(text_ids, texts):
-            return [text_ids, *map(list, zip(*(runs_of(t.encode()) for t in texts), strict=True))]
+            nonlocal seen
+            rows = list(range(first + seen, first + seen + len(texts)))
+            seen += len(texts)
+            return [rows, text_ids, *map(list, zip(*(runs_of(t.encode()) for t in texts), strict=True))]
 
         return step
 
     long_enough = docs.where(F.octet_length("text") >= DEPTH)
-    by_doc = cut(map_rows(long_enough, ["text_id", "text"], "text_id long, gram array<long>, sign array<long>, place array<long>", start))
-    runs = by_doc.select("text_id", F.explode(F.arrays_zip("gram", "sign", "place")).alias("r")).select("text_id", "r.gram", "r.sign", "r.place")
+    by_doc = cut(map_rows(long_enough, ["text_id", "text"], "row long, text_id binary, gram array<long>, sign array<long>, tail array<long>, place array<long>", start))
+    names = by_doc.select("row", "text_id")
+    runs = by_doc.select("row", F.explode(F.arrays_zip("gram", "sign", "tail", "place")).alias("r")).select("row", F.col("r.gram").alias("bucket"), "r.sign", "r.tail", "r.place")
     # written, so that both sides of a join have their own exchange and a hot key's rows can be split
-    often = cut(by_doc.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    runs = cut(runs.join(often, "gram", "left_semi"))
-
-    kinds = runs.groupBy("gram", "sign").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "place")).alias("one"))
-    kinds = cut(kinds)
-    settled = runs.join(kinds.where("n > 1").select("gram", "sign"), ["gram", "sign"], "left_semi").select("text_id", "place")
-
-    buckets = cut(kinds.groupBy("gram").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1"))
-    left = kinds.join(buckets, "gram").select("gram", "n_kinds", (F.col("n") > 1).alias("settled"), "one.text_id", "one.place")
-    wanted = cut(left.groupBy("text_id").agg(F.collect_list(F.struct("gram", "n_kinds", "settled", "place")).alias("wanted")))  # a text's own runs
-    texts = join_few(docs, wanted.select("text_id"), "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
-    rows = texts.join(wanted, "text_id").select("text_id", "text", F.inline("wanted"))
-    sorted_runs = rows.where(F.col("n_kinds") <= hot).select(F.col("gram").alias("bucket"), "text_id", "place", "settled", _bytes().alias("raw"))
-    found = settled.union(sorted_blocks(sorted_runs))
-    if not buckets.where(F.col("n_kinds") > hot).isEmpty():
-        each = rows.where(F.col("n_kinds") > hot).select("text_id", "text", "settled", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("place").bitwiseAND(255) - 1), lambda i: (F.shiftright("place", 8) + i) * 256 + 1)).alias("place"))
-        each = each.select("text_id", "place", "settled", F.md5(_bytes()).alias("string"))
-        twice = each.groupBy("string").agg((F.count("*") + F.max(F.col("settled").cast("int"))).alias("n")).where("n > 1").select("string")
-        found = found.union(each.where(~F.col("settled")).join(twice, "string", "left_semi").select("text_id", "place"))
-    return cut(found.groupBy("text_id").agg(F.collect_set("place").alias("places")))  # a text's own runs
+    often = cut(by_doc.select(F.explode("gram").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    runs = cut(runs.join(often, "bucket", "left_semi")).withColumn("settled", F.lit(False))
+    whole, left = judged(runs)
+    found = [whole, sorted_blocks(with_bytes(docs, names, left.where(F.col("n_kinds") <= most)))]
+    hot = left.where(F.col("n_kinds") > most)
+    if not hot.isEmpty():
+        hot = cut(with_bytes(docs, names, hot).withColumn("low", F.lit(0).cast("long")).withColumn("high", F.lit(RUN - 1).cast("long")))
+        while not hot.isEmpty():  # eight times at most: then low = high, and a bucket is one string
+            whole, left = judged(cut(halved(hot)))
+            found += [whole, sorted_blocks(left.where(F.col("n_kinds") <= most))]
+            hot = left.where(F.col("n_kinds") > most)
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return cut(names.join(cut(every), "row").groupBy("text_id").agg(F.collect_set("place").alias("places")))  # a text's own runs
 
 
 def without(raw: bytes, places: list[int] | None) -> tuple[bytes, int]:
@@ -251,38 +309,44 @@ def without(raw: bytes, places: list[int] | None) -> tuple[bytes, int]:
     return b"".join([*kept, raw[at:]]), len(spans)
 
 
-def drop_repeats(docs: DataFrame, text_col: str = "text", hot: int = HOT) -> DataFrame:
+def text_key(text: Column) -> Column:
+    """What tells texts apart: 128 bits."""
+    return F.unhex(F.md5(text))
+
+
+def drop_repeats(docs: DataFrame, text_col: str = "text", block: int | None = None) -> DataFrame:
     """``docs``, with all columns, whose texts lose their repeated bytes (null stays null)."""
     import pyarrow as pa
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    places = repeats(docs.select(F.xxhash64(text).alias("text_id"), text.alias("text")), hot)
-    joined = docs.withColumn("__text_id", F.xxhash64(text)).join(places.select(F.col("text_id").alias("__text_id"), F.col("places").alias("__places")), "__text_id", "left")
+    key, own = fresh(docs, "text_id"), fresh(docs, "places")
+    places = repeats(docs.select(text_key(text).alias("text_id"), text.alias("text")), block)
+    joined = docs.withColumn(key, text_key(text)).join(places.select(F.col("text_id").alias(key), F.col("places").alias(own)), key, "left")
     column = docs.columns.index(text_col)
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
+            for batch in pieces(whole):
                 texts, all_places = batch.column(column).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
                 left = [without(t.encode(), p)[0].decode(errors="ignore") if t and p else t for t, p in zip(texts, all_places, strict=True)]
                 columns = [pa.array(left, pa.string()) if i == column else c for i, c in enumerate(batch.columns[:-1])]
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return joined.select(*docs.columns, "__places").mapInArrow(run, docs.schema)
+    return joined.select(*docs.columns, own).mapInArrow(run, docs.schema)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int | None = None) -> DataFrame:
     """Removes each byte that a DEPTH-byte string covers which also starts anywhere else.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept_text (the
     kept bytes as text; a character cut in two loses its other bytes).  Matches never cross
     documents; overlapping strings count; all strings are judged on the input.  A null text counts
-    as empty.  Repeated rows are copies of each other; null ids stay; no rows give no rows.  Texts
-    are told apart by their 64-bit hash.
+    as empty.  Repeated rows are copies of each other; null ids stay; no rows give no rows; other
+    columns are not looked at.  Long texts are worked at as bytes of one row, with some 40 bytes of
+    memory for each.  Texts and runs are told apart by 128-bit hashes.
     """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_id", F.xxhash64("text"))
-    places = repeats(named.select("text_id", "text"), hot)
+    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_id", text_key(F.col("text")))
+    places = repeats(named.select("text_id", "text"), block)
 
     def start():
         def step(ids, texts, all_places):
