@@ -88,3 +88,11 @@ def test_edited_inserted_and_truncated_notices(spark):
     got = {r.doc_id: (r.labels, r.score) for r in ls.scan(df).collect()}
     assert [got[i][0] for i in range(len(EDITED))] == [labels for _, labels in EDITED]
     assert all((score > 0) == bool(labels) for labels, score in got.values())
+
+
+def test_a_text_of_very_many_notices(spark):
+    notice = "Licensed under the Apache License, Version 2.0. Some words. "
+    few, many = 2_000, 50_000
+    df = spark.createDataFrame([(n, notice * n) for n in (few, many)], "doc_id long, text string")
+    got = {r.doc_id: r for r in ls.scan(df).select("doc_id", "n_words", "labels", "score", "spans").collect()}
+    assert all(got[n].labels == "apache" and got[n].score == 1.0 and got[n].n_words == 10 * n and len(got[n].spans) >= 1 for n in (few, many))

@@ -28,14 +28,19 @@ NAMING = {"apache": "apache", "cc-by-nc": "nc", "cc-by-sa": "sa", "mit": "mit"}
 TEMPLATES = {
     "apache": "licensed under the apache license version 2 0",
     "apache-header": "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+    "as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc-by-nc": "licensed under cc by nc 4 0",
     "cc-by-sa": "licensed under cc by sa 4 0",
+    "cc0": "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "epl": "this program and the accompanying materials are made available under the terms of the eclipse public license",
     "gpl": "this work is licensed under the gnu general public license version 3",
     "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "mit": "released under the mit license",
     "mit-notice": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit-terms": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
@@ -50,6 +55,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(low, _BETWEEN), lambda w: w != "")
 
 
+def bind(value: Column, use) -> Column:
+    """``use`` of ``value``, which is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _places(words: Column, phrase: str) -> Column:
     """Where the phrase's words stand, from 0."""
     parts = phrase.split(" ")
@@ -118,22 +128,28 @@ def spans(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame
 def verified(docs: DataFrame, candidates: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """text_id, found: array of (label, share, first, last) of spans with enough of a template's words on their diagonals.
 
-    Of a short template (``NAMING``) one word may be missing, and words count up to ``NEAR`` off a diagonal.
+    Of a short template (``NAMING``) one word may be missing, and words count up to ``NEAR`` off a
+    diagonal.  All spans of a text are verified in its row, beside one copy of its words.
     """
-    texts = docs.sparkSession.createDataFrame([(label, text.split(" "), NAMING.get(label)) for label, text in (templates or TEMPLATES).items()], "label string, template array<string>, naming string")
-    own = candidates.groupBy("text_id").agg(F.collect_list(F.struct("label", "first", "last", "diagonals")).alias("spans"))
-    own = cut(own)
-    rows = join_few(docs, own.select("text_id"), "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
-    rows = rows.join(own, "text_id").select("text_id", words_of(F.col("text")).alias("words"), F.col("spans"))
-    rows = rows.select("text_id", "words", F.inline("spans")).join(F.broadcast(texts), "label")
-    wide = F.array_distinct(F.flatten(F.transform("diagonals", lambda d: F.sequence(d - NEAR, d + NEAR))))
-    rows = rows.withColumn("diagonals", F.when(F.col("naming").isNotNull(), wide).otherwise(F.col("diagonals")))
-    stands = lambda t: F.exists("diagonals", lambda d: F.coalesce((t + d >= 0) & (F.get(F.col("words"), F.greatest(t + d, F.lit(0))) == F.get(F.col("template"), t)), F.lit(False)))
-    rows = rows.withColumn("stand", F.filter(F.sequence(F.lit(0), F.size("template") - 1), stands))
-    share = F.size("stand") / F.size("template")
-    edited = F.col("naming").isNotNull() & (F.size("stand") >= F.size("template") - 1) & F.exists("stand", lambda t: F.get(F.col("template"), t) == F.col("naming"))
-    rows = rows.where((share >= least) | F.coalesce(edited, F.lit(False))).select("text_id", "label", "first", "last", share.alias("share"))
-    return rows.groupBy("text_id").agg(F.collect_list(F.struct("label", "share", "first", "last")).alias("found"))
+    known = templates or TEMPLATES
+    words_by = F.create_map(*(F.lit(x) if i % 2 == 0 else F.split(F.lit(x), " ") for label, text in known.items() for i, x in enumerate((label, text))))
+    naming_by = F.create_map(*(F.lit(x) for label in known for x in (label, NAMING.get(label, ""))))
+    own = cut(candidates.groupBy("text_id").agg(F.collect_list(F.struct("label", "first", "last", "diagonals")).alias("spans")))
+    rows = join_few(docs, own.select("text_id"), "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text")).join(own, "text_id")
+
+    def judged(words: Column, span: Column) -> Column:
+        def counted(template: Column, naming: Column) -> Column:
+            wide = F.array_distinct(F.flatten(F.transform(span["diagonals"], lambda d: F.sequence(d - NEAR, d + NEAR))))
+            stands = lambda t, d: F.coalesce((t + d >= 0) & (F.get(words, F.greatest(t + d, F.lit(0))) == F.get(template, t)), F.lit(False))
+            stand = bind(F.when(naming != "", wide).otherwise(span["diagonals"]), lambda ds: F.filter(F.sequence(F.lit(0), F.size(template) - 1), lambda t: F.exists(ds, lambda d: stands(t, d))))
+            edited = lambda at: (naming != "") & (F.size(at) >= F.size(template) - 1) & F.exists(at, lambda t: F.get(template, t) == naming)
+            share = lambda at: F.size(at) / F.size(template)
+            return bind(stand, lambda at: F.when((share(at) >= least) | edited(at), F.struct(span["label"].alias("label"), share(at).alias("share"), span["first"].alias("first"), span["last"].alias("last"))))
+
+        return bind(F.element_at(words_by, span["label"]), lambda template: counted(template, F.element_at(naming_by, span["label"])))
+
+    found = bind(words_of(F.col("text")), lambda words: F.array_compact(F.transform("spans", lambda span: judged(words, span))))
+    return rows.select("text_id", found.alias("found"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,9 +159,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     and largest start, else null), base_labels, labels (with the templates'; both distinct, sorted,
     comma-joined), score (the best verified share of a template; 1 with a base phrase; else 0) and
     spans.  A null text counts as empty.  Null ids and repeated rows stay; no rows give no rows.
-    Texts are told apart by their 64-bit hash.
+    Other columns are not looked at.  Memory is some words beside each text and a row for each
+    span, however long the text.  Texts are told apart by 128-bit hashes.
     """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_id", F.xxhash64("text"))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_id", F.unhex(F.md5("text")))
     ids = named.select("text_id", words_of(F.col("text")).alias("words"))
     found = verified(named.select("text_id", "text"), spans(ids, templates), templates)
 
