@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from veinmap.llm.common import map_rows
 
-#: Words whose ids a worker keeps.
-MEMO = 300_000
+#: Words whose ids a worker keeps, of at most LONG bytes; longer ones are merged exactly, in n log n.
+MEMO, LONG = 300_000, 128
 #: Unicode white space, spelt out, for engines differ on the information separators.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
@@ -165,6 +165,16 @@ class Bpe:
 
     def encode_words(self, words: list[bytes]) -> tuple[list[bytes], int]:
         """Ids of each word (little-endian, 32 bits), and how many words had to be merged exactly."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            out = [b""] * len(words)
+            for i in long:
+                out[i] = np.array(self.exact(words[i]), "<u4").tobytes()
+            rest = [i for i, w in enumerate(words) if len(w) <= LONG]
+            found, failed = self.encode_words([words[i] for i in rest]) if rest else ([], 0)
+            for i, ids in zip(rest, found, strict=True):
+                out[i] = ids
+            return out, failed + len(long)
         tokens, sizes = self.propose(words)
         starts = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(words)), sizes)
@@ -198,9 +208,10 @@ class Bpe:
             self.memo.clear()
         self.memo.update({s: np.array([i], "<u4").tobytes() for s, i in self.special.items()})
         new = [w for w in distinct if w not in self.memo]
-        if new:
-            self.memo.update(zip(new, self.encode_words([w.encode() for w in new])[0], strict=True))
-        get = self.memo.__getitem__
+        ids = dict(zip(new, self.encode_words([w.encode() for w in new])[0], strict=True)) if new else {}
+        long = {w: i for w, i in ids.items() if len(w) > LONG}
+        self.memo.update((w, i) for w, i in ids.items() if len(w) <= LONG)
+        get = (lambda w: long[w] if w in long else self.memo[w]) if long else self.memo.__getitem__
         return [b"".join(map(get, own)) for own in every]
 
     def decode(self, ids: bytes) -> str:
@@ -228,7 +239,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     Ids and decoded text are those of the tokenizers library without added special tokens; special
     strings inside texts become their ids and are decoded too.  A null text counts as empty.  Null
-    ids and repeated rows stay; no rows give no rows.  Narrow: no shuffle.
+    ids and repeated rows stay; no rows give no rows; other columns are not looked at.  Words of
+    any length cost n log n and are not kept.  Narrow: no shuffle.
     """
 
     def start():
