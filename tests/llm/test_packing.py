@@ -26,6 +26,27 @@ def test_ids_equal_the_library(library):
         assert coder.encode_to_numpy(text, allowed_special="all").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_very_long_runs(library):
+    n = 5_000_000
+    assert packing.ids_of(PATH, "a b " + "x " * 40_000 + "é" * 50_000).tolist() == library.encode("a b " + "x " * 40_000 + "é" * 50_000, add_special_tokens=False).ids
+    few = packing.ids_of(PATH, " " * 3000 + "x").tolist()
+    for text in (" " * n + "x", "x" * n, "y\n" + "\n" * n + "<|endoftext|>z"):
+        ids = packing.ids_of(PATH, text)
+        assert packing.bpe.loaded(PATH).decode(ids.astype("<u4").tobytes()) == text
+    assert few == library.encode(" " * 3000 + "x", add_special_tokens=False).ids
+    assert packing.ids_of(PATH, " " * 700_000 + "x").tolist() == packing.bpe.loaded(PATH).exact(b" " * 699_999) + library.encode(" x", add_special_tokens=False).ids
+
+
+def test_a_vocabulary_out_of_order(tmp_path):
+    import json
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["model"]["merges"][5], spec["model"]["merges"][9] = spec["model"]["merges"][9], spec["model"]["merges"][5]
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        packing.tokenizer(str(tmp_path / "v.json"))
+
+
 def test_hilbert_keys_walk_the_grid():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     keys = packing.hilbert_keys(cells, 3)

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veinmap.llm import bpe
 from veinmap.llm.common import cut, map_rows
 
 DIMS, BITS = 4, 10
@@ -49,7 +50,11 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def tokenizer(path: str):
-    """The byte-level vocabulary of a tokenizers file, with its special strings; equal ids, see the tests."""
+    """The byte-level vocabulary of a tokenizers file, with its special strings.
+
+    Its encoder takes ids for the ranks of merges; that the file's merges give ascending ids, one
+    merge a token, is proven here.
+    """
     import public_tokenizers
     import tiktoken
 
@@ -59,9 +64,23 @@ def tokenizer(path: str):
     byte_of = {chr(c): c for c in printable} | {chr(256 + n): c for n, c in enumerate(c for c in range(256) if c not in printable)}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    merged = [spec["model"]["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    singles = {i for raw, i in ranks.items() if len(raw) == 1}
+    if any(a >= b for a, b in zip(merged, merged[1:])) or (merged and max(singles) > merged[0]) or len(singles) != 256 or singles | set(merged) != set(ranks.values()):
+        raise ValueError("this vocabulary's ids don't rise with its merges")
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def ids_of(path: str, text: str | None) -> np.ndarray:
+    """Ids of a text.  The encoder gives up on a very long run of white space; such a text goes to the exact one."""
+    if not text:
+        return np.zeros(0, np.uint32)
+    try:
+        return tokenizer(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.frombuffer(bpe.loaded(path).encode([text])[0], "<u4")
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """row, doc_id, n, key, ids (little-endian, 16 bits if they fit)."""
 
@@ -73,7 +92,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
 
         def step(doc_ids, texts):
             nonlocal seen
-            found = [coder.encode_to_numpy(t, allowed_special="all") if t else np.zeros(0, np.uint32) for t in texts]
+            found = [ids_of(path, t) for t in texts]
             sums = np.stack([towards[f].sum(axis=0) for f in found])
             norms = np.sqrt(np.maximum([[len(f)] for f in found], 1))
             cells = (((1 << BITS) - 1) / (1 + np.exp(-sums / norms / 4))).astype(np.int64)  # 4: spreads languages over the range
@@ -105,7 +124,8 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, id_col
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  A document's tokens
     are its ids without added special tokens, then ``end_id``; a null or empty text has that id
-    alone.  Repeated rows and null ids are packed like any other row.  No rows give no rows.
+    alone.  Repeated rows and null ids are packed like any other row.  No rows give no rows.  Other
+    columns are not looked at.  A text of any length is one row of ids, some 12 bytes a token.
     """
     rows = cut(tokenized(docs, path, end_id, id_col, text_col))
     joined = rows.select("row", "doc_id", "ids").join(laid_out(rows).hint("shuffle_hash"), "row")
