@@ -16,6 +16,16 @@ from veinmap.llm import chat
     ({"instruction": "i", "input": "x", "output": "o"}, "instruction with input", [("user", "i\nx"), ("assistant", "o")]),
     ({"prompt": "p", "completion": 3}, "prompt and completion", [("user", "p"), ("assistant", "3")]),
     ({"data": {"question": "q", "answer": "a"}}, "question and answer", [("user", "q"), ("assistant", "a")]),
+    ({"id": 1, "messages": [{"role": "user", "content": "a"}]}, "messages", [("user", "a")]),
+    ({"messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "tool", "content": None, "tool_calls": [{"f": 1}]}]}, "messages", [("user", "a"), ("tool", "")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image"}, "b"]}]}, "messages of parts", [("user", "a\nb")]),
+    ({"conversations": [{"from": "human", "value": "a", "weight": 0.5}], "source": "s"}, "conversations", [("user", "a")]),
+    ({"instruction": "i", "output": "o", "source": "s"}, "instruction", [("user", "i"), ("assistant", "o")]),
+    ({"instruction": "i", "input": "", "output": "o", "id": 3}, "instruction with input", [("user", "i\n"), ("assistant", "o")]),
+    ({"system": "s", "prompt": "p", "response": "r", "meta": {"a": [1]}}, "system, prompt and response", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+    ({"prompt": "p", "response": "r", "score": 1}, "prompt and response", [("user", "p"), ("assistant", "r")]),
+    ({"data": {"question": "q", "answer": ["a", "b"], "lang": "en"}}, None, []),
+    ({"role": "user", "text": "\ud83c\udf89 \ud800"}, "text message", [("user", "🎉 \ufffd")]),
     ({"other": 1}, None, []),
     ({"messages": []}, None, []),
 ])
@@ -32,8 +42,9 @@ def test_texts_come_back(text):
 
 
 def test_no_json(spark):
-    df = spark.createDataFrame([(1, 0, None), (1, 1, "{"), (1, 2, "[]"), (1, 3, "3")], "conv_id long, seq long, record string")
-    assert [(r.layout, r.formatted) for r in chat.formatted(df).collect()] == [(None, "")] * 4
+    texts = [None, "{", "[]", "3", "[" * 100_000, "[" * 900 + "]" * 900, '{"other": 1}']
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, seq long, record string")
+    assert [(r.layout, r.formatted, r.unmatched) for r in chat.formatted(df).orderBy("seq").collect()] == [(None, "", t) for t in texts]
 
 
 def test_conversations(spark):

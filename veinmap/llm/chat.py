@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints.
 
 A record's fingerprint is the hash of its set of nested field paths.  It selects a declarative
-mapping, which turns the record's layout (one message, a list of messages, a prompt with its
-response, an instruction) into canonical turns.  A template marks the turns and escapes its control
+mapping (the one with most required paths that the fingerprint's set holds; other paths may stand
+beside them), which turns the record's layout (one message, a list of messages, a prompt with its
+response, an instruction) into canonical turns.  What no mapping fits is handed back as it is.  A template marks the turns and escapes its control
 strings inside texts, so the output can be read back exactly.
 """
 
@@ -12,6 +13,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,12 +23,13 @@ from veinmap.llm.common import map_rows
 
 #: Names of the roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-#: name, paths of the layout, list to walk (or None), turns: (role or "@" and its path, paths of the text).
+#: name, required paths, list to walk (or None), turns: (role or "@" and its path, paths of the text).
 LAYOUTS = (
     ("text message", ("role", "text"), None, (("@role", ("text",)),)),
     ("content message", ("role", "content"), None, (("@role", ("content",)),)),
     ("from-value message", ("from", "value"), None, (("@from", ("value",)),)),
     ("messages", ("messages[].role", "messages[].content"), "messages", (("@role", ("content",)),)),
+    ("messages of parts", ("messages[].role", "messages[].content[].text"), "messages", (("@role", ("content",)),)),
     ("conversations", ("conversations[].from", "conversations[].value"), "conversations", (("@from", ("value",)),)),
     ("prompt and response", ("prompt", "response"), None, (("user", ("prompt",)), ("assistant", ("response",)))),
     ("prompt and completion", ("prompt", "completion"), None, (("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -55,7 +58,15 @@ def fingerprint(found: set[str] | tuple[str, ...]) -> str:
     return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
 
 
-MAPPINGS = {fingerprint(own): (name, walk, turns) for name, own, walk, turns in LAYOUTS}
+@lru_cache(maxsize=1 << 14)
+def _selected(key: str, found: frozenset[str]) -> tuple | None:
+    fitting = [(len(own), -i) for i, (_, own, _, _) in enumerate(LAYOUTS) if found.issuperset(own)]
+    return LAYOUTS[-max(fitting)[1]] if fitting else None
+
+
+def mapping_of(found: set[str]) -> tuple | None:
+    """The layout that a set of paths selects: most required paths, the first among equals."""
+    return _selected(fingerprint(found), frozenset(found))
 
 
 def _get(value, path: str):
@@ -64,19 +75,35 @@ def _get(value, path: str):
     return value
 
 
+def _text(value) -> str:
+    """A string as it is; the texts of a list of parts, each on its line; else JSON."""
+    if isinstance(value, list) and all(isinstance(p, str) or isinstance(p, dict) for p in value):
+        parts = [p if isinstance(p, str) else p.get("text") for p in value]
+        return "\n".join(p if isinstance(p, str) else json.dumps(p) for p in parts if p is not None)
+    return value if isinstance(value, str) else json.dumps(value)
+
+
+def _plain(text: str) -> str:
+    """Surrogates in pairs become the character they mean, lone ones U+FFFD."""
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def canonical(record: str | None) -> tuple[str | None, list[tuple[str, str]]]:
-    """Name of the layout (null: none fits, or no JSON) and the turns."""
+    """Name of the layout (null: none fits, no JSON, or nested too deeply) and the turns."""
     try:
         value = json.loads(record or "")
-    except ValueError:
+        layout = mapping_of(paths(value))
+    except (ValueError, RecursionError):
+        return None, []
+    if layout is None:
         return None, []
-    name, walk, turns = MAPPINGS.get(fingerprint(paths(value)), (None, None, ()))
+    name, _, walk, turns = layout
     out = []
     for item in _get(value, walk) if walk else [value]:
         for role, texts in turns:
             who = str(_get(item, role[1:]) or "") if role[0] == "@" else role
-            parts = [t if isinstance(t, str) else json.dumps(t) for p in texts if (t := _get(item, p)) is not None]
-            out.append((ROLES.get(who, who) if name and "from" in name or walk == "conversations" else who, "\n".join(parts)))
+            parts = [_text(t) for p in texts if (t := _get(item, p)) is not None]
+            out.append((_plain(ROLES.get(who, who) if "from" in name or walk == "conversations" else who), _plain("\n".join(parts))))
     return name, out
 
 
@@ -104,22 +131,25 @@ def read(formatted: str) -> list[tuple[str, str]]:
 
 
 def formatted(records: DataFrame) -> DataFrame:
-    """records (conv_id, seq, record: JSON) -> conv_id, seq, layout, formatted, mask (array of start, stop).
+    """records (conv_id, seq, record: JSON) -> conv_id, seq, layout, formatted, mask, unmatched.
 
-    A record whose paths fit no layout, or that is no JSON, has a null layout and an empty text.  A
-    null role or text is empty.  The texts of a conversation's records, in order, follow each
-    other.  Narrow: no shuffle.
+    mask: array of start, stop of the assistants' texts.  A record that no layout fits, that is no
+    JSON or is nested too deeply has a null layout and an empty text, and stands in ``unmatched``
+    as it is (null for all others).  Fields beside a layout's are left out.  A null role or text is
+    empty.  The texts of a conversation's records, in order, follow each other.  Other columns are
+    not looked at.  Narrow: no shuffle.
     """
 
     def start():
         def step(conv_ids, seqs, all_records):
             found = [canonical(r) for r in all_records]
             made = [written(turns) for _, turns in found]
-            return [conv_ids, seqs, [name for name, _ in found], [text for text, _ in made], [[{"start": a, "stop": b} for a, b in mask] for _, mask in made]]
+            lost = [r if name is None else None for r, (name, _) in zip(all_records, found, strict=True)]
+            return [conv_ids, seqs, [name for name, _ in found], [text for text, _ in made], [[{"start": a, "stop": b} for a, b in mask] for _, mask in made], lost]
 
         return step
 
-    return map_rows(records, ["conv_id", "seq", "record"], "conv_id long, seq long, layout string, formatted string, mask array<struct<start:int,stop:int>>", start)
+    return map_rows(records, ["conv_id", "seq", "record"], "conv_id long, seq long, layout string, formatted string, mask array<struct<start:int,stop:int>>, unmatched string", start)
 
 
 def digests(texts: DataFrame) -> DataFrame:
