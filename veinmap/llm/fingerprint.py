@@ -47,7 +47,7 @@ def merged(a: Column, b: Column, k: int = K) -> Column:
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated share of common shingles among all, 0 to 1; two empty sketches are alike."""
     both = lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(_bind(merged(a, b, k), both))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(_bind(merged(a, b, k), both))
 
 
 def distinct_shingles(a: Column, k: int = K) -> Column:
@@ -118,15 +118,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or
     all) of the next document's.  Returns doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, n_shingles (estimate).  A null text counts as
-    empty.  Rows without an id are left out, for they have no place in the order.  Repeated ids
-    follow each other in the order of a hash of their texts.  No rows give no rows.
+    empty.  Rows without an id have no place in the order: they follow nothing and are followed by
+    nothing, so their columns on edited and next texts are null.  Repeated ids follow each other in
+    the order of a hash of their texts.  No rows give no rows.  Other columns are not looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = every.where("id IS NOT NULL")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     pairs = with_next(rows).select("id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
     pairs = pairs.select("id", "n_chars", "sketch", "next_sketch", F.sha2(F.col("edited"), 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_sketch"))
+    null = lambda kind: F.lit(None).cast(kind)
+    apart = every.where("id IS NULL").select("id", n.cast("long").alias("n_chars"), sketch(F.col("text")).alias("sketch"), null("array<long>").alias("next_sketch"), null("string").alias("edited_sha256"), null("array<long>").alias("edited_sketch"))
+    pairs = pairs.unionByName(apart)
     return pairs.select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("sketch")).alias("fingerprint"), fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"), distinct_shingles(F.col("sketch")).alias("n_shingles"),
