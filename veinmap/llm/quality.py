@@ -12,16 +12,18 @@ No line fails for being in another language, for being short or for lacking a fi
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinmap.llm.common import keep_rows, map_rows
+from veinmap.llm.common import map_rows, rewrite_rows
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 SEPARATORS = frozenset([b"|", b">", b"<", b"||", b">>", b"<<"])
-BOILERPLATE = (b"cookie policy", b"click here", b"subscribe to our newsletter", b"sign up", b"log in", b"skip to content", b"terms of use", b"privacy policy")
+BOILERPLATE = (b"cookie policy", b"click here", b"subscribe to our newsletter", b"sign up", b"log in", b"skip to content", b"terms of use", b"privacy policy", b"hier klicken", b"newsletter abonnieren", b"zum inhalt springen", b"cliquez ici", b"aller au contenu", b"haz clic", b"saltar al contenido")
 SHORT = 12
 #: Whether a text holds none of these is seen at once; then no line of it can fail.
 _SUSPECT = (b"!!", *BOILERPLATE)
@@ -56,55 +58,72 @@ def repeated_words(words: list[bytes]) -> int:
     return int(cover.sum())
 
 
+def _suspect(raw: bytes) -> bool:
+    """Whether a line of the text can fail."""
+    if len(raw.translate(None, SYMBOLS)) < len(raw):
+        return True
+    low = raw.lower()
+    return any(p in low for p in _SUSPECT)
+
+
+def cleaned(text: str | None) -> tuple[str | None, int]:
+    """The text without its failing lines (null stays null), and how many words these have."""
+    raw = (text or "").encode()
+    if not _suspect(raw):
+        return text, 0
+    kept, removed = [], 0
+    for line in raw.split(b"\n"):
+        own = line.split()
+        if own and line_fails(own, line):
+            removed += len(own)
+        else:
+            kept.append(line)
+    return b"\n".join(kept).decode(), removed
+
+
 def measures(text: str | None, lost_percent: int) -> tuple:
+    """The columns of ``quality_rules``, and the cleaned text."""
     raw = (text or "").encode()
     words = raw.split()  # bytes.split() splits at x20 and x09-x0D
     chars = len(text or "") - (len(raw) - len(raw.translate(None, SPACES)))
     n_symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    removed = 0
-    lowered = raw.lower() if n_symbols == 0 else b""
-    if n_symbols or any(p in lowered for p in _SUSPECT):
-        for line in lines:
-            own = line.split()
-            if line_fails(own, line):
-                removed += len(own)
+    rest, removed = cleaned(text)
     repeats = repeated_words(words)
     base_failed = len(words) < 50 or 100 * repeats > 50 * len(words)
-    return len(words), chars, n_symbols, len(lines) - len(set(lines)), repeats, base_failed, removed, not base_failed and 100 * removed <= lost_percent * len(words)
+    return len(words), chars, n_symbols, len(lines) - len(set(lines)), repeats, base_failed, removed, not base_failed and 100 * removed <= lost_percent * len(words), rest
 
 
 def quality_rules(docs: DataFrame, lost_percent: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measures and verdict of each whole text.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    n_removed_words (words of failing lines) and kept.  A null or empty text has no words, so it
-    fails.  Null ids and repeated rows stay; no rows give no rows.  Narrow: no shuffle.
+    n_removed_words (words of failing lines), kept and cleaned_sha256 (of the text without these
+    lines).  A null or empty text has no words, so it fails.  Null ids and repeated rows stay; no
+    rows give no rows; other columns are not looked at; a very long text is judged whole, in some
+    ten times its size.  Narrow: no shuffle.
     """
 
     def start():
-        return lambda ids, texts: [ids, *map(list, zip(*(measures(t, lost_percent) for t in texts), strict=True))]
+        def step(ids, texts):
+            *columns, rest = zip(*(measures(t, lost_percent) for t in texts), strict=True)
+            return [ids, *map(list, columns), [hashlib.sha256((t or "").encode()).hexdigest() for t in rest]]
+
+        return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [F.col(id_col), F.col(text_col)], f"{id_col} {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_removed_words long, kept boolean", start)
+    return map_rows(docs, [F.col(id_col), F.col(text_col)], f"{id_col} {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_removed_words long, kept boolean, cleaned_sha256 string", start)
 
 
-def drop_poor(docs: DataFrame, lost_percent: int = 30, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, that the rules keep.  Narrow: no shuffle."""
-    return keep_rows(docs, text_col, lambda: lambda texts: [measures(t, lost_percent)[-1] for t in texts])
+def clean(docs: DataFrame, lost_percent: int = 30, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that the rules keep, their texts without failing lines.  Narrow: no shuffle."""
+    return rewrite_rows(docs, text_col, lambda: lambda texts: [(found[-2], found[-1]) for found in (measures(t, lost_percent) for t in texts)])
 
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the text without its failing lines (null stays null)."""
-
-    def start():
-        def step(ids, texts):
-            return [ids, [None if t is None else "\n".join(x for x in t.split("\n") if not (w := x.encode().split()) or not line_fails(w, x.encode())) for t in texts]]
-
-        return step
-
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [F.col(id_col), F.col(text_col)], f"{id_col} {kind}, {text_col} string", start)
+    return map_rows(docs, [F.col(id_col), F.col(text_col)], f"{id_col} {kind}, {text_col} string", lambda: lambda ids, texts: [ids, [cleaned(t)[0] for t in texts]])
 
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -114,25 +133,27 @@ w AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM
 t AS (SELECT doc_id, i, w, lead(w, 1) OVER (PARTITION BY doc_id ORDER BY i) AS w1, lead(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS w2 FROM w),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w, w1, w2) AS n FROM t WHERE w2 IS NOT NULL) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) AS s(k) GROUP BY doc_id),
-l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-l AS (SELECT doc_id, line, {_WORDS.format("line")} AS words FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+l AS (SELECT doc_id, line, i, {_WORDS.format("line")} AS words FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 judged AS (
-  SELECT doc_id, line, len(words) AS n,
+  SELECT doc_id, line, i, len(words) AS n,
     2 * len(list_filter(words, lambda x: regexp_matches(x, '[#*$%&|<>]') OR suffix(x, '!!'))) > len(words)
     OR (len(list_filter(words, lambda x: list_contains(['|', '>', '<', '||', '>>', '<<'], x))) >= 2
         AND 4 * len(list_filter(words, lambda x: list_contains(['|', '>', '<', '||', '>>', '<<'], x))) > len(words))
     OR (len(words) <= {SHORT} AND regexp_matches(line, '(?i)({"|".join(p.decode() for p in BOILERPLATE)})')) AS fails
   FROM l),
+rest AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS rest FROM (SELECT doc_id, line, i FROM l0 ANTI JOIN (SELECT doc_id, i FROM judged WHERE fails) AS f USING (doc_id, i)) GROUP BY doc_id),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(n) FILTER (WHERE fails), 0) AS n_removed_words FROM judged GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words,
     CAST(length(array_to_string(d.words, '')) AS BIGINT) AS word_chars,
     CAST(length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-    CAST(coalesce(n_removed_words, 0) AS BIGINT) AS n_removed_words
-  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)),
+    CAST(coalesce(n_removed_words, 0) AS BIGINT) AS n_removed_words, sha256(coalesce(rest, '')) AS cleaned_sha256
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN rest USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words,
-  NOT base_failed AND 100 * n_removed_words <= 30 * n_words AS kept
+  NOT base_failed AND 100 * n_removed_words <= 30 * n_words AS kept, cleaned_sha256
 FROM b
 """
