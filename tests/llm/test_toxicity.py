@@ -54,3 +54,41 @@ def test_long_clean_texts_stay(spark):
     assert 0 < got[3].score < got[0].score < 0.11 and got[0].n_sentences == n
     assert [o.sentence for o in got[2].offending] == [n // 2] and not got[1].offending
     assert sorted(r.doc_id for r in toxicity.drop_toxic(docs, model).collect()) == [0, 1, 3]
+
+
+def test_gradient_of_the_noisy_or():
+    rng = np.random.default_rng(2)
+    z, doc_of, y = rng.normal(-1, 2, 40), np.arange(40) % 9, rng.integers(0, 2, 9).astype(float)
+    value, grad = toxicity.loss(z, doc_of, y)
+    q = 1 / (1 + np.exp(-z))
+    p = [1 - np.prod(1 - q[doc_of == d]) for d in range(9)]
+    assert np.isclose(value, -np.mean([np.log(p[d]) if y[d] else np.log(1 - p[d]) for d in range(9)]))
+    for i in range(40):
+        step = np.zeros(40)
+        step[i] = 1e-5
+        assert np.isclose((toxicity.loss(z + step, doc_of, y)[0] - toxicity.loss(z - step, doc_of, y)[0]) / 2e-5, grad[i], atol=1e-6)
+
+
+def test_scores_against_the_definition(spark):
+    """Each score from the weights, word by word."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    vocab, weights, bias = model = toxicity.learn(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    known = dict(zip(vocab.tolist(), weights.tolist()))
+    floor = toxicity.floor_of(model)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, model).collect()}
+    for r in docs.collect():
+        clean, n = 1.0, 0
+        for s in toxicity.sentences(r.text):
+            q = 1 / (1 + np.exp(-bias - sum(known.get(b, 0.0) for w in s for b in toxicity.buckets(w))))
+            clean *= 1 - max(0.0, (q - floor) / (1 - floor))
+            n += 1
+        assert n <= toxicity.PASSAGE and np.isclose(got[r.doc_id], 1 - clean * max(0.9, (1 - floor) ** n), atol=1e-6)
+
+
+def test_long_texts_are_scored_but_not_learned_from(spark):
+    rows = [(i, "You utter grubnik. " * 20 if i % 2 else "You kind friend. " * 20) for i in range(60)] + [(100 + i, "so long a text " * 400) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id >= 100 or doc_id % 2 = 1 as int) toxic")
+    model = toxicity.learn(docs, labels, max_bytes=1000)
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, model).collect()}
+    assert all(got[i] == i % 2 for i in range(60)) and all(got[100 + i] == 0 for i in range(40))

@@ -73,7 +73,8 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
     Returns doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), n_whole (tokens taken
     by the shortcut).  A null text counts as empty: 0 bytes, 0 tokens.  Null ids and repeated rows
-    stay, a row each; no rows give no rows.  Narrow: no shuffle.
+    stay, a row each; no rows give no rows; other columns are not looked at; a very long text is
+    counted whole.  Narrow: no shuffle.
     """
 
     def start():

@@ -45,6 +45,13 @@ def buckets(word: bytes) -> tuple[int, ...]:
     return tuple(zlib.crc32(f.encode()) % BUCKETS for f in (letters, "^" + letters[:4], "^" + letters[:5]))
 
 
+def loss(z: np.ndarray, doc_of: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean log loss of the documents' noisy-or, and its gradient by the sentences' logits ``z``."""
+    q = 1 / (1 + np.exp(-z.clip(-30, 30)))
+    p = (-np.expm1(np.bincount(doc_of, np.log1p(-q.clip(max=1 - 1e-9)), len(y)))).clip(1e-9, 1 - 1e-9)
+    return float(-np.mean(y * np.log(p) + (1 - y) * np.log1p(-p))), q * ((1 - y) - y * (1 - p) / p)[doc_of] / len(y)
+
+
 def train(rows: list[tuple[bytes, bytes, int]], steps: int = 150, rate: float = 0.15, decay: float = 1e-3, least_docs: int = 5, least_z: float = 3.5) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets, their weights, and the bias.  rows: buckets (int32), how many in each sentence (int32), label.
 
@@ -75,19 +82,16 @@ def train(rows: list[tuple[bytes, bytes, int]], steps: int = 150, rate: float =
     weights, bias = np.zeros(len(vocab)), float(np.log(max(y.mean(), 1e-3) / max(1, len(doc_of) / len(rows))))
     m, v = np.zeros(len(vocab) + 1), np.zeros(len(vocab) + 1)
     for t in range(1, steps + 1):
-        z = bias + np.bincount(sent_of, weights[at], len(doc_of))
-        q = 1 / (1 + np.exp(-z.clip(-30, 30)))
-        p = (-np.expm1(np.bincount(doc_of, np.log1p(-q.clip(max=1 - 1e-9)), len(rows)))).clip(1e-9, 1 - 1e-9)
-        dz = q * ((1 - y) - y * (1 - p) / p)[doc_of] / len(rows)
-        grad = np.append(np.bincount(at, dz[sent_of], len(vocab)) + decay * weights / len(rows) ** 0.5, dz.sum())
+        _, over_z = loss(bias + np.bincount(sent_of, weights[at], len(doc_of)), doc_of, y)
+        grad = np.append(np.bincount(at, over_z[sent_of], len(vocab)) + decay * weights / len(rows) ** 0.5, over_z.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         weights, bias = weights - step[:-1], bias - step[-1]
     return vocab.astype(np.int32), weights.astype(np.float32), float(bias)
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
-    """Trains on at most ``max_train`` labelled documents (the bound on what the driver gathers).
+def learn(docs: DataFrame, labels: DataFrame, max_train: int = 4000, max_bytes: int = 200_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
+    """Trains on at most ``max_train`` labelled documents, of at most ``max_bytes`` each (the bound on what the driver gathers).
 
     Rows of the held-out fifth (crc32 of the id as text, modulo 5, is 0), null ids and null
     labels never take part.  The sample is the smallest xxhash64 of the ids.
@@ -98,7 +102,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 4000, id_col: str
         .groupBy("__id").agg(F.max("__y").alias("__y"))
         .orderBy(F.xxhash64("__id"), "__id").limit(max_train)
     )
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")  # max_train rows of a few bytes
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.coalesce(F.octet_length("__text"), F.lit(0)) <= max_bytes)
+    texts = texts.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min("__text").alias("__text"), F.first("__y").alias("__y"))  # chosen: max_train rows of a few bytes
 
     def start():
         def step(ids, texts, ys):
@@ -160,7 +165,8 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_co
 
     ``offending`` lists the sentences (number among those with a word, from 0) whose own score
     reaches ``offending_from``.  A null or empty text has no sentence and scores 0.  A null id
-    isn't held out.  Repeated rows stay; no rows give no rows.  Narrow: no shuffle.
+    isn't held out.  Repeated rows stay; no rows give no rows; other columns are not looked at.  A
+    very long text is scored whole, some 100 bytes a word.  Narrow: no shuffle.
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)  # at most BUCKETS weights
