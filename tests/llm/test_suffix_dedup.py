@@ -66,6 +66,12 @@ def test_small_blocks(spark, monkeypatch):
     held(spark, made(3, 10))
 
 
+def test_heavy_kinds(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HEAVY", 2)
+    texts = made(5, 12)
+    held(spark, texts + texts[:6] * 3, block=800)
+
+
 def test_classes_are_equal_strings_in_suffix_order():
     rng = np.random.default_rng(2)
     data = np.concatenate([np.frombuffer(b"abcab" * 200, np.uint8), rng.integers(97, 99, 1500).astype(np.uint8), np.frombuffer(b"a" * 700, np.uint8)])

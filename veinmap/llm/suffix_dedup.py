@@ -27,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veinmap.llm.common import cut, fresh, join_few, map_rows, pieces
+from veinmap.llm.common import BROADCAST_ROWS, cut, fresh, join_few, map_rows, pieces
 
 DEPTH, GRAM = 200, 24
 #: Starts of a run at most.
 RUN = DEPTH - GRAM + 1
 #: Bytes of a block, about.
 BLOCK = 500_000
+#: Equal runs; kinds of more are looked up by broadcast.
+HEAVY = 1000
 #: Bits of a position in a text.
 _AT = np.uint64(31)
 #: A perfect difference set modulo PERIOD: any two positions reach it by one common shift.
@@ -215,11 +217,17 @@ def judged(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Repeats (row, place) are runs that another one of the bucket equals as a whole.  Left (bucket,
     n_kinds, row, place, settled, ...) is one run of each kind of a bucket that has several.
+
+    Kinds with more runs than HEAVY and than the BROADCAST_ROWS-th part of all runs can't be more
+    than BROADCAST_ROWS: these are broadcast, so no key of the shuffled join holds more runs.
     """
     kind = ["bucket", "sign", "tail"]
     more = [c for c in ("raw", "low", "high") if c in runs.columns]
     kinds = cut(runs.groupBy(*kind).agg(F.count("*").alias("n"), F.max("settled").alias("settled"), F.min_by("place", "row").alias("place"), F.min("row").alias("row"), *(F.first(c).alias(c) for c in more)))
-    whole = runs.where("NOT settled").join(kinds.where("n > 1").select(*kind), kind, "left_semi")
+    most, own = max(HEAVY, runs.count() // BROADCAST_ROWS), runs.where("NOT settled").select(*kind, "row", "place")
+    heavy = F.broadcast(cut(kinds.where(F.col("n") > most).select(*kind)))
+    light = kinds.where((F.col("n") > 1) & (F.col("n") <= most)).select(*kind)
+    whole = own.join(heavy, kind, "left_semi").union(own.join(heavy, kind, "left_anti").join(light, kind, "left_semi"))
     buckets = cut(kinds.groupBy("bucket").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1"))
     left = join_few(kinds, buckets, "bucket").select("bucket", "n_kinds", "row", "place", ((F.col("n") > 1) | F.col("settled")).alias("settled"), *more)
     first, _, size = _parts()
