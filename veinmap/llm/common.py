@@ -114,7 +114,7 @@ def rewrite_rows(df: DataFrame, column: str, start: Callable[[], Callable[[list]
 BROADCAST_ROWS = 200_000
 
 
-def join_few(many: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def join_few(many: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """Joins narrow rows ``few`` that are already written: broadcast if counted as few, else shuffled."""
     n = few.count()
     return many.join(F.broadcast(few) if n <= BROADCAST_ROWS else few, on, how)

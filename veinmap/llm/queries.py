@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinmap.llm import bpe, chat, clustering, fingerprint, license_scan, merkle, near_dup, packing, quality, suffix_dedup, token_count, toxicity
+from veinmap.llm import bpe, chat, clustering, fingerprint, license_scan, merkle, near_dup, packing, quality, simhash, suffix_dedup, token_count, toxicity
 from veinmap.llm.common import table
 
 
@@ -66,5 +66,9 @@ def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_fingerprints, op6_packing, op7_license_scan, op8_near_duplicates, op9_bpe, op10_chat_format, op11_merkle_manifest, op12_clusters)}
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_fingerprints, op6_packing, op7_license_scan, op8_near_duplicates, op9_bpe, op10_chat_format, op11_merkle_manifest, op12_clusters, op13_simhash)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op4_suffix_dedup": suffix_dedup.ORACLE, "op7_license_scan": license_scan.oracle(), "op8_near_duplicates": near_dup.oracle(), "op10_chat_format": chat.ORACLE, "op11_merkle_manifest": merkle.oracle(), "op12_clusters": clustering.oracle()}
