@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with ``name``: a row's number from 0 in the order of the column ``order``.
+
+    Rows are dealt by ranges and numbered inside them; a window adds up one row for each range.
+    """
+    rows = cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__part", F.shiftright("__m", 33))
+    parts = rows.groupBy("__part").agg(F.min("__m").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = parts.select("__part", (before - F.col("__first")).alias("__base"))
+    return rows.join(F.broadcast(base), "__part").withColumn(name, F.col("__m") + F.col("__base")).drop("__m", "__part", "__base")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``a``, ``b`` (links between longs) -> node, component (the smallest node reachable).
 

@@ -2,14 +2,11 @@
 
 Items carry ``pos`` (their order).  Exact and normalized keys shuffle once by key; items without a
 key pass around the shuffle, so a hot empty key costs nothing.  Fuzzy matching depends on the order
-of all items; it is a fold inside each component of similar keys.
+of all items; its leaders come from rounds of joins.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
@@ -17,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinmap.functions.text import exact_key, normalized_key, printed, rounded
-from veinmap.operators.links import components, cut
+from veinmap.operators.fuzzy import alike, leaders, similar
+from veinmap.operators.links import components, cut, ranked
 
 
 def _split(items: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -54,60 +52,8 @@ def dedup(items: DataFrame, key: str = "name", strategy: str = "exact", conflict
     return kept.unionByName(bare.withColumn("n_merged", F.lit(0).cast("long")))
 
 
-def _ratio_reaches(a: str, b: str, threshold: float) -> bool:
-    return a == b or SequenceMatcher(None, a, b).ratio() >= threshold
-
-
-def _letters(k: str, threshold: float) -> list[str]:
-    """The rarest of a key's numbered characters: similar keys share one.
-
-    A ratio of ``threshold`` needs 2 M >= threshold * (a + b) equal characters, so M is at least
-    a * threshold / (2 - threshold) of either length, and the rest plus one in any fixed order
-    meets what is common.
-    """
-    if threshold > 1:
-        return []
-    seen: dict[str, int] = {}
-    own = []
-    for c in k:
-        seen[c] = seen.get(c, 0) + 1
-        own.append((-seen[c], _COMMON.find(c), c))
-    most = len(k) - math.ceil(len(k) * threshold / (2 - threshold) - 1e-9) + 1
-    return [f"{-n}{c}" for n, _, c in sorted(own)[:most]]
-
-
-#: Letters from rare to common; others come first.
-_COMMON = "zqjxkvbpgywfmucldrhsniota e"
-
-
-def _similar(keys: DataFrame, threshold: float) -> DataFrame:
-    """__b, x, y: pairs of different keys of a block whose ratio, either way, reaches ``threshold``."""
-
-    def letters(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: _letters(k, threshold))
-
-    def size(keys: pd.Series) -> pd.Series:
-        return keys.map(len)
-
-    rows = cut(keys.select("__b", "__k", F.pandas_udf(letters, "array<string>")("__k").alias("letters"), F.pandas_udf(size, "int")("__k").alias("size")))
-    shared = rows.select("__b", F.explode("letters").alias("letter"), "size", "__k")
-    least = F.ceil(F.col("size") * (threshold / (2 - threshold) if threshold <= 1 else 1) - 1e-9).cast("int")
-    longer = shared.select("__b", "letter", F.explode(F.sequence(F.least(least, F.col("size")), F.col("size"))).alias("size"), F.col("__k").alias("other"))
-    pairs = shared.join(longer, ["__b", "letter", "size"]).where("__k <> other").select("__b", F.least("__k", "other").alias("x"), F.greatest("__k", "other").alias("y")).distinct()
-
-    def reaches(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(a, b):
-            need = threshold * (len(a) + len(b)) / 2 - 1e-9
-            common = sum((Counter(a) & Counter(b)).values())
-            return common >= need and (_ratio_reaches(a, b, threshold) or _ratio_reaches(b, a, threshold))
-
-        return pd.Series([one(a, b) for a, b in zip(x, y)], dtype=bool)
-
-    return pairs.where(F.pandas_udf(reaches, "boolean")("x", "y"))
-
-
 def _folded(rows: DataFrame, order: str, ddl: str, start) -> DataFrame:
-    """Maps rows (__b, __c, ...) in order inside each component; rows stream, only the fold's state is held.
+    """Maps rows (__c, ...) in order inside each component; rows stream, only the fold's state is held.
 
     ``start`` gives two functions: of a row, and of the end; both give rows of ``ddl``.
     """
@@ -118,75 +64,50 @@ def _folded(rows: DataFrame, order: str, ddl: str, start) -> DataFrame:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False, name=None):
-                if r[:2] != now:
+                if r[0] != now:
                     out += end() if end else []
-                    now, (each, end) = r[:2], start(r[0])
-                out += each(*r[2:])
+                    now, (each, end) = r[0], start()
+                out += each(*r[1:])
             yield pd.DataFrame(out, columns=names)
         if end:
             yield pd.DataFrame(end(), columns=names)
 
-    return rows.repartition("__b", "__c").sortWithinPartitions("__b", "__c", order).mapInPandas(run, ddl)
-
-
-def _leaders(keys: DataFrame, threshold: float) -> DataFrame:
-    """__b, __c, __k, leader, several: of keys like another, their component and leader, and whether it has several."""
-    if threshold > 0:
-        node = lambda c: F.xxhash64("__b", c)
-        links = _similar(keys, threshold).select(node("x").alias("a"), node("y").alias("b"))
-        # equal hashes only put components together: the fold compares the keys
-        parts = keys.withColumn("node", node("__k")).join(components(links), "node").select("__b", F.col("component").alias("__c"), "__first", "__k")
-    else:
-        parts = keys.select("__b", F.lit(0).cast("long").alias("__c"), "__first", "__k")
-
-    def start(b):
-        leaders: list[str] = []
-
-        def each(first, k):
-            match = next((s for s in leaders if _ratio_reaches(k, s, threshold)), None)
-            if match is None:
-                leaders.append(k)
-            return [(b, k, k if match is None else match)]
-
-        return each, list
-
-    found = cut(_folded(parts, "__first", "__b string, __k string, leader string", start).join(parts.select("__b", "__k", "__c"), ["__b", "__k"]))
-    several = found.groupBy("__b", "__c").agg((F.countDistinct("leader") > 1).alias("several"))
-    return cut(found.join(several, ["__b", "__c"]))
+    return rows.repartition("__c").sortWithinPartitions("__c", order).mapInPandas(run, ddl)
 
 
 def _latest(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows (__b, __c, pos, __k, leader) of components -> __b, leader, __k, pos: the item each leader's place ends with.
+    """rows (__c, __seq, __k, __lead, __leader) of leaders that share contents -> __lead, __seq: the item each leader's place ends with.
 
     An item takes the first place whose content is like its leader; that may be another leader's.
     """
-    pos = rows.schema["pos"].dataType.simpleString()
-
-    def start(b):
-        at: dict[str, int] = {}
-        content: list[tuple] = []
-        like = lru_cache(maxsize=1 << 18)(lambda a, c: _ratio_reaches(a, c, threshold))
-
-        def each(pos, k, leader):
-            if leader not in at:
-                at[leader] = len(content)
-                content.append((k, pos))
-            elif (hit := next((i for i, (c, _) in enumerate(content) if like(c, leader)), None)) is not None:
-                content[hit] = (k, pos)
+
+    def start():
+        at: dict[int, int] = {}
+        content: list[list] = []
+        like = lru_cache(maxsize=1 << 18)(lambda a, c: alike(a, c, threshold))
+
+        def each(seq, k, lead, leader):
+            if lead not in at:
+                at[lead] = len(content)
+                content.append([k, seq])
+            elif (hit := next((x for x in content if like(x[0], leader)), None)) is not None:
+                hit[:] = [k, seq]
             return []
 
-        return each, lambda: [(b, s, *content[i]) for s, i in at.items()]
+        return each, lambda: [(lead, content[i][1]) for lead, i in at.items()]
 
-    return _folded(rows, "pos", f"__b string, leader string, __k string, pos {pos}", start)
+    return _folded(rows, "__seq", "__lead long, __seq long", start)
 
 
-def dedup_fuzzy(items: DataFrame, key: str = "name", threshold: float = 0.85, conflict: str = "latest", block: Column | None = None, attrs: str | None = None) -> DataFrame:
+def dedup_fuzzy(items: DataFrame, key: str = "name", threshold: float = 0.85, conflict: str = "latest", block: Column | None = None, attrs: str | None = None, report: dict | None = None) -> DataFrame:
     """Greedy matching by similarity in the order of pos, exact for ``block=None``.
 
-    A key's leader depends on the distinct keys and their first places only; keys like no other
-    never meet.  ``conflict`` and ``attrs`` are as in ``dedup``.  Where a component of similar keys has one leader, its last item is the latest;
-    where it has several, its items are folded in order, in one task a component.  A block (a
-    column) is approximate: items of different blocks never match.
+    A key's leader depends on the distinct keys and their first places only (``fuzzy.leaders``);
+    ``conflict`` and ``attrs`` are as in ``dedup``.  With ``latest`` the last item of a leader is its
+    content, unless a key is like several leaders: such leaders may take each other's places, and
+    their items (places and keys) are folded in order, one task for each set of leaders that keys
+    connect.  A block (a column) is approximate: items of different blocks never match.  ``report``
+    gets how many pairs met in the index and the rounds of settling.
     """
     full, bare = _split(items, key)
     columns = [c for c in items.columns if c != "pos"]
@@ -198,24 +119,39 @@ def dedup_fuzzy(items: DataFrame, key: str = "name", threshold: float = 0.85, co
     side = F.lit("") if block is None else F.coalesce(F.concat(F.lit("b"), block.cast("string")), F.lit(""))
     named = full.withColumn("__b", side).withColumn("__k", F.pandas_udf(lowered, "string")(F.col(key)))
     keys = cut(named.groupBy("__b", "__k").agg(F.min("pos").alias("__first"), F.max("pos").alias("__last"), F.count("*").alias("__n"), F.min_by(row, "pos").alias("__head"), F.max_by(row, "pos").alias("__tail")))
-    leaders = _leaders(keys.select("__b", "__k", "__first"), threshold)
-    led = keys.join(leaders.select("__b", "__k", "leader"), ["__b", "__k"], "left").withColumn("leader", F.coalesce("leader", "__k"))
-    kept = led.groupBy("__b", "leader").agg(F.min("__first").alias("__first"), (F.sum("__n") - 1).alias("n_merged"), F.min_by("__head", "__first").alias("__head"), F.max_by("__tail", "__last").alias("__tail"))
+    led = leaders(keys.select(F.col("__b").alias("b"), F.col("__k").alias("k"), "__first"), threshold, "__first", report).select(F.col("b").alias("__b"), F.col("k").alias("__k"), F.col("rank").alias("__rank"), F.col("lead").alias("__lead"))
+    of = keys.join(led, ["__b", "__k"])
+    kept = of.groupBy("__lead").agg(F.min("__first").alias("__first"), (F.sum("__n") - 1).alias("n_merged"), F.min_by("__head", "__first").alias("__head"), F.max_by("__tail", "__last").alias("__tail"))
     if conflict == "latest":
-        rows = named.join(leaders.where("several"), ["__b", "__k"]).select("__b", "__c", "pos", "__k", "leader")
-        last = named.select("__b", "__k", "pos", row.alias("__own")).join(cut(_latest(rows, threshold)), ["__b", "__k", "pos"]).select("__b", "leader", "__own").dropDuplicates(["__b", "leader"])
-        kept = kept.join(last, ["__b", "leader"], "left").withColumn("__row", F.coalesce("__own", "__tail"))
+        last = _shared_latest(named, led, threshold)
+        kept = (kept.join(last, "__lead", "left") if last else kept.withColumn("__own", F.lit(None))).withColumn("__row", F.coalesce("__own", "__tail"))
     elif conflict == "merge" and attrs:
         each = named.select("__b", "__k", "pos", F.explode(attrs).alias("a", "v")).groupBy("__b", "__k", "a").agg(F.min_by("v", "pos").alias("v"), F.min("pos").alias("pos"))
-        each = each.join(leaders.select("__b", "__k", "leader"), ["__b", "__k"], "left").withColumn("leader", F.coalesce("leader", "__k")).groupBy("__b", "leader", "a").agg(F.min_by("v", "pos").alias("v"))
-        joined = each.groupBy("__b", "leader").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("a", "v")))).alias("__attrs"))  # distinct attribute names of one leader
-        kept = kept.join(joined, ["__b", "leader"], "left").withColumn("__row", F.col("__head").withField(attrs, F.coalesce("__attrs", F.col("__head")[attrs])))
+        each = each.join(led, ["__b", "__k"]).groupBy("__lead", "a").agg(F.min_by("v", "pos").alias("v"))
+        joined = each.groupBy("__lead").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("a", "v")))).alias("__attrs"))  # distinct attribute names of one leader
+        kept = kept.join(joined, "__lead", "left").withColumn("__row", F.col("__head").withField(attrs, F.coalesce("__attrs", F.col("__head")[attrs])))
     else:
         kept = kept.withColumn("__row", F.col("__head"))
     kept = kept.select(F.col("__first").alias("pos"), *(F.col("__row")[c].alias(c) for c in columns), "n_merged")
     return kept.unionByName(bare.withColumn("n_merged", F.lit(0).cast("long")))
 
 
+def _shared_latest(named: DataFrame, led: DataFrame, threshold: float) -> DataFrame | None:
+    """__lead, __own (a row): the latest content of leaders that keys connect with other leaders; None if there are none."""
+    as_keys = led.select(F.col("__b").alias("b"), F.col("__rank").alias("rank"), F.col("__k").alias("k"), F.col("__lead").alias("lead"))
+    crossed = similar(as_keys.where("rank <> lead"), as_keys.where("rank = lead"), threshold, earlier=False).withColumnRenamed("x", "rank")
+    other = cut(crossed.join(as_keys.select("rank", "lead"), "rank").where("y <> lead").select(F.col("lead").alias("a"), F.col("y").alias("b")).distinct())
+    if threshold <= 0 or other.isEmpty():
+        return None
+    tied = cut(components(other).select(F.col("node").alias("__lead"), F.col("component").alias("__c")))
+    leader = led.where("__rank = __lead").select("__lead", F.col("__k").alias("__leader"))
+    row = F.struct("pos", *(c for c in named.columns if c not in ("pos", "__b", "__k")))
+    own = cut(named.select("__b", "__k", "pos", row.alias("__own")).join(led.join(tied, "__lead").join(leader, "__lead"), ["__b", "__k"]))
+    own = cut(ranked(own, "pos", "__seq"))
+    ends = cut(_latest(own.select("__c", "__seq", "__k", "__lead", "__leader"), threshold))
+    return ends.join(own.select("__seq", "__own"), "__seq").select("__lead", "__own")
+
+
 def _as_text(df: DataFrame, c: str) -> Column:
     """A value as it is printed: numbers as Python's str(), nothing as None."""
     kind = df.schema[c].dataType.typeName()
@@ -250,13 +186,16 @@ def merge_stats(individuals: DataFrame, merged: DataFrame, relationships: DataFr
     return out.select("inputs", *columns, gone.alias("duplicates_removed"), rounded(gone / F.greatest("individuals_in", F.lit(1)) * 100).alias("dedup_rate"))
 
 
-def merge_results(results: DataFrame, strategy: str = "exact", conflict: str = "latest") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Extraction results (id, individuals, properties, relationships) -> merged individuals, properties, relationships.
+def merge_results(results: DataFrame, strategy: str = "exact", conflict: str = "latest", order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Extraction results (source, individuals, properties, relationships) -> merged individuals, properties, relationships.
 
-    Items follow each other by the result's id, then by their place in it.
+    The source, the first column, may be a name, a number of any size or null.  Results follow each
+    other by ``order`` (a column that tells them apart; else by source, null first), and items by
+    their place in the result: ``pos`` is a struct of both, so no number can overflow or collide.
     """
     def flat(column: str) -> DataFrame:
-        rows = results.select(F.col(results.columns[0]).alias("source"), F.posexplode(column).alias("i", "x"))
-        return rows.select((F.col("source").cast("long") * (1 << 20) + F.col("i")).alias("pos"), "source", "x.*")
+        source = F.col(results.columns[0])
+        rows = results.select((F.col(order) if order else source).alias("by"), source.alias("source"), F.posexplode(column).alias("i", "x"))
+        return rows.select(F.struct("by", "source", "i").alias("pos"), "source", "x.*")
 
     return dedup(flat("individuals"), "name", strategy, conflict), merge_properties(flat("properties")), dedup(flat("relationships"), "context", strategy, conflict)

@@ -450,6 +450,14 @@ def _(spark, d):
     return individuals.select(F.lower("name").alias("key"), "n_merged")
 
 
+@_query("m08_named_sources", """WITH i AS (SELECT 'paper-' || p_partkey AS source, 'U-' || p_size || 'Mo' AS name FROM part)
+SELECT min(source) AS first_source, max(source) AS source, arg_max(name, source) AS name, count(*) - 1 AS n_merged FROM i GROUP BY lower(name)""")
+def _(spark, d):
+    papers = star.reports(spark, d).withColumn("doc_id", F.concat(F.lit("paper-"), "doc_id"))
+    individuals, _, _ = merge.merge_results(extract.extract(papers))
+    return individuals.select(F.col("pos")["source"].alias("first_source"), "source", "name", "n_merged")
+
+
 @_query("m08_merged_properties", "SELECT 'density' AS name, p_size + 0.5::DOUBLE AS value FROM part GROUP BY p_size UNION ALL SELECT 'hardness', CAST(p_size AS DOUBLE) FROM part GROUP BY p_size")
 def _(spark, d):
     _, properties, _ = merge.merge_results(extract.extract(star.reports(spark, d)))
