@@ -58,8 +58,9 @@ def test_extra_columns_and_the_bound(spark):
 
 def test_a_very_long_text_is_counted_in_parts(monkeypatch):
     text = " ".join(f"w{i % 977}" for i in range(5_000))
-    monkeypatch.setattr(simhash, "AT_ONCE", 100)
-    assert simhash.fingerprint(text) == print_of(text)
+    for size in (1, 2, 7, 100, 1 << 20):
+        monkeypatch.setattr(simhash, "PART", size)
+        assert all(simhash.fingerprint(t) == print_of(t) for t in (text, "a", " a b ", "a b c", "a b c d", "\n", "A" * 300))
 
 
 def clouds(rng, n):

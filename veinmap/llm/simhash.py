@@ -20,6 +20,7 @@ Only links that connect what was apart leave a task: fewer than it has fingerpri
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -36,24 +37,36 @@ BITS, RADIUS, PARTS = 64, 3, 5
 GROUP, HELD = 4096, 16384
 #: Words of a shingle; fixed value: the seed of its hash.
 WIDTH, SEED = 3, 42
-#: Hashes whose bits are counted at a time.
-AT_ONCE = 1 << 14
+#: Bytes of a text whose words are held at a time.
+PART = 1 << 16
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _ONE = np.uint64(1)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def parts(text: str | None) -> Iterator[list[bytes]]:
+    """The text's words, lower-cased (A-Z), about PART bytes of them at a time."""
+    raw, at = (text or "").encode(), 0
+    while at < len(raw):
+        space = _SPACE.search(raw, at + PART)
+        stop = space.start() if space else len(raw)
+        yield raw[at:stop].lower().split()  # bytes: A-Z only; split at x20 and x09-x0D
+        at = stop
+
+
 def hashes(text: str | None, width: int = WIDTH) -> Iterator[np.ndarray]:
-    """XXH64 of the text's word shingles (repeats included; of all words as one, if they are fewer), AT_ONCE at a time."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only; split at x20 and x09-x0D
-    if not words:
-        return
-    joined, n = b" ".join(words), max(1, len(words) - width + 1)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.append(0, ends[:-1])[:n].tolist()
-    ends = (ends[min(width, len(words)) - 1 :] - 1).tolist()
-    for k in range(0, n, AT_ONCE):
-        own = [joined[a:b] for a, b in zip(starts[k : k + AT_ONCE], ends[k : k + AT_ONCE])]
-        yield np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(SEED)), np.uint64, len(own))
+    """XXH64 of the text's word shingles (repeats included; of all words as one, if they are fewer), part by part."""
+    held, found = [], False
+    for words in parts(text):
+        held += words
+        if len(held) >= width:
+            joined = b" ".join(held)
+            ends = np.cumsum([len(w) + 1 for w in held])
+            own = [joined[a : b - 1] for a, b in zip([0, *ends[:-width].tolist()], ends[width - 1 :].tolist(), strict=True)]
+            yield np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(SEED)), np.uint64, len(own))
+            held, found = held[len(held) - width + 1 :], True
+    if held and not found:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], np.uint64)
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
