@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,25 @@ def test_random_texts_against_python(spark):
     assert not wrong[:5]
 
 
+def test_random_numbers_and_capitals_against_python(spark):
+    rng = random.Random(12)
+    bits = ["-", "-", "1", "22", ".", ".", "U", "Mo", "A", "x", "_", " ", "é", "-1.", "-2.5", "-3Zr"]
+    texts = ["U" + "".join(rng.choice(bits) for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
+    t = F.col("text")
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("text", F.transform(extract.alloys(t), lambda a: a["name"]).alias("a"))
+    wrong = [(r.text, r.a, e) for r in df.collect() if r.a != (e := expected(r.text)[0])]
+    assert not wrong[:5]
+
+
+@pytest.mark.parametrize("text", ["U-" + "1" * 100_000 + "_", "U-" + "1" * 100_000 + ".x", "U-1." + "2" * 100_000 + "x", "U" + "-1." * 50_000 + "-5Mox", ("U-" + "1" * 300 + "x ") * 300])
+def test_digits_take_linear_time(spark, text):
+    df = spark.createDataFrame([(text,)], "text string").select(F.size(extract.alloys(F.col("text"))).alias("n"))
+    df.collect()
+    began = time.time()
+    df.collect()
+    assert time.time() - began < 2
+
+
 @pytest.mark.parametrize("text,sizes", [
     ("word " * 20_000 + ". density: 5 g", (0, 1, 0, 0)),
     ("density " * 20_000, (0, 0, 0, 0)),

@@ -13,13 +13,17 @@ _D = r"\p{Nd}"
 _N = rf"{_D}++(?:\.{_D}*+)?+"
 _NAME = rf"[\p{{L}}\p{{N}}_\s\x1c-\x1f]"
 _END = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
-_ELEMENT = r"(?:[A-Z][a-z]?)?"
-#: Parts of an alloy's name follow each other without backtracking, so a part must end the name or be followed by one.
-_PART = rf"-{_D}+\.?{_D}*{_ELEMENT}(?:{_END}|(?=-{_D}+\.?{_D}*{_ELEMENT}(?:{_END}|-{_D})))"
+_ELEMENT = r"(?:[A-Z][a-z]?+)?+"
+#: A part of an alloy's name: a number and perhaps an element, tokens that give nothing back.  It is
+#: taken whole if no word character follows; else up to its point, if a word or a part that can end
+#: follows that; else up to before the point.
+_WHOLE = rf"-{_N}{_ELEMENT}(?<={WORD})(?!{WORD})"
+_POINT = rf"-{_D}++\.(?={WORD}|-{_D}++(?:\.|{_ELEMENT}(?!{WORD})))"
+_BARE = rf"-{_D}++(?=\.)"
 _FACT = rf"({_NAME}+?)(?:[:=]{_S}*| is{_S}+| of{_S}+)({_D}+\.?{_D}*){_S}*([°%/³²·\p{{L}}\p{{N}}_]+)"
 #: What the patterns accept.  Each character class stands alone in its loop and every
 #: attempt starts where a run of names or digits starts, so time is linear and nothing recurses.
-ALLOY = rf"(?<!{WORD})([A-Z][a-z]?(?:{_PART})++){_END}"
+ALLOY = rf"(?<!{WORD})([A-Z][a-z]?+(?:{_WHOLE}|{_POINT}|{_BARE})++)"
 PROPERTY = rf"(?U)(?:(?<!{_NAME})|\G){_FACT}"
 RANGE = rf"(?U)(?<!{_D})({_N}){_S}*[–\-]{_S}*({_N}){_S}*(°[CF]|K)"
 PHASE = rf"(?iuU)(?<!{WORD})(?=\w|[γαβδ])(?:γ|α|β|δ|BCC|FCC|HCP){_S}*(?:phase|U|structure)?{_END}"

@@ -1,12 +1,16 @@
 """Segmentation of long texts: by headings, by size, around keywords.
 
-Heading and keyword cuts are expressions: ``split`` before each heading (or at each keyword) and
-running lengths (an Arrow function on the lengths alone) give the places.  Fixed-size cuts depend on the cut before, so they are a table
-function.  Places are code points.
+Heading cuts are expressions: ``split`` before each heading and running lengths (an Arrow function on
+the lengths alone) give the places; sections leave as rows, and small ones are folded as the rows
+stream by.  Fixed-size cuts depend on the cut before and windows on those kept before, so both are
+table functions, linear in the text.  Places are code points.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +18,6 @@ from pyspark.sql import functions as F
 
 from veinmap.functions.text import strip
 
-CHUNK = "struct<title:string,content:string,start_char:int,end_char:int,level:int>"
 _HASH = r"[ \t\n\x0b\f\r\x1c-\x1f\x85\p{Z}]"
 #: A heading: hashes at the start of a line, white space (line feeds too), the rest of the line.
 HEADING = rf"^(#{{1,6}})({_HASH}+)([^\n]+)$"
@@ -30,7 +33,7 @@ def _running(lengths: Column) -> Column:
 
 
 def sections(text: Column) -> Column:
-    """Chunks of a text before small ones are folded: preamble and one per heading with a body."""
+    """Chunks of a text before small ones are folded: preamble and one per heading with a body; a text without headings is one."""
     n = F.length(text)
     parts = F.split(text, rf"(?md)(?={HEADING})")
     own = F.filter(parts, lambda p: p != "")
@@ -49,26 +52,44 @@ def sections(text: Column) -> Column:
     return F.when(~text.rlike(rf"(?md){HEADING}"), whole).otherwise(F.filter(F.transform(pieces, chunk), lambda c: c["content"] != ""))
 
 
-def folded(chunks: Column, min_size: int) -> Column:
-    """A chunk joins the one before it while that one is shorter than ``min_size``."""
-    def step(acc: Column, c: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(F.concat(last["title"], F.lit(" + "), c["title"]).alias("title"), F.concat(last["content"], F.lit("\n\n"), c["content"]).alias("content"), last["start_char"].alias("start_char"), c["end_char"].alias("end_char"), last["level"].alias("level"))
-        return F.when(F.size(acc) == 0, F.array(c)).when(F.length(last["content"]) < min_size, F.array_append(F.slice(acc, 1, F.size(acc) - 1), joined)).otherwise(F.array_append(acc, c))
+def folded(rows: DataFrame, min_size: int, id_col: str) -> DataFrame:
+    """Rows of ``sections`` in order, where one joins the one before it while that one is shorter than ``min_size``.
+
+    Rows stream by; a document begins with index 0.  Only the parts of one chunk are held.
+    """
+    names = rows.columns
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, titles, contents, size, number = None, [], [], 0, 0
+
+        def chunk() -> list[tuple]:
+            return [] if head is None else [(head[0], number, " + ".join(titles), "\n\n".join(contents), *head[1:])]
 
-    return F.aggregate(chunks.cast(f"array<{CHUNK}>"), F.array().cast(f"array<{CHUNK}>"), step)
+        for pdf in pdfs:
+            out = []
+            for key, index, title, content, start, end, level in pdf.itertuples(index=False, name=None):
+                if head is not None and index and size < min_size:
+                    titles.append(title)
+                    contents.append(content)
+                    size, head[2] = size + 2 + len(content), end
+                    continue
+                out += chunk()
+                head, titles, contents, size, number = [key, start, end, level], [title], [content], len(content), number + 1 if index else 0
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(chunk(), columns=names)
 
+    return rows.mapInPandas(run, rows.schema)
 
-def _rows(df: DataFrame, chunks: Column, id_col: str) -> DataFrame:
-    out = df.select(id_col, F.posexplode(chunks).alias("index", "c")).select(id_col, "index", "c.*")
+
+def _counted(out: DataFrame) -> DataFrame:
     return out.withColumn("char_count", F.length("content")).withColumn("line_count", F.regexp_count("content", F.lit("\n")) + 1)
 
 
 def segment_headings(docs: DataFrame, min_size: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sections by heading; a text without headings is one chunk.  A null text has no chunks."""
     text = F.col(text_col)
-    whole = sections(text)
-    return _rows(docs.where(text.isNotNull()), F.when(text.rlike(rf"(?md){HEADING}"), folded(whole, min_size)).otherwise(whole), id_col)
+    rows = docs.where(text.isNotNull()).select(id_col, F.posexplode(sections(text)).alias("index", "c")).select(id_col, "index", "c.*")
+    return _counted(folded(rows, min_size, id_col) if min_size > 0 else rows)
 
 
 def fixed_cuts(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
@@ -100,25 +121,41 @@ def segment_fixed(docs: DataFrame, size: int = 4000, overlap: int = 200, id_col:
             yield pd.DataFrame(rows, columns=[id_col, "index", "title", "content", "start_char", "end_char", "level"])
 
     out = docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, index int, title string, content string, start_char int, end_char int, level int")
-    return out.withColumn("char_count", F.length("content")).withColumn("line_count", F.regexp_count("content", F.lit("\n")) + 1)
+    return _counted(out)
+
 
+def keyword_windows(text: str, keywords: list[str], window: int) -> Iterator[tuple[str, int, int, int]]:
+    """keyword, place, start, stop of each match, keyword by keyword, that is at least ``window`` from those kept before.
 
-def _found(text: Column, keyword: str) -> Column:
-    """Places of a keyword (any case), without overlap, in order."""
-    parts = F.split(text, rf"(?iu)\Q{keyword}\E", -1)
-    n = len(keyword)
-    ends = _running(F.transform(parts, F.length))
-    return F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda end, i: end + i * n)
+    Kept places are that far apart, so each stretch of ``window`` holds one at most: a match looks
+    into its own stretch and the two beside it.
+    """
+    kept: dict[int, int] = {}
+    for keyword in keywords:
+        for m in re.finditer(re.escape(keyword), text, re.IGNORECASE):
+            at = m.start()
+            if window > 0:
+                own = at // window
+                if any(abs(at - kept[k]) < window for k in (own - 1, own, own + 1) if k in kept):
+                    continue
+                kept[own] = at
+            yield keyword, at, max(0, at - window), min(len(text), at + window)
 
 
 def segment_keywords(docs: DataFrame, keywords: list[str], window: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Windows around keywords, keyword by keyword; a match nearer than ``window`` to a kept one is skipped."""
-    text = F.col(text_col)
-    kind = "array<struct<keyword:string,at:int>>"
-    hit = lambda k: lambda at: F.struct(F.lit(k).alias("keyword"), at.cast("int").alias("at"))
-    every = F.concat(*(F.transform(_found(text, k), hit(k)) for k in keywords)).cast(kind)
-    kept = F.aggregate(every, F.array().cast(kind), lambda acc, m: F.when(F.exists(acc, lambda s: F.abs(s["at"] - m["at"]) < window), acc).otherwise(F.array_append(acc, m)))
-    rows = docs.where(text.isNotNull()).select(id_col, text.alias("__t"), kept.alias("kept")).select(id_col, "__t", F.filter(F.transform("kept", lambda m: F.struct(
-        m["keyword"].alias("keyword"), m["at"].alias("match_position"), F.greatest(F.lit(0), m["at"] - window).alias("start_char"), F.least(F.length("__t"), m["at"] + window).cast("int").alias("end_char"),
-        strip(F.substring(F.col("__t"), F.greatest(F.lit(0), m["at"] - window) + 1, F.least(F.length("__t"), m["at"] + window) - F.greatest(F.lit(0), m["at"] - window))).alias("content"))), lambda c: c["content"] != "").alias("c"))
-    return rows.select(id_col, F.posexplode("c").alias("index", "c")).select(id_col, "index", F.concat(F.lit("keyword:"), "c.keyword").alias("title"), "c.content", "c.start_char", "c.end_char", F.lit(0).alias("level"), "c.keyword", "c.match_position")
+    """Windows around keywords (any case), keyword by keyword; a match nearer than ``window`` to a kept one is skipped.
+
+    Blank windows give no chunk; a null text none at all.  Linear in the text and its matches.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, "index", "title", "content", "start_char", "end_char", "level", "keyword", "match_position"]
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for key, text in zip(pdf[id_col], pdf[text_col]):
+                own = [(f"keyword:{k}", c, a, b, 0, k, at) for k, at, a, b in keyword_windows(text or "", keywords, window) if (c := text[a:b].strip())]
+                for k in range(0, len(own), 1000):
+                    yield pd.DataFrame([(key, k + i, *x) for i, x in enumerate(own[k : k + 1000])], columns=names)
+
+    ddl = f"{id_col} {kind}, index int, title string, content string, start_char int, end_char int, level int, keyword string, match_position int"
+    return docs.select(id_col, text_col).mapInPandas(run, ddl)

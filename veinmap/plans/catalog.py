@@ -204,7 +204,17 @@ def _(spark, d):
     return segment.segment_fixed(star.read(spark, d, "documents")).select("doc_id", "start_char", "end_char")
 
 
-@_query("w05_keyword_windows", None)
+@_query("w05_keyword_windows", """WITH RECURSIVE words(k, keyword) AS (VALUES (0, 'license'), (1, 'than')),
+p AS (SELECT doc_id, length(text) AS n, k, keyword, string_split(lower(text), keyword) AS parts FROM documents, words WHERE text IS NOT NULL),
+o AS (SELECT doc_id, n, k, keyword, j, len(parts) AS times, length(parts[j]) AS own FROM p, range(1, len(parts) + 1) AS t(j)),
+a AS (SELECT *, sum(own) OVER (PARTITION BY doc_id, k ORDER BY j) + (j - 1) * length(keyword) AS place FROM o),
+m AS MATERIALIZED (SELECT doc_id, n, keyword, place, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS i FROM a WHERE j < times),
+r AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept, false AS hit FROM m
+  UNION ALL SELECT doc_id, i, CASE WHEN hit THEN list_append(kept, CAST(place AS BIGINT)) ELSE kept END, hit
+  FROM (SELECT r.doc_id, m.i, kept, m.place, len(list_filter(kept, lambda s: abs(s - m.place) < 500)) = 0 AS hit FROM r JOIN m ON m.doc_id = r.doc_id AND m.i = r.i + 1))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS index, keyword, CAST(place AS INTEGER) AS match_position, CAST(greatest(0, place - 500) AS INTEGER) AS start_char, CAST(least(n, place + 500) AS INTEGER) AS end_char
+FROM r JOIN m USING (doc_id, i) WHERE hit""")
 def _(spark, d):
     return segment.segment_keywords(star.read(spark, d, "documents"), ["license", "than"], 500).select("doc_id", "index", "keyword", "match_position", "start_char", "end_char")
 
