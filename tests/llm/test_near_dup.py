@@ -75,14 +75,14 @@ def test_blocks_turns_and_pairs_of_blocks(spark, monkeypatch, block, spread, tur
 
 
 def test_cost_of_a_large_group(spark):
-    """20,000 near copies, 157 blocks: all pairs of blocks would be 12,246."""
+    """20,000 near copies: all pairs would be 200 million."""
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(100)]
     rows = [(i, edited(rng, words, 2)) for i in range(20_000)] + [(50_000 + i, edited(rng, words, 40)) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     report = {}
     got = found(docs, report=report)
-    assert report["turns"] <= near_dup.TURNS and report["pairs"] <= 5 * 157
+    assert report["turns"] <= near_dup.TURNS and report["pairs"] <= 2000
     assert {got[i] for i in range(20_000)} == {0}
     sets = shingle_sets([r for r in docs.collect() if r.doc_id % 50 == 0 or r.doc_id >= 50_000])
     for i in range(50_000, 50_060):
@@ -97,3 +97,41 @@ def test_recall_against_all_rows(spark):
     got = found(docs, width=4)
     links = [(a, b) for a in sets if a % 50 == 0 for b in sets if a != b and alike(sets[a], sets[b])]
     assert links and all(got[a] == got[b] for a, b in links)
+
+
+def look_alikes(spark, n):
+    """Texts of one template of 300 words, each with 18 words of its own: all pairs are at about 0.7."""
+    rng = np.random.default_rng(n)
+    rows = []
+    for i in range(n):
+        words = [f"w{k}" for k in range(300)]
+        for j, at in enumerate(range(5, 300, 34)):
+            words[at : at + 1] = [f"x{i}_{j}", f"y{i}_{j}"]
+        rows.append((i, " ".join(words)))
+    rows += [(n + i, rows[int(rng.integers(n))][1] + " end") for i in range(50)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_look_alikes_that_nothing_links_are_not_compared_in_pairs(spark, n):
+    docs = look_alikes(spark, n)
+    report = {}
+    got = found(docs, report=report)
+    assert report["pairs"] <= 200  # of n * n / 2
+    sets = shingle_sets([r for r in docs.collect() if r.doc_id < 300 or r.doc_id >= n])
+    assert 0.65 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8
+    assert all(got[i] == i for i in range(n)) and all(got[i] < n for i in range(n, n + 50))
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_prefixes_lose_no_link(spark, percent):
+    rng = np.random.default_rng(percent)
+    sets = {}
+    for i in range(150):
+        base = set(range(40)) if i % 2 else set(range(20, 70))
+        sets[i] = base - set(rng.integers(0, 70, rng.integers(0, 20)).tolist()) | set(rng.integers(70, 4000, rng.integers(0, 8)).tolist())
+    tokens = spark.createDataFrame([(i, int(h)) for i, s in sets.items() for h in s], "rep long, h long")
+    about = spark.createDataFrame([(i, i, i, len(s)) for i, s in sets.items()], "rep long, component long, block long, n long")
+    got = {(r.x, r.y) for r in near_dup.candidates(near_dup.prefixes(tokens, about, percent), percent).collect()}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert links <= got and len(got) < 150 * 149 / 2

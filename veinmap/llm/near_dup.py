@@ -8,20 +8,24 @@ in one of the collections: at similarity 0.8 that is 2 * (1 - 0.8**2)**12, about
 
 Halves that no other document has are dropped before the pairs of halves are formed, so documents
 without a near neighbour never reach the tables.  Documents that met are dealt into blocks around an anchor,
-compared on full shingle sets and contracted (``links``); only what no link has connected then is
-compared across blocks, in tasks that give back links, never pairs to be tested.
+compared on full shingle sets and contracted (``links``).  What shares a key but no component then is
+joined on the rare ends of its full sets (``prefixes``): texts that resemble each other, but not
+enough, have shingles of their own there and never meet.  The pairs that are left are compared on
+full sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veinmap.llm.common import components, cut, join_few, map_rows, sorted_groups
+from veinmap.llm.common import components, cut, join_few, map_rows, pieces, sorted_groups
 
 SIDE, HALF = 12, 2
 #: Documents of a block; one of n times LONG shingles counts as n.
@@ -149,37 +153,64 @@ def labelled(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(join_few(named, large, "component", "left").withColumn("large", F.coalesce("large", F.lit(False))))
 
 
-def members(named: DataFrame) -> DataFrame:
-    """rep, component, large, seen (its block of the turn) and the block in which it will be compared with others.
+def tokens(docs: DataFrame, rest: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """rep, h: every shingle of the representatives ``rest`` (rep, ...), as rows of two longs."""
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                for rep, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    own = shingles(text, width).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rep, np.int64)), pa.array(own)], ["rep", "h"])
+
+    return join_few(texts, rest.select("rep"), "rep", "left_semi").select("rep", "text").mapInArrow(run, "rep long, h long")
+
 
-    Large components have blocks of their own, which need no comparison with each other; the rest
-    shares blocks by its anchor.
+def prefixes(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """h, rep, component, block, n, at: of each set (rep, component, block, n) the shingles of its prefix that other sets have too.
+
+    Sets are ordered from rare to common shingles.  A link has more in common than stands behind the
+    prefix, so its first common shingle is in both prefixes.  Shingles of one set alone come first:
+    they fill prefixes without a row, and a set that has enough of them can have no link at all.
     """
-    homes = named.withColumn("home", F.when(F.col("large"), F.xxhash64(F.lit("component"), "component")).otherwise(F.xxhash64(F.lit("anchor"), "anchor")))
-    chunks = homes.groupBy("home").agg(_chunks(F.col("weight")).alias("n"))
-    return cut(homes.join(chunks, "home").select("rep", "component", "large", F.col("block").alias("seen"), F.xxhash64("home", F.pmod(F.xxhash64(F.lit("block"), "rep"), "n")).alias("block")))
+    shared = found.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    own = found.join(shared, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))  # of one document
+    rows = own.join(sets, "rep").withColumn("alone", F.col("n") - F.size("own"))
+    take = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")).cast("int")
+    rows = rows.where(take > 0).select("rep", "component", "block", "n", "alone", F.posexplode(F.slice("own", F.lit(1), take)).alias("i", "x"))
+    return rows.select("x.h", "rep", "component", "block", "n", (F.col("alone") + F.col("i")).alias("at"))
+
 
+def candidates(first: DataFrame, percent: int) -> DataFrame:
+    """x, y: pairs of sets of different components and blocks whose sizes, and places of a common shingle, allow a link.
 
-def pairs_of_blocks(at: DataFrame) -> DataFrame:
-    """block, other: which blocks to compare.  at: key, block, component, large of a representative's keys with several components."""
-    places = cut(at.select("key", "block", F.when(F.col("large"), F.col("component")).alias("pure")).distinct())
-    other = places.select("key", F.col("block").alias("other"), F.col("pure").alias("other_pure"))
-    pairs = places.join(other, "key").where((F.col("block") < F.col("other")) & ~F.coalesce(F.col("pure") == F.col("other_pure"), F.lit(False))).select("block", "other").distinct()
-    own = places.where("pure IS NULL").select("block", F.col("block").alias("other")).distinct()
-    return cut(pairs.union(own))
+    first: ``prefixes``.  What stands behind a pair's first common shingle must hold all it needs in
+    common.  That is decided once for all sets of a component with the same size and place; sets are
+    paired only where it is so.
+    """
+    kind = ["component", "n", "at"]
+    kinds = cut(first.select("h", *kind).distinct())
+    other = kinds.select("h", *(F.col(c).alias(f"{c}_y") for c in kind))
+    need = F.ceil((F.col("n") + F.col("n_y")) * percent / (100 + percent))
+    sizes = 100 * F.least("n", "n_y") >= percent * F.greatest("n", "n_y")
+    met = kinds.join(other, "h").where((F.col("component") < F.col("component_y")) & sizes & (F.least(F.col("n") - F.col("at"), F.col("n_y") - F.col("at_y")) >= need))
+    second = first.select("h", *(F.col(c).alias(f"{c}_y") for c in [*kind, "rep", "block"]))
+    pairs = cut(met).join(first, ["h", *kind]).join(second, ["h", *(f"{c}_y" for c in kind)]).where("block <> block_y")
+    return pairs.select(F.least("rep", "rep_y").alias("x"), F.greatest("rep", "rep_y").alias("y")).distinct()
 
 
 def verified_links(docs: DataFrame, places: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """a, b: links that connect all texts of a task that full sets connect.
 
-    places: rep, task, side, component (connected before), seen (a block that compared all its own).
-    If a task has two sides, texts are compared across them.
+    places: rep, task, side, component (connected before).  If a task has two sides, texts are
+    compared across them.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     rows = join_few(texts, places, "rep")
 
     def start():
-        def step(_, reps, texts, sides, components, seen):
+        def step(_, reps, texts, sides, components):
             root = list(range(len(reps)))
 
             def find(i: int) -> int:
@@ -197,7 +228,7 @@ def verified_links(docs: DataFrame, places: DataFrame, width: int, percent: int,
             for n, i in enumerate(first):
                 for j in second or first[:n]:
                     x, y = sets[i], sets[j]
-                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or (seen[i] is not None and seen[i] == seen[j]) or find(i) == find(j):
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or find(i) == find(j):
                         continue
                     both = len(x & y)
                     if both and 100 * both >= percent * (len(x) + len(y) - both):
@@ -208,7 +239,7 @@ def verified_links(docs: DataFrame, places: DataFrame, width: int, percent: int,
 
         return step
 
-    return sorted_groups(rows, "task", ["side", "rep"], ["rep", "text", "side", "component", "seen"], "a long, b long", start)
+    return sorted_groups(rows, "task", ["side", "rep"], ["rep", "text", "side", "component"], "a long, b long", start)
 
 
 def links(docs: DataFrame, reps: DataFrame, width: int, percent: int, id_col: str, text_col: str, report: dict | None = None) -> DataFrame:
@@ -218,9 +249,9 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int, id_col: st
     within their block (a group's anchor stands in each of its blocks), and what is linked is
     contracted.  A key all of whose representatives are connected is done.  Another turn, with other
     anchors, follows where large components of many blocks share a key (a group that its anchor did
-    not connect).  Then the rest is compared, block by block, across components only.  So a group of
-    near copies costs about its size, and pairs of blocks are formed only around texts that no link
-    connects.  ``report`` gets the numbers of turns and of pairs of blocks.
+    not connect).  Then pairs of different components that can still be linked are found by prefixes of
+    their full sets and compared.  So a group of near copies, or of texts that resemble each other
+    without being linked, costs about its size.  ``report`` gets the numbers of turns and of pairs.
     """
     keys = shared_keys(reps)
     sizes = cut(reps.select("rep", F.greatest(F.lit(1.0), F.col("n_shingles") / LONG).alias("weight")))
@@ -232,7 +263,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int, id_col: st
         blocks, anchors = dealt(now, sizes, report["turns"])
         rows = blocks.select("rep", "block").union(anchors).distinct().select("rep", F.col("block").alias("task"), F.lit(0).alias("side"))
         rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left") if labels else rows.withColumn("component", F.col("rep"))
-        new = cut(check(rows.select("rep", "task", "side", F.coalesce("component", "rep").alias("component"), F.lit(None).cast("long").alias("seen"))))
+        new = cut(check(rows.select("rep", "task", "side", F.coalesce("component", "rep").alias("component"))))
         found = new if found is None else found.union(new)
         labels = components(found)
         report["turns"] += 1
@@ -245,14 +276,18 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int, id_col: st
         if report["turns"] == TURNS or new.isEmpty() or mixed.where("apart").isEmpty():
             break
         now = anchored_anew(now, report["turns"])
-    member = members(named.join(now.select("rep").distinct(), "rep", "left_semi"))
-    pairs = pairs_of_blocks(join_few(now.select("rep", "key"), member, "rep"))
+    rest = cut(named.join(now.select("rep").distinct(), "rep", "left_semi").select("rep", "component", "block"))
+    if rest.isEmpty():
+        return labels
+    sets = rest.join(reps.select("rep", F.col("n_shingles").alias("n")), "rep")
+    pairs = cut(candidates(cut(prefixes(cut(tokens(docs, rest, width, id_col, text_col)), sets, percent)), percent))
     report["pairs"] = pairs.count()
     if not report["pairs"]:
         return labels
-    tasks = pairs.select(F.xxhash64("block", "other").alias("task"), "block", "other")
-    sides = tasks.select("task", "block", F.lit(0).alias("side")).union(tasks.where("block <> other").select("task", F.col("other").alias("block"), F.lit(1).alias("side")))
-    more = check(member.join(sides, "block").select("rep", "task", "side", "component", "seen"))
+    chunks = pairs.groupBy("x").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    tasks = pairs.join(chunks, "x").select("x", "y", F.xxhash64("x", F.pmod(F.xxhash64("y"), "chunks")).alias("task"))
+    sides = tasks.select(F.col("x").alias("rep"), "task", F.lit(0).alias("side")).distinct().union(tasks.select(F.col("y").alias("rep"), "task", F.lit(1).alias("side")))
+    more = check(sides.join(rest.select("rep", "component"), "rep").select("rep", "task", "side", "component"))
     return components(found.union(more))
 
 
@@ -266,7 +301,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     linked with nothing: component_id null, kept true.  Repeated rows stay and get the same
     component.  No rows give no rows.  Other columns are not looked at.  A very long text is
     compared in small blocks: a set of shingles takes some 70 bytes each.  ``report``, a dict, gets
-    the numbers of turns and of pairs of blocks that were compared.
+    the numbers of turns and of pairs that were compared after them.
     """
     rows = cut(signatures(docs, width, id_col, text_col))
     full = rows.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
