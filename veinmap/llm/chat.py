@@ -3,7 +3,8 @@
 A record's fingerprint is the hash of its set of nested field paths.  It selects a declarative
 mapping (the one with most required paths that the fingerprint's set holds; other paths may stand
 beside them), which turns the record's layout (one message, a list of messages, a prompt with its
-response, an instruction) into canonical turns.  What no mapping fits is handed back as it is.  A template marks the turns and escapes its control
+response, an instruction) into canonical turns.  What no mapping fits, or what a mapping would read
+without one of its texts, is handed back as it is.  A template marks the turns and escapes its control
 strings inside texts, so the output can be read back exactly.
 """
 
@@ -13,6 +14,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,21 +25,57 @@ from veinmap.llm.common import map_rows
 
 #: Names of the roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-#: name, required paths, list to walk (or None), turns: (role or "@" and its path, paths of the text).
+#: In a path, an item of a list (keys are strings, so none can be taken for it).
+ITEM = 0
+
+
+@dataclass(frozen=True)
+class Layout:
+    """A mapping: the paths that a record must have, where its turns stand, and what they are made of.
+
+    walk: the list of turns (None: the record itself).  turns: a role, or "@" and its key, and the
+    keys of the text; a key after "?" may be absent or empty.  head: fields of the record that, if
+    there, are turns of their own before the others: key and role.
+    """
+
+    name: str
+    required: tuple[tuple, ...]
+    walk: tuple | None
+    turns: tuple[tuple[str, tuple[tuple[str, ...], ...]], ...]
+    head: tuple[tuple[str, str], ...] = (("system", "system"),)
+
+    def read(self) -> set[str]:
+        """Keys of the record that hold texts it reads."""
+        own = {self.walk[0]} if self.walk else {p[0].lstrip("?") for _, texts in self.turns for p in texts}
+        return own | {key for key, _ in self.head}
+
+
+def _list(name: str, walk: tuple, role: str, text: str, *more) -> Layout:
+    return Layout(name, ((*walk, ITEM, role), (*walk, ITEM, text, *more)), walk, ((f"@{role}", ((text,),)),))
+
+
+def _pair(name: str, asked: tuple[str, ...], answered: str) -> Layout:
+    return Layout(name, tuple((k,) for k in (*asked, answered) if k[0] != "?"), None, (("user", tuple((k,) for k in asked)), ("assistant", ((answered,),))))
+
+
 LAYOUTS = (
-    ("text message", ("role", "text"), None, (("@role", ("text",)),)),
-    ("content message", ("role", "content"), None, (("@role", ("content",)),)),
-    ("from-value message", ("from", "value"), None, (("@from", ("value",)),)),
-    ("messages", ("messages[].role", "messages[].content"), "messages", (("@role", ("content",)),)),
-    ("messages of parts", ("messages[].role", "messages[].content[].text"), "messages", (("@role", ("content",)),)),
-    ("conversations", ("conversations[].from", "conversations[].value"), "conversations", (("@from", ("value",)),)),
-    ("prompt and response", ("prompt", "response"), None, (("user", ("prompt",)), ("assistant", ("response",)))),
-    ("prompt and completion", ("prompt", "completion"), None, (("user", ("prompt",)), ("assistant", ("completion",)))),
-    ("system, prompt and response", ("system", "prompt", "response"), None, (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-    ("instruction", ("instruction", "output"), None, (("user", ("instruction",)), ("assistant", ("output",)))),
-    ("instruction with input", ("instruction", "input", "output"), None, (("user", ("instruction", "input")), ("assistant", ("output",)))),
-    ("question and answer", ("data.question", "data.answer"), None, (("user", ("data.question",)), ("assistant", ("data.answer",)))),
+    Layout("text message", (("role",), ("text",)), None, (("@role", (("text",),)),), ()),
+    Layout("content message", (("role",), ("content",)), None, (("@role", (("content",),)),), ()),
+    Layout("from-value message", (("from",), ("value",)), None, (("@from", (("value",),)),), ()),
+    _list("messages", ("messages",), "role", "content"),
+    _list("messages of parts", ("messages",), "role", "content", ITEM, "text"),
+    _list("conversations", ("conversations",), "from", "value"),
+    _list("list of messages", (), "role", "content"),
+    _list("list of messages of parts", (), "role", "content", ITEM, "text"),
+    _list("list of from and value", (), "from", "value"),
+    _pair("prompt and response", ("prompt",), "response"),
+    _pair("prompt and completion", ("prompt",), "completion"),
+    _pair("instruction", ("instruction", "?input"), "output"),
+    Layout("question and answer", (("data", "question"), ("data", "answer")), None, (("user", (("data", "question"),)), ("assistant", (("data", "answer"),)))),
 )
+#: Keys of a record, and of a turn in a list, that hold texts: a layout must read those that are filled.
+TEXTS = frozenset({"system", "prompt", "response", "completion", "instruction", "input", "output", "messages", "conversations", "text", "content", "value"})
+TURN_TEXTS = frozenset({"text", "content", "value"})
 
 OPEN, CLOSE = "### ", "</turn>"
 _CONTROL = re.compile(r"\\|###|</turn>")
@@ -45,32 +83,33 @@ _ESCAPED = re.compile(r"\\(\\|###|</turn>)")
 _TURN = re.compile(r"### ((?:\\.|[^\n])*)\n((?:\\\\|\\###|\\</turn>|(?!</turn>).)*)</turn>\n", re.S)
 
 
-def paths(value, at: str = "") -> set[str]:
-    """Nested field paths; lists are marked by []."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in paths(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list):
-        return {p for v in value for p in paths(v, f"{at}[]")} or {f"{at}[]"}
+def paths(value, at: tuple = ()) -> set[tuple]:
+    """Nested field paths: keys, and ITEM for the items of a list."""
+    if isinstance(value, dict) and value:
+        return {p for k, v in value.items() for p in paths(v, (*at, k))}
+    if isinstance(value, list) and value:
+        return {p for v in value for p in paths(v, (*at, ITEM))}
     return {at}
 
 
-def fingerprint(found: set[str] | tuple[str, ...]) -> str:
-    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
+def fingerprint(found: set[tuple] | tuple[tuple, ...]) -> str:
+    """Hash of a set of paths, each written as JSON, so that no two sets are written alike."""
+    return hashlib.md5("\n".join(sorted(json.dumps(p) for p in found)).encode()).hexdigest()
 
 
 @lru_cache(maxsize=1 << 14)
-def _selected(key: str, found: frozenset[str]) -> tuple | None:
-    fitting = [(len(own), -i) for i, (_, own, _, _) in enumerate(LAYOUTS) if found.issuperset(own)]
+def _selected(key: str, found: frozenset[tuple]) -> Layout | None:
+    fitting = [(len(layout.required), -i) for i, layout in enumerate(LAYOUTS) if found.issuperset(layout.required)]
     return LAYOUTS[-max(fitting)[1]] if fitting else None
 
 
-def mapping_of(found: set[str]) -> tuple | None:
+def mapping_of(found: set[tuple]) -> Layout | None:
     """The layout that a set of paths selects: most required paths, the first among equals."""
     return _selected(fingerprint(found), frozenset(found))
 
 
-def _get(value, path: str):
-    for key in path.split("."):
+def _get(value, path: tuple):
+    for key in path:
         value = value.get(key) if isinstance(value, dict) else None
     return value
 
@@ -88,23 +127,40 @@ def _plain(text: str) -> str:
     return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def _filled(value, keys: frozenset[str]) -> set[str]:
+    return {k for k in keys if value.get(k) not in (None, "", [], {})} if isinstance(value, dict) else set()
+
+
+def _turns(value, layout: Layout) -> list[tuple[str, str]] | None:
+    """The turns of a record, or None if the layout would leave a text of it unread."""
+    if _filled(value, TEXTS) - layout.read():
+        return None
+    out = [(role, _text(value[key])) for key, role in layout.head if isinstance(value, dict) and value.get(key) not in (None, "")]
+    items = [value] if layout.walk is None else _get(value, layout.walk)
+    for item in items:
+        for role, texts in layout.turns:
+            if role[0] == "@" and (not isinstance(item, dict) or role[1:] not in item):
+                return None
+            if layout.walk is not None and _filled(item, TURN_TEXTS) - {p[0] for p in texts}:
+                return None
+            who = str(_get(item, (role[1:],)) or "") if role[0] == "@" else role
+            own = [(p[0][0] == "?", _get(item, (p[0].lstrip("?"), *p[1:]))) for p in texts]
+            parts = [_text(t) for optional, t in own if t is not None and not (optional and t == "")]
+            out.append((ROLES.get(who, who) if role == "@from" else who, "\n".join(parts)))
+    return out
+
+
 def canonical(record: str | None) -> tuple[str | None, list[tuple[str, str]]]:
-    """Name of the layout (null: none fits, no JSON, or nested too deeply) and the turns."""
+    """Name of the layout (null: none fits or would leave a text unread, no JSON, or nested too deeply) and the turns."""
     try:
         value = json.loads(record or "")
         layout = mapping_of(paths(value))
+        turns = _turns(value, layout) if layout else None
     except (ValueError, RecursionError):
         return None, []
-    if layout is None:
+    if turns is None:
         return None, []
-    name, _, walk, turns = layout
-    out = []
-    for item in _get(value, walk) if walk else [value]:
-        for role, texts in turns:
-            who = str(_get(item, role[1:]) or "") if role[0] == "@" else role
-            parts = [_text(t) for p in texts if (t := _get(item, p)) is not None]
-            out.append((_plain(ROLES.get(who, who) if "from" in name or walk == "conversations" else who), _plain("\n".join(parts))))
-    return name, out
+    return layout.name, [(_plain(role), _plain(text)) for role, text in turns]
 
 
 def written(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -133,11 +189,13 @@ def read(formatted: str) -> list[tuple[str, str]]:
 def formatted(records: DataFrame) -> DataFrame:
     """records (conv_id, seq, record: JSON) -> conv_id, seq, layout, formatted, mask, unmatched.
 
-    mask: array of start, stop of the assistants' texts.  A record that no layout fits, that is no
-    JSON or is nested too deeply has a null layout and an empty text, and stands in ``unmatched``
-    as it is (null for all others).  Fields beside a layout's are left out.  A null role or text is
-    empty.  The texts of a conversation's records, in order, follow each other.  Other columns are
-    not looked at.  Narrow: no shuffle.
+    mask: array of start, stop of the assistants' texts.  A record that no layout fits, that has a
+    filled text field (TEXTS; TURN_TEXTS in a list's turns) which its layout doesn't read, or a turn
+    without a role, that is no JSON or is nested too deeply has a null layout and an empty text, and
+    stands in ``unmatched`` as it is (null for all others).  Other fields are left out.  A null role
+    or text is empty.  The texts of a conversation's records, in order, follow each other.  Other
+    columns are not looked at.  A very long record is held whole, some ten times its size.  Narrow:
+    no shuffle.
     """
 
     def start():
@@ -156,7 +214,8 @@ def digests(texts: DataFrame) -> DataFrame:
     """Reads formatted texts back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     A conversation's rows stream through one task in the order of ``seq`` (ties by text), with two
-    running hashes as its only state, so its length is no matter of memory.
+    running hashes as its only state, so its length is no matter of memory; a very long text of one
+    record is held whole, a few times over.
     """
     ddl = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     names = [x.split()[0] for x in ddl.split(", ")]
