@@ -6,9 +6,9 @@ from veinmap.llm import toxicity
 
 
 def area(score, y):
-    rank = np.empty(len(score))
-    rank[np.argsort(score, kind="stable")] = np.arange(len(score))
-    return (rank[y == 1].mean() - (y.sum() - 1) / 2) / (len(y) - y.sum())
+    """Share of pairs of a toxic and a clean row in which the toxic one scores higher; ties count half."""
+    toxic, clean = score[y == 1][:, None], score[y == 0]
+    return ((toxic > clean) + (toxic == clean) / 2).mean()
 
 
 def test_held_out_accuracy(spark):
@@ -51,22 +51,24 @@ def test_long_clean_texts_stay(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((plain, weak, bad, plain[:10]))], "doc_id long, text string")
     got = {r.doc_id: r for r in toxicity.toxicity(docs, model).collect()}
     assert [got[i].predicted for i in range(4)] == [0, 0, 1, 0]
-    assert 0 < got[3].score < got[0].score < 0.11 and got[0].n_sentences == n
+    assert 0 < got[3].score < got[0].score == got[1].score < toxicity.LEAK and got[0].n_sentences == n
     assert [o.sentence for o in got[2].offending] == [n // 2] and not got[1].offending
     assert sorted(r.doc_id for r in toxicity.drop_toxic(docs, model).collect()) == [0, 1, 3]
 
 
 def test_gradient_of_the_noisy_or():
     rng = np.random.default_rng(2)
-    z, doc_of, y = rng.normal(-1, 2, 40), np.arange(40) % 9, rng.integers(0, 2, 9).astype(float)
-    value, grad = toxicity.loss(z, doc_of, y)
-    q = 1 / (1 + np.exp(-z))
-    p = [1 - np.prod(1 - q[doc_of == d]) for d in range(9)]
+    z, doc_of, y = rng.normal(-1, 3, 40), np.arange(40) % 9, rng.integers(0, 2, 9).astype(float)
+    n = rng.integers(1, 300, 9)
+    value, grad = toxicity.loss(z, doc_of, y, n)
+    q = np.maximum((1 / (1 + np.exp(-z)) - toxicity.FLOOR) / (1 - toxicity.FLOOR), 0)
+    assert 0 < (q == 0).sum() < 20
+    p = [1 - (1 - toxicity.LEAK * n[d] / (n[d] + toxicity.LEAK_HALF)) * np.prod(1 - q[doc_of == d]) for d in range(9)]
     assert np.isclose(value, -np.mean([np.log(p[d]) if y[d] else np.log(1 - p[d]) for d in range(9)]))
     for i in range(40):
         step = np.zeros(40)
         step[i] = 1e-5
-        assert np.isclose((toxicity.loss(z + step, doc_of, y)[0] - toxicity.loss(z - step, doc_of, y)[0]) / 2e-5, grad[i], atol=1e-6)
+        assert np.isclose((toxicity.loss(z + step, doc_of, y, n)[0] - toxicity.loss(z - step, doc_of, y, n)[0]) / 2e-5, grad[i], atol=1e-6)
 
 
 def test_scores_against_the_definition(spark):
@@ -74,15 +76,39 @@ def test_scores_against_the_definition(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     vocab, weights, bias = model = toxicity.learn(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
     known = dict(zip(vocab.tolist(), weights.tolist()))
-    floor = toxicity.floor_of(model)
     got = {r.doc_id: r.score for r in toxicity.toxicity(docs, model).collect()}
     for r in docs.collect():
-        clean, n = 1.0, 0
+        n = len(toxicity.sentences(r.text))
+        clean = 1 - toxicity.LEAK * n / (n + toxicity.LEAK_HALF)
         for s in toxicity.sentences(r.text):
-            q = 1 / (1 + np.exp(-bias - sum(known.get(b, 0.0) for w in s for b in toxicity.buckets(w))))
-            clean *= 1 - max(0.0, (q - floor) / (1 - floor))
-            n += 1
-        assert n <= toxicity.PASSAGE and np.isclose(got[r.doc_id], 1 - clean * max(0.9, (1 - floor) ** n), atol=1e-6)
+            own = [known[b] for w in s for b in toxicity.buckets(w) if b in known]
+            q = 1 / (1 + np.exp(-bias - sum(own)))
+            clean *= 1 - (max(0.0, (q - toxicity.FLOOR) / (1 - toxicity.FLOOR)) if own else 0.0)
+        assert np.isclose(got[r.doc_id], 1 - clean, atol=1e-6)
+
+
+def test_training_and_scoring_are_one_formula(spark):
+    """The loss that training minimises is the log loss of the scores that the operator gives."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    rows = toxicity.toxicity(docs, model).join(labels, "doc_id").where("NOT held_out").select("doc_id", "score", "toxic", "n_sentences").collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known, at, z, doc_of = dict(zip(model[0].tolist(), model[1].tolist())), [r.doc_id for r in rows], [], []
+    for n, i in enumerate(at):
+        for s in toxicity.sentences(texts[i]):
+            if own := [known[b] for w in s for b in toxicity.buckets(w) if b in known]:
+                z.append(model[2] + sum(own))
+                doc_of.append(n)
+    y, p = np.array([r.toxic for r in rows], float), np.array([r.score for r in rows]).clip(1e-9, 1 - 1e-9)
+    n = np.array([r.n_sentences for r in rows])
+    assert np.isclose(toxicity.loss(np.array(z), np.array(doc_of), y, n)[0], -np.mean(y * np.log(p) + (1 - y) * np.log1p(-p)), atol=1e-5)
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    rows = [(i, "You utter grubnik. " * 50 if i % 2 else "You kind friend. " * 50) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")
+    assert len(toxicity.learn(docs, labels, max_total=100)[0]) == 0 and len(toxicity.learn(docs, labels)[0])
 
 
 def test_long_texts_are_scored_but_not_learned_from(spark):
