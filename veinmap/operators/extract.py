@@ -131,6 +131,17 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.withColumn("total_items", F.size("individuals") + F.size("properties") + F.size("relationships"))
 
 
+def records(results: DataFrame) -> DataFrame:
+    """Results of ``extract`` as records: source, individuals, properties, relationships, total_items, metadata.
+
+    The source is the results' first column as text (``unknown`` if null); metadata has the method,
+    the text's length and its temperature ranges.
+    """
+    source = F.coalesce(F.col(results.columns[0]).cast("string"), F.lit("unknown")).alias("source")
+    metadata = F.struct(F.lit("rule-based").alias("method"), "text_length", "temperature_ranges").alias("metadata")
+    return results.select(source, "individuals", "properties", "relationships", "total_items", metadata)
+
+
 def extract_with_template(docs: DataFrame, template: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A user's patterns per property: a pattern, a list, or {"patterns": [...]}; patterns without groups give nothing.
 

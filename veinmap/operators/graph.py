@@ -41,10 +41,16 @@ def degrees(g: Graph) -> DataFrame:
 
 
 def top_edges(g: Graph, out_most: int = 5, in_most: int = 3) -> DataFrame:
-    """The first edges of each node by pos: id, direction, rank, other."""
+    """The first edges of each node by pos: id, direction, rank, other.
+
+    The larger of the limits is a literal, so it is applied before the shuffle: a hub node sends few edges.
+    """
     both = g.edges.select(F.col("from").alias("id"), F.lit("out").alias("direction"), "pos", F.col("to").alias("other")).unionByName(g.edges.select(F.col("to").alias("id"), F.lit("in").alias("direction"), "pos", F.col("from").alias("other")))
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("id", "direction").orderBy("pos")))
-    return ranked.where(F.col("rank") <= F.when(F.col("direction") == "out", out_most).otherwise(in_most)).select("id", "direction", "rank", "other")
+    ranked = ranked.where(F.col("rank") <= max(out_most, in_most))
+    if out_most != in_most:
+        ranked = ranked.where(F.col("rank") <= F.when(F.col("direction") == "out", out_most).otherwise(in_most))
+    return ranked.select("id", "direction", "rank", "other")
 
 
 def panel_edges(g: Graph, most: int = 20) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,8 +14,16 @@ _made: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; where that is unset (tests), in the session's warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    """A new path in the shared folder of ``spark.checkpoint.dir``.
+
+    Where that is unset a session whose executors are threads of the driver (tests) takes a folder of
+    its warehouse; on a cluster that is an error, for the warehouse may be one machine's.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     _made.append(path := f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     return path
 
@@ -29,8 +38,7 @@ def clean(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written to the shared folder of ``spark.checkpoint.dir`` and read again.
 
-    Lost executors then cost no recomputation, and Python stages before it run once.  Where the
-    setting is absent (tests), a folder of the session's warehouse takes its place.
+    Lost executors then cost no recomputation, and Python stages before it run once.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, "cut")
     df.write.parquet(path)

@@ -186,6 +186,12 @@ def merge_stats(individuals: DataFrame, merged: DataFrame, relationships: DataFr
     return out.select("inputs", *columns, gone.alias("duplicates_removed"), rounded(gone / F.greatest("individuals_in", F.lit(1)) * 100).alias("dedup_rate"))
 
 
+def stats_record(stats: DataFrame) -> DataFrame:
+    """``merge_stats`` as the record of a merge; conflicts are settled without being counted."""
+    names = {"inputs": "input_results", "individuals_in": "total_individuals_in", "duplicates_removed": "duplicates_removed", None: "conflicts_resolved", "final_individuals": "final_individuals", "final_properties": "final_properties", "dedup_rate": "dedup_rate"}
+    return stats.select(*(F.col(c).alias(n) if c else F.lit(0).cast("long").alias(n) for c, n in names.items()))
+
+
 def merge_results(results: DataFrame, strategy: str = "exact", conflict: str = "latest", order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Extraction results (source, individuals, properties, relationships) -> merged individuals, properties, relationships.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veinmap.functions.text import bare_property, first_class, formula
 from veinmap.model import Ontology
+from veinmap.operators.links import cut
 
 
 @dataclass(frozen=True)
@@ -91,6 +92,43 @@ def restore(o: Ontology, folder: str, mode: str = "append") -> None:
     material_properties(o).write.mode(mode).parquet(f"{folder}/material_properties")
 
 
+def routed(table: str, rows: DataFrame, order: str, existing: DataFrame | None = None, parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``rows`` with ``reasons``: the constraints of ``table`` that a row breaks, none for one that can be inserted.
+
+    ``null: <column>`` for a required column or the key; ``duplicate: id`` for a key that an earlier
+    row (by ``order``) or an ``existing`` row has; ``no parent: <column>`` for a key that the ids of
+    ``parents[column]`` lack.  Keys are summed up before they are joined, so a key of very many rows is
+    one row of the index.
+    """
+    fields = TABLES[table][0]
+    out = rows
+    reasons = [F.when(F.col(f.name).isNull(), F.lit(f"null: {f.name}")) for f in fields if (f.required or f.name == "id") and f.name in rows.columns]
+    first = rows.where("id IS NOT NULL").groupBy("id").agg(F.min(order).alias("__first"))
+    out = out.join(first, "id", "left")
+    taken = F.col("__first") != F.col(order)
+    if existing is not None:
+        out = out.join(existing.select("id", F.lit(True).alias("__there")).distinct(), "id", "left")
+        taken = taken | F.col("__there")
+    reasons.append(F.when(taken, F.lit("duplicate: id")))
+    for f in fields:
+        if f.references and f.name in (parents or {}):
+            ids = parents[f.name].select(F.col("id").alias(f.name), F.lit(True).alias(f"__{f.name}")).distinct()
+            out = out.join(ids, f.name, "left")
+            reasons.append(F.when(F.col(f.name).isNotNull() & F.col(f"__{f.name}").isNull(), F.lit(f"no parent: {f.name}")))
+    return out.select(*rows.columns, F.array_compact(F.array(*reasons)).alias("reasons"))
+
+
+def insert(table: str, rows: DataFrame, folder: str, order: str, parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Appends the rows that break no constraint to ``folder``; gives back the others with their reasons and an error text."""
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    judged = cut(routed(table, rows, order, spark.read.parquet(folder) if there else None, parents))
+    judged.where(F.size("reasons") == 0).drop("reasons", order).write.mode("append").parquet(folder)
+    name = F.coalesce(F.col("name"), F.lit("unknown")) if "name" in rows.columns else F.lit("unknown")
+    return judged.where(F.size("reasons") > 0).withColumn("error", F.concat(F.lit("Failed to insert: "), name))
+
+
 def orphans(children: DataFrame, parents: DataFrame, key: str = "material_id") -> DataFrame:
     """Children whose key no parent has (a broken foreign key)."""
     return children.join(parents.select(F.col("id").alias(key)), key, "left_anti")

