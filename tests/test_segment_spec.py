@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -97,3 +98,20 @@ def test_fixed_cuts_cover_the_text():
             continue
         assert cuts[0][0] == 0 and cuts[-1][1] == len(text)
         assert all(a < c <= b for (a, b), (c, _) in zip(cuts, cuts[1:])) and all(0 < b - a <= size for a, b in cuts)
+
+
+def test_headings_do_not_begin_inside_each_other(spark):
+    """Sections against Python's ``re``, match by match."""
+    rng = random.Random(9)
+    bits = ["# ", "## ", "#", "\n", "\n\n", "a", "bé c", " ", "####### x", "# T\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(500)]
+    want = []
+    for i, t in enumerate(texts):
+        found = list(re.finditer(r"^(#{1,6})\s+(.+)$", t, re.MULTILINE))
+        own = [("preamble", t[: found[0].start()].strip(), 0, found[0].start(), 0)] if found else [("full_document", t.strip(), 0, len(t), 0)]
+        stops = [m.start() for m in found[1:]] + [len(t)]
+        own += [(m[2].strip(), t[m.end() : stop].strip(), m.start(), stop, len(m[1])) for m, stop in zip(found, stops)]
+        want += [(i, n, *x) for n, x in enumerate(x for x in own if x[1] or not found)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    columns = ("doc_id", "index", "title", "content", "start_char", "end_char", "level")
+    assert sorted(tuple(r[c] for c in columns) for r in segment.segment_headings(df, 0).collect()) == sorted(want)

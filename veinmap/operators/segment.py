@@ -1,7 +1,7 @@
 """Segmentation of long texts: by headings, by size, around keywords.
 
-Heading cuts are expressions: ``split`` before each heading and running lengths (an Arrow function on
-the lengths alone) give the places; sections leave as rows, and small ones are folded as the rows
+Heading cuts are expressions: the headings, what ``split`` leaves between them, and running lengths (an
+Arrow function on the lengths alone) give the places; sections leave as rows, and small ones are folded as the rows
 stream by.  Fixed-size cuts depend on the cut before and windows on those kept before, so both are
 table functions, linear in the text.  Places are code points.
 """
@@ -35,21 +35,22 @@ def _running(lengths: Column) -> Column:
 def sections(text: Column) -> Column:
     """Chunks of a text before small ones are folded: preamble and one per heading with a body; a text without headings is one."""
     n = F.length(text)
-    parts = F.split(text, rf"(?md)(?={HEADING})")
-    own = F.filter(parts, lambda p: p != "")
-    ends = _running(F.transform(own, F.length))
-    pieces = F.transform(F.arrays_zip(ends.alias("end"), own.alias("part")), lambda z: F.struct((z["end"] - F.length(z["part"])).cast("int").alias("at"), z["part"].alias("part")))
+    pattern = rf"(?md){HEADING}"
+    heads = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))  # a heading may not begin inside another
+    bodies = F.split(text, pattern, -1)
+    ends = _running(F.transform(F.arrays_zip(heads.alias("head"), bodies.alias("body")), lambda z: F.length(z["head"]) + F.length(z["body"])))
+    pieces = F.arrays_zip(heads.alias("head"), bodies.alias("body"), ends.alias("end"))
     head = rf"(?d)\A(#{{1,6}})({_HASH}+)([^\n]+)"
+
     def chunk(p: Column) -> Column:
-        level = F.length(F.regexp_extract(p["part"], head, 1))
-        body = F.when(level == 0, p["part"]).otherwise(F.regexp_replace(p["part"], head, ""))
+        level = F.length(F.regexp_extract(p["head"], head, 1))
         return F.struct(
-            F.when(level == 0, F.lit("preamble")).otherwise(strip(F.regexp_extract(p["part"], head, 3))).alias("title"),
-            strip(body).alias("content"), p["at"].alias("start_char"), (p["at"] + F.length(p["part"])).cast("int").alias("end_char"), level.cast("int").alias("level"),
+            F.when(level == 0, F.lit("preamble")).otherwise(strip(F.regexp_extract(p["head"], head, 3))).alias("title"),
+            strip(p["body"]).alias("content"), (p["end"] - F.length(p["head"]) - F.length(p["body"])).cast("int").alias("start_char"), p["end"].cast("int").alias("end_char"), level.cast("int").alias("level"),
         )
 
     whole = F.array(F.struct(F.lit("full_document").alias("title"), strip(text).alias("content"), F.lit(0).alias("start_char"), n.cast("int").alias("end_char"), F.lit(0).alias("level")))
-    return F.when(~text.rlike(rf"(?md){HEADING}"), whole).otherwise(F.filter(F.transform(pieces, chunk), lambda c: c["content"] != ""))
+    return F.when(~text.rlike(pattern), whole).otherwise(F.filter(F.transform(pieces, chunk), lambda c: c["content"] != ""))
 
 
 def folded(rows: DataFrame, min_size: int, id_col: str) -> DataFrame:

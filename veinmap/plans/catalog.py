@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinmap.functions import text as fn
-from veinmap.operators import extract, graph, merge, quality, query, relational, segment, sinks, trigrams, update, vocabulary
+from veinmap.operators import extract, graph, merge, parts, quality, query, relational, segment, sinks, trigrams, update, vocabulary
 from veinmap.operators.links import shared_path
 from veinmap.sources import star
 from veinmap.sources.ontology import load_graph, load_ontology, load_rows
@@ -670,3 +670,32 @@ f AS (SELECT doc_id, any_value(text) AS text, any_value(n) AS n, min("at") AS fi
 SELECT doc_id, CAST(first_at AS INTEGER) AS match_position, CAST(greatest(0, first_at - 1000000000) AS INTEGER) AS start_char, CAST(least(n, first_at + 1000000000) AS INTEGER) AS end_char FROM f""")
 def _(spark, d):
     return segment.segment_keywords(star.read(spark, d, "documents"), ["license"], 1_000_000_000).select("doc_id", "match_position", "start_char", "end_char")
+
+
+def _in_parts(docs):
+    """doc_id, part, text: each text in rows of 700 code points."""
+    n = F.length("text")
+    every = F.transform(F.sequence(F.lit(0), F.floor(n / 700)), lambda i: F.substring("text", (i * 700 + 1).cast("int"), F.lit(700)))
+    return docs.where("text IS NOT NULL").select("doc_id", F.posexplode(every).alias("part", "text"))
+
+
+@_query("s11_chunks_of_parts", ORACLES["w04_fixed_chunks"])
+def _(spark, d):
+    return parts.segment_fixed(_in_parts(star.read(spark, d, "documents"))).select("doc_id", F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char"))
+
+
+@_query("s11_windows_of_parts", ORACLES["w05_keyword_windows"])
+def _(spark, d):
+    found = parts.segment_keywords(_in_parts(star.read(spark, d, "documents")), ["license", "than"], 500)
+    return found.select("doc_id", "index", "keyword", *(F.col(c).cast("int").alias(c) for c in ("match_position", "start_char", "end_char")))
+
+
+@_query("s11_sections_of_parts", ORACLES["w02_folded_sections"])
+def _(spark, d):
+    return parts.segment_headings(_in_parts(star.markdown(spark, d)), min_size=400).select("doc_id", "index", "title", "content", F.length("content").alias("char_count"))
+
+
+@_query("s11_facts_of_parts", ORACLES["e01_documents"])
+def _(spark, d):
+    found = parts.extract(_in_parts(star.long_reports(spark, d)))
+    return found.select("doc_id", *(F.size(c).alias(c) for c in ("individuals", "properties")), "text_length")
