@@ -28,6 +28,9 @@ PROPERTY = rf"(?U)(?:(?<!{_NAME})|\G){_FACT}"
 RANGE = rf"(?U)(?<!{_D})({_N}){_S}*[–\-]{_S}*({_N}){_S}*(°[CF]|K)"
 PHASE = rf"(?iuU)(?<!{WORD})(?=\w|[γαβδ])(?:γ|α|β|δ|BCC|FCC|HCP){_S}*(?:phase|U|structure)?{_END}"
 PERCENT = rf"(?<!{_D})({_N})[\s\x1c-\x1f]*(wt%|at%|vol%|mol%)"
+#: What no fact goes across, and what stands before its number.
+_BORDER = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f:=.°%/³²·]"
+_HINT = rf"(?U)(?:[:=]{_S}*| is{_S}+| of{_S}+){_D}"
 #: Properties and their keywords, in order.
 KEYWORDS = {
     "density": ["density", "ρ", "mass density"],
@@ -93,7 +96,8 @@ def properties(text: Column) -> Column:
         raw = F.lower(strip(name))
         return F.struct(classify(raw).alias("name"), number.try_cast("double").alias("value"), strip(unit).alias("unit"), raw.alias("raw_name"), match.alias("context"))
 
-    rows = F.transform(_all(text, PROPERTY), fact)
+    pieces = F.filter(F.split(text, _BORDER), lambda p: p.rlike(_HINT))  # few: the rest of the text is read once, by plain classes
+    rows = F.flatten(F.transform(pieces, lambda p: F.transform(_all(p, PROPERTY), fact)))
     empty = F.array().cast("array<struct<name:string,value:double,unit:string,raw_name:string,context:string>>")
     return F.when(~text.rlike(r"\p{Nd}"), empty).otherwise(F.filter(rows, lambda p: p["name"].isNotNull()))
 

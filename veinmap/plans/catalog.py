@@ -261,10 +261,10 @@ def _(spark, d):
     return star.reports(spark, d).select("doc_id", F.inline(extract.percentages(F.col("text")))).select("doc_id", "value", "unit")
 
 
-@_query("e08_composition", "SELECT p_partkey AS doc_id, CAST(100 - p_size AS DOUBLE) AS zr, CAST(p_size AS DOUBLE) AS mo FROM part WHERE p_size < 100")
+@_query("e08_composition", "SELECT p_partkey AS doc_id, CASE WHEN p_size < 100 THEN CAST(100 - p_size AS DOUBLE) END AS zr, CAST(p_size AS DOUBLE) AS mo FROM part")
 def _(spark, d):
     c = extract.composition(F.concat(F.lit("Zr-Mo"), F.col("p_size").cast("string")))
-    return star.read(spark, d, "part").where("p_size < 100").select(F.col("p_partkey").alias("doc_id"), c["Zr"].alias("zr"), c["Mo"].alias("mo"))
+    return star.read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), c["Zr"].alias("zr"), c["Mo"].alias("mo"))
 
 
 @_query("e09_template", "SELECT p_partkey AS doc_id, 'density' AS name, CAST(p_size AS VARCHAR) || '.5' AS value, CAST(length('The U-' || p_size || 'Mo alloy has ') AS INTEGER) AS position FROM part")
@@ -369,18 +369,29 @@ def _(spark, d):
     return sinks.csv_individuals(star.ontology(spark, d))
 
 
-@_query("k06_graphml", f"""WITH {_CLASSES}, {_INDIVIDUALS} SELECT '<node id="' || translate(name, ' /', '__') || '"><data key="label">' || name || '</data><data key="type">class</data></node>' AS line FROM classes
+_GRAPHML = f"""WITH {_CLASSES}, {_INDIVIDUALS} SELECT '<node id="' || translate(name, ' /', '__') || '"><data key="label">' || name || '</data><data key="type">class</data></node>' AS line FROM classes
 UNION ALL SELECT '<node id="' || translate(name, ' /', '__') || '"><data key="label">' || name || '</data><data key="type">individual</data></node>' FROM individuals
-UNION ALL SELECT '<edge source="' || translate(name, ' /', '__') || '" target="' || translate(class, ' /', '__') || '"/>' FROM individuals WHERE class IS NOT NULL""")
+UNION ALL SELECT '<edge source="' || translate(name, ' /', '__') || '" target="' || translate(class, ' /', '__') || '"/>' FROM individuals WHERE class IS NOT NULL
+UNION ALL SELECT * FROM (VALUES ('<?xml version="1.0" encoding="UTF-8"?>'), ('<graphml xmlns="http://graphml.graphstruct.org/graphml">'), ('<key id="label" for="node" attr.name="label" attr.type="string"/>'), ('<key id="type" for="node" attr.name="type" attr.type="string"/>'), ('<graph id="ontology" edgedefault="directed">'), ('</graph>'), ('</graphml>'))"""
+
+
+@_query("k06_graphml", _GRAPHML)
+def _(spark, d):
+    return sinks.graphml_lines(star.ontology(spark, d)).select("line")
+
+
+@_query("k06_graphml_lines_of_file", _GRAPHML)
 def _(spark, d):
-    return sinks.graphml_lines(star.ontology(spark, d)).where("ord IN (1, 2)").select("line")
+    return spark.read.text(_exported(spark, sinks.export_lines, sinks.graphml_lines(star.ontology(spark, d)))).select(F.col("value").alias("line"))
 
 
 @_query("k07_markdown", f"""WITH {_CLASSES}, {_INDIVIDUALS} SELECT '- **' || name || '**' || CASE WHEN comment IS NULL THEN '' ELSE ': ' || comment END AS line FROM classes
 UNION ALL (SELECT '- **' || name || '**' || CASE WHEN class IS NULL THEN '' ELSE ' → ' || class END FROM individuals ORDER BY pos LIMIT 50)
-UNION ALL SELECT '- ... and ' || (count(*) - 50) || ' more' FROM individuals""")
+UNION ALL SELECT '- ... and ' || (count(*) - 50) || ' more' FROM individuals
+UNION ALL SELECT '**Classes**: ' || count(*) FROM classes UNION ALL SELECT '**Individuals**: ' || count(*) FROM individuals
+UNION ALL SELECT * FROM (VALUES ('# Ontology report'), (''), ('**Object Properties**: 3'), ('**Datatype Properties**: 3'), (''), ('## Classes'), (''), (''), ('## Individuals'), (''))""")
 def _(spark, d):
-    return sinks.markdown_lines(star.ontology(spark, d)).where("ord IN (3, 5, 6)").select("line")
+    return sinks.markdown_lines(star.ontology(spark, d)).select("line")
 
 
 @_query("f_scalar_functions", """SELECT p_partkey, lower(trim(p_name)) AS exact_key, regexp_replace(lower(trim(p_name)), '[ _-]', '', 'g') AS normalized_key, translate(p_type, ' /', '__') AS safe_id,
@@ -577,9 +588,9 @@ def _(spark, d):
     return star.long_reports(spark, d).select("doc_id", F.inline(extract.properties(F.col("text"))))
 
 
-@_query("e05_documents", f"WITH {_LONG} SELECT doc_id, regexp_extract(m, '{_RE_RANGE}', 3) AS unit, CAST(regexp_extract(m, '{_RE_RANGE}', 1) AS DOUBLE) AS low FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_RE_RANGE}', 0)) AS m FROM long)")
+@_query("e05_documents", f"WITH {_LONG} SELECT doc_id, regexp_extract(m, '{_RE_RANGE}', 3) AS unit, CAST(regexp_extract(m, '{_RE_RANGE}', 1) AS DOUBLE) AS low, CAST(regexp_extract(m, '{_RE_RANGE}', 2) AS DOUBLE) AS high FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_RE_RANGE}', 0)) AS m FROM long)")
 def _(spark, d):
-    return star.long_reports(spark, d).select("doc_id", F.inline(extract.temperatures(F.col("text")))).select("doc_id", "unit", F.col("min").alias("low"))
+    return star.long_reports(spark, d).select("doc_id", F.inline(extract.temperatures(F.col("text")))).select("doc_id", "unit", F.col("min").alias("low"), F.col("max").alias("high"))
 
 
 @_query("e01_documents", f"WITH {_FACTS}, {_ALLOYS} SELECT doc_id, CAST((SELECT count(*) FROM alloys a WHERE a.doc_id = d.doc_id) AS INTEGER) AS individuals, CAST((SELECT count(*) FROM facts f WHERE f.doc_id = d.doc_id) AS INTEGER) AS properties, CAST(length(text) AS INTEGER) AS text_length FROM long d")
