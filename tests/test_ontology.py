@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veinmap import cli
 from veinmap.functions import text as fn
-from veinmap.operators import extract, graph, merge, quality, query, relational, segment, sinks, update
+from veinmap.operators import extract, graph, links, merge, quality, query, relational, segment, sinks, update
 from veinmap.plans import catalog
 from veinmap.sources.ontology import default_path, load_graph, load_ontology, load_rows
 
@@ -353,3 +353,7 @@ def test_streams_go_on(spark, tmp_path):
     assert len(touched) == 2 and max(touched) <= 2
     incremental.compact(spark, folder)
     assert sorted(map(str, incremental.current(spark, folder).collect())) == sorted(map(str, [r for r in incremental.current(spark, folder).collect()])) and incremental.current(spark, folder).count() == 302
+    assert not [p for p in links._made if "/judged-" in p]
+    before = sorted(map(str, incremental.current(spark, folder).collect()))
+    assert len(incremental.vacuum(spark, folder)) == 3 and incremental.vacuum(spark, folder) == []
+    assert sorted(map(str, incremental.current(spark, folder).collect())) == before

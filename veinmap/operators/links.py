@@ -30,9 +30,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def clean(spark: SparkSession) -> None:
     """Removes what this process wrote to shared paths; DataFrames that read them end with it."""
-    for path in map(spark._jvm.org.apache.hadoop.fs.Path, _made):
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _made.clear()
+    for path in list(_made):
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes one shared path."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def cut_to(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``cut``, with the path, for what a later step removes."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,9 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     Lost executors then cost no recomputation, and Python stages before it run once.
     """
-    spark, path = df.sparkSession, shared_path(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut_to(df, "cut")[0]
 
 
 def ranked(df: DataFrame, order: str, name: str) -> DataFrame:

@@ -33,9 +33,12 @@ def judged(existing: DataFrame, incoming: DataFrame, dedup: bool = True) -> Data
     return out.select(*incoming.columns, "action").unionByName(bare)
 
 
-def add_individuals(existing: DataFrame, incoming: DataFrame, dedup: bool = True) -> DataFrame:
-    """The individuals after the batch: existing ones with the keys they lacked, then the added ones."""
-    actions = cut(judged(existing, incoming, dedup))  # written once, for both outputs
+def add_individuals(existing: DataFrame, incoming: DataFrame, dedup: bool = True, actions: DataFrame | None = None) -> DataFrame:
+    """The individuals after the batch: existing ones with the keys they lacked, then the added ones.
+
+    ``actions``: what ``judged`` gave for the batch, if it is there already.
+    """
+    actions = actions or cut(judged(existing, incoming, dedup))  # written once, for both outputs
     fresh = actions.where("action = 'update'").select("name", "pos", F.explode("attrs").alias("k", "v")).groupBy("name", "k").agg(F.min_by("v", "pos").alias("v"))
     brought = fresh.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("new"))  # distinct keys of one name
     target = _first_existing(existing).select("name", F.col("first_pos").alias("pos")).join(brought, "name")
@@ -61,9 +64,9 @@ def totals(*stats: DataFrame) -> DataFrame:
     return rows.groupBy().agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
-def changes(existing: DataFrame, incoming: DataFrame, stamped: bool = True, dedup: bool = True) -> DataFrame:
+def changes(existing: DataFrame, incoming: DataFrame, stamped: bool = True, dedup: bool = True, actions: DataFrame | None = None) -> DataFrame:
     """A row for each added individual: action, type, name."""
-    out = judged(existing, incoming, dedup).where("action = 'add'").select(F.lit("add").alias("action"), F.lit("individual").alias("type"), "name")
+    out = (actions or judged(existing, incoming, dedup)).where("action = 'add'").select(F.lit("add").alias("action"), F.lit("individual").alias("type"), "name")
     return out.withColumn("timestamp", F.current_timestamp()) if stamped else out
 
 

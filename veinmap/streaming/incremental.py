@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinmap.operators.update import add_individuals, changes
+from veinmap.operators.links import cut_to, remove
+from veinmap.operators.update import add_individuals, changes, judged
 
 COLUMNS = "pos long, name string, attrs map<string,string>"
 BUCKETS = 64
@@ -60,8 +61,10 @@ def follow(stream: DataFrame, folder: str, checkpoint: str):
             return
         touched = {r.bucket for r in batch.select(_bucket()).distinct().collect()}  # BUCKETS at most
         before, version = current(spark, folder, touched), 1 + max(map(_number, listed))
-        changes(before, batch).write.mode("overwrite").parquet(f"{folder}/changes={version}-{own}")
-        _write(add_individuals(before, batch), f"{folder}/version={version}-{own}")
+        actions, path = cut_to(judged(before, batch), "judged")  # once, for both outputs
+        changes(before, batch, actions=actions).write.mode("overwrite").parquet(f"{folder}/changes={version}-{own}")
+        _write(add_individuals(before, batch, actions=actions), f"{folder}/version={version}-{own}")
+        remove(spark, path)  # a stream goes on for long: a batch leaves only its version
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -69,3 +72,17 @@ def follow(stream: DataFrame, folder: str, checkpoint: str):
 def compact(spark: SparkSession, folder: str) -> None:
     """Writes all buckets as one version; older ones are no longer read and may be removed."""
     _write(current(spark, folder), f"{folder}/version={1 + max(map(_number, _listed(spark, folder)))}-compact")
+
+
+def vacuum(spark: SparkSession, folder: str) -> list[str]:
+    """Removes the versions that no bucket reads any more, but for the last; gives their names.
+
+    A reader that began before may still read them: call it when none does.
+    """
+    listed = _listed(spark, folder)
+    used = {b: name for name, own in listed.items() for b in own}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    gone = sorted(set(listed) - set(used.values()) - {max(listed, key=_number)}) if listed else []
+    for name in gone:
+        path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(f"{folder}/{name}"), True)
+    return gone
