@@ -12,25 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from veinmap.operators.links import components, cut, shared_path
+from veinmap.operators.links import components, cut, cut_to, remove
 
 #: Rows, and bytes of them, handled at a time inside a task, whatever the size of Arrow's batches.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 8 << 20
 
 
-def cut_to(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """As ``cut``, with the path, for what a later step replaces (``remove``)."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Removes a path of ``cut_to``."""
-    own = spark._jvm.org.apache.hadoop.fs.Path(path)
-    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A name like ``name`` that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
