@@ -118,3 +118,21 @@ def test_indexed_search_equals_the_scan(spark, tmp_path):
     plan = trigrams.candidates(spark, folder, "abca")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     assert "PushedFilters: [In(gram" in plan
+
+
+def test_rows_by_conditions(spark, tmp_path):
+    from veinmap.sources import tables
+
+    rows = [(f"k{i}", i, None if i % 3 == 0 else f"n{i}") for i in range(30)]
+    spark.createDataFrame(rows, "id string, x int, name string").write.parquet(str(tmp_path / "t"))
+    get = lambda **how: [r.id for r in tables.select(spark, str(tmp_path), "t", **how).collect()]
+    assert sorted(get()) == sorted(r[0] for r in rows)
+    assert get(where={"x": ("gte", 20), "name": ("is", None)}, order=["x"], descending=True, limit=2) == ["k27", "k24"]
+    assert get(where={"x": ("in", [3, 5, 99]), "id": ("neq", "k3")}) == ["k5"]
+    assert sorted(get(where={"name": ("ilike", "N1%"), "x": ("lt", 12)})) == ["k1", "k10", "k11"]
+    assert tables.select(spark, str(tmp_path), "none", columns=["id", "name"]).collect() == []
+    assert {r.name: r.n for r in tables.counts(spark, str(tmp_path), ["t", "none"]).collect()} == {"t": 30, "none": 0}
+    with pytest.raises(ValueError):
+        get(where={"x": ("near", 1)})
+    plan = tables.select(spark, str(tmp_path), "t", {"x": ("gt", 5)}, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(x,5)" in plan and "ReadSchema: struct<id:string,x:int>" in plan

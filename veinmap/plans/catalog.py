@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veinmap.functions import text as fn
 from veinmap.operators import extract, graph, merge, parts, quality, query, relational, segment, sinks, trigrams, update, vocabulary
 from veinmap.operators.links import shared_path
-from veinmap.sources import star
+from veinmap.sources import star, tables
 from veinmap.sources.ontology import load_graph, load_ontology, load_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -407,10 +407,15 @@ def _(spark, d):
     return star.graph(spark, d).nodes
 
 
-@_query("s08_counts", "SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier")
+@_query("s08_counts", "SELECT 'customer.parquet' AS name, count(*) AS n FROM customer UNION ALL SELECT 'part.parquet', count(*) FROM part UNION ALL SELECT 'supplier.parquet', count(*) FROM supplier UNION ALL SELECT 'nothing', 0")
 def _(spark, d):
-    counted = [star.read(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("customer", "part", "supplier")]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    return tables.counts(spark, d, ["customer.parquet", "part.parquet", "supplier.parquet", "nothing"])
+
+
+@_query("s07_selected_rows", "SELECT p_partkey, p_name, p_size FROM part WHERE p_size >= 10 AND p_size < 40 AND p_type LIKE '%A%' AND lower(p_name) LIKE '%ring%' AND p_brand IN ('Brand#11', 'Brand#22', 'Brand#33', 'Brand#21', 'Brand#13')")
+def _(spark, d):
+    where = {"p_type": ("like", "%A%"), "p_name": ("ilike", "%RING%"), "p_brand": ("in", ["Brand#11", "Brand#22", "Brand#33", "Brand#21", "Brand#13"]), "p_size": ("gte", 10)}
+    return tables.select(spark, d, "part.parquet", where, ["p_partkey", "p_name", "p_size"]).where(tables.condition({"p_size": ("lt", 40)}))
 
 
 @_query("s11_page_texts", "SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS n_chars, CAST(len(regexp_extract_all(html, '<h1[^>]*>')) AS INTEGER) AS n_headings FROM pages")
