@@ -86,7 +86,7 @@ def test_bit_slices_find_all_pairs_of_groups(sizes):
 def test_masks_lose_no_link(spark, monkeypatch, group):
     monkeypatch.setattr(simhash, "GROUP", group)
     rng = np.random.default_rng(group)
-    f = clouds(rng, 1500)
+    f = clouds(rng, 300 if group == 8 else 1500)
     df = spark.createDataFrame([(int(x),) for x in f.astype(np.int64)], "f long").repartition(4)
     report = {}
     links = simhash.components(simhash._links(simhash.groups(df, report)))
