@@ -91,15 +91,24 @@ def alloys(text: Column) -> Column:
 
 def properties(text: Column) -> Column:
     """Numeric properties with a known name."""
-    def fact(match: Column) -> Column:
-        name, number, unit = _groups(match, rf"(?U)\A{_FACT}\z", 1, 2, 3)
-        raw = F.lower(strip(name))
-        return F.struct(classify(raw).alias("name"), number.try_cast("double").alias("value"), strip(unit).alias("unit"), raw.alias("raw_name"), match.alias("context"))
+    whole = rf"(?U)\A{_FACT}\z"
+
+    def named(match: Column) -> Column:
+        raw = F.lower(strip(F.regexp_extract(match, whole, 1)))
+        return F.struct(match.alias("context"), raw.alias("raw"))
+
+    def judged(m: Column) -> Column:
+        return F.struct(classify(m["raw"]).alias("name"), m["raw"].alias("raw"), m["context"].alias("context"))
+
+    def fact(m: Column) -> Column:
+        number, unit = _groups(m["context"], whole, 2, 3)
+        return F.struct(m["name"].alias("name"), number.try_cast("double").alias("value"), strip(unit).alias("unit"), m["raw"].alias("raw_name"), m["context"].alias("context"))
 
     pieces = F.filter(F.split(text, _BORDER), lambda p: p.rlike(_HINT))  # few: the rest of the text is read once, by plain classes
-    rows = F.flatten(F.transform(pieces, lambda p: F.transform(_all(p, PROPERTY), fact)))
+    matches = F.flatten(F.transform(pieces, lambda p: _all(p, PROPERTY)))
+    known = F.filter(F.transform(F.transform(matches, named), judged), lambda m: m["name"].isNotNull())  # a step each: a raw name is computed once, not for each keyword
     empty = F.array().cast("array<struct<name:string,value:double,unit:string,raw_name:string,context:string>>")
-    return F.when(~text.rlike(r"\p{Nd}"), empty).otherwise(F.filter(rows, lambda p: p["name"].isNotNull()))
+    return F.when(~text.rlike(r"\p{Nd}"), empty).otherwise(F.transform(known, fact))
 
 
 def phases(text: Column) -> Column:

@@ -15,6 +15,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Narrow rows over all cores: millions of them lie in few splits of a file, and each is much work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def ontology(spark: SparkSession, sf_dir: str) -> Ontology:
     region, nation, supplier, customer, part = (read(spark, sf_dir, t) for t in ("region", "nation", "supplier", "customer", "part"))
     texts = lambda *c: F.array(*c).cast("array<string>")
@@ -53,7 +59,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: a sentence of facts about each part."""
     size = F.col("p_size").cast("string")
-    return read(spark, sf_dir, "part").select(
+    return dealt(read(spark, sf_dir, "part").select("p_partkey", "p_size")).select(
         F.col("p_partkey").alias("doc_id"),
         F.concat(F.lit("The U-"), size, F.lit("Mo alloy has density: "), size, F.lit(".5 g/cm3, hardness is "), size, F.lit(" HV and stays γ phase from "), size, F.lit("-"), (F.col("p_size") + 100).cast("string"), F.lit(" K with "), size, F.lit(" wt% Mo.")).alias("text"),
     )
