@@ -22,3 +22,10 @@ def test_a_raw_name_is_computed_once(spark):
     df = spark.createDataFrame([("density: 1.5 g",)], "text string").select(F.inline(extract.properties(F.col("text"))))
     assert plan(df).count("lower(") <= 2
     assert [tuple(r) for r in df.collect()] == [("density", 1.5, "g", "density", "density: 1.5 g")]
+
+
+def test_an_alloy_is_taken_apart_once_and_reports_are_dealt(spark, parts_dir):
+    df = spark.createDataFrame([("U-10Mo-5Zr",)], "name string").select(extract.composition(F.col("name")).alias("c"))
+    assert plan(df).count("split(") == 1
+    reports = star.reports(spark, parts_dir)
+    assert reports.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and reports.count() == 200

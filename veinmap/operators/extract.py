@@ -70,17 +70,27 @@ def _groups(match: Column, pattern: str, *numbers: int) -> list[Column]:
     return [F.regexp_extract(match, pattern, n) for n in numbers]
 
 
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def composition(name: Column) -> Column:
     """Element -> percentage of parts that begin with an element and a number; the first part's element takes the rest."""
-    parts = F.split(name, "-")
-    own = F.filter(parts, lambda p: p.rlike(rf"\A[A-Z][a-z]?{_D}"))
-    pairs = F.transform(own, lambda p: F.struct(F.regexp_extract(p, r"\A([A-Z][a-z]?)", 1).alias("element"), F.regexp_extract(p, rf"\A[A-Z][a-z]?({_N})", 1).cast("double").alias("share")))
-    total = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["share"])
-    base = F.regexp_extract(F.get(parts, F.lit(0)), r"\A([A-Z][a-z]?)", 1)
-    lasting = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["element"] == p["element"]))
-    known = F.exists(pairs, lambda p: p["element"] == base)
-    rest = F.when((F.size(pairs) > 0) & (total < 100) & (base != "") & ~known, F.array(F.struct(base.alias("element"), (F.lit(100.0) - total).alias("share")))).otherwise(F.array().cast("array<struct<element:string,share:double>>"))
-    return F.map_from_entries(F.concat(lasting, rest))
+    def pairs_of(parts: Column) -> Column:
+        own = F.filter(parts, lambda p: p.rlike(rf"\A[A-Z][a-z]?{_D}"))
+        pairs = F.transform(own, lambda p: F.struct(F.regexp_extract(p, r"\A([A-Z][a-z]?)", 1).alias("element"), F.regexp_extract(p, rf"\A[A-Z][a-z]?({_N})", 1).cast("double").alias("share")))
+        return F.struct(pairs.alias("pairs"), F.regexp_extract(F.get(parts, F.lit(0)), r"\A([A-Z][a-z]?)", 1).alias("base"))
+
+    def shares(x: Column) -> Column:
+        pairs, base = x["pairs"], x["base"]
+        total = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["share"])
+        lasting = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["element"] == p["element"]))
+        known = F.exists(pairs, lambda p: p["element"] == base)
+        rest = F.when((F.size(pairs) > 0) & (total < 100) & (base != "") & ~known, F.array(F.struct(base.alias("element"), (F.lit(100.0) - total).alias("share")))).otherwise(F.array().cast("array<struct<element:string,share:double>>"))
+        return F.map_from_entries(F.concat(lasting, rest))
+
+    return _once(_once(F.split(name, "-"), pairs_of), shares)
 
 
 def alloys(text: Column) -> Column:
