@@ -29,3 +29,12 @@ def test_an_alloy_is_taken_apart_once_and_reports_are_dealt(spark, parts_dir):
     assert plan(df).count("split(") == 1
     reports = star.reports(spark, parts_dir)
     assert reports.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and reports.count() == 200
+
+
+def test_merged_properties_are_extracted_once(spark, parts_dir):
+    _, properties, _ = merge.merge_results(extract.extract(star.reports(spark, parts_dir)))
+    assert plan(properties).count("regexp_extract_all") == 0  # written once; the second aggregate reads that
+    raw = extract.extract(star.reports(spark, parts_dir)).select("doc_id", "individuals", "properties", "relationships")
+    merged = merge.merge_results(raw)[0]
+    assert plan(merged).count("regexp_extract_all") == 1  # no list is computed beforehand to see whether it is empty
+    assert properties.count() == 100 and merged.count() == 50

@@ -162,12 +162,13 @@ def _as_text(df: DataFrame, c: str) -> Column:
 def merge_properties(props: DataFrame) -> DataFrame:
     """Of each name the first of each value_unit, as printed; ``name_pos`` is the name's first place, by which they follow.
 
-    Two partial aggregates: neither a common name nor a common value goes to one task as rows.
+    Two partial aggregates: neither a common name nor a common value goes to one task as rows.  The
+    second is over what the first has left, which is written: ``props`` are computed once.
     """
     key = F.concat(_as_text(props, "value"), F.lit("_"), _as_text(props, "unit"))
     rows = props.withColumn("__key", key)
-    one = rows.groupBy("name", "__key").agg(F.min_by(F.struct(*props.columns), "pos").alias("__row")).select("__row.*")
-    first = props.groupBy(F.col("name").alias("__name")).agg(F.min("pos").alias("name_pos"))
+    one = cut(rows.groupBy("name", "__key").agg(F.min_by(F.struct(*props.columns), "pos").alias("__row")).select("__row.*"))
+    first = one.groupBy(F.col("name").alias("__name")).agg(F.min("pos").alias("name_pos"))
     return one.join(first, one["name"].eqNullSafe(first["__name"])).select(*(one[c] for c in props.columns), "name_pos")
 
 
@@ -201,7 +202,8 @@ def merge_results(results: DataFrame, strategy: str = "exact", conflict: str = "
     """
     def flat(column: str) -> DataFrame:
         source = F.col(results.columns[0])
-        rows = results.select((F.col(order) if order else source).alias("by"), source.alias("source"), F.posexplode(column).alias("i", "x"))
-        return rows.select(F.struct("by", "source", "i").alias("pos"), "source", "x.*")
+        # outer: an inner generator lets the optimizer test whether the list is empty, by computing it a second time, before any shuffle
+        rows = results.select((F.col(order) if order else source).alias("by"), source.alias("source"), F.posexplode_outer(column).alias("i", "x"))
+        return rows.where("i IS NOT NULL").select(F.struct("by", "source", "i").alias("pos"), "source", "x.*")
 
     return dedup(flat("individuals"), "name", strategy, conflict), merge_properties(flat("properties")), dedup(flat("relationships"), "context", strategy, conflict)
