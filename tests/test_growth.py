@@ -1,9 +1,12 @@
 """Steps whose work must not grow faster than their input, seen in plans and in how rows are dealt."""
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from veinmap.operators import extract, merge
+from veinmap.operators import extract, merge, parts, segment
 from veinmap.sources import star
 
 
@@ -36,5 +39,31 @@ def test_merged_properties_are_extracted_once(spark, parts_dir):
     assert plan(properties).count("regexp_extract_all") == 0  # written once; the second aggregate reads that
     raw = extract.extract(star.reports(spark, parts_dir)).select("doc_id", "individuals", "properties", "relationships")
     merged = merge.merge_results(raw)[0]
-    assert plan(merged).count("regexp_extract_all") == 1  # no list is computed beforehand to see whether it is empty
+    assert plan(merged).count("regexp_extract_all") == 2  # of items with and without a key; no list is computed beforehand to see whether it is empty
     assert properties.count() == 100 and merged.count() == 50
+
+
+class Caught:
+    """Stands for a DataFrame and keeps the function that a step maps its rows by."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def repartition(self, *names):
+        return self
+
+    sortWithinPartitions = select = repartition
+
+    def mapInPandas(self, run, ddl):
+        self.run = run
+
+    mapInArrow = mapInPandas
+
+
+def test_windows_leave_in_bounded_batches():
+    docs = Caught(StructType().add("doc_id", "long"))
+    segment.segment_keywords(docs, ["a"], 500)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [7, None, 9], "text": [("a" + "x" * 999) * 6000, None, "a"]})
+    found = list(docs.run(iter([batch])))
+    assert sum(b.num_rows for b in found) == 6001 and 2 <= len(found) <= 4 and found[-1].column("doc_id")[-1].as_py() == 9
+    assert found[0].column("match_position")[:2].to_pylist() == [0, 1000] and found[1].column("index")[0].as_py() == found[0].num_rows

@@ -9,7 +9,7 @@ table functions, linear in the text.  Places are code points.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from veinmap.functions.text import strip
 
+#: Rows, and code points of text, that leave a task at a time, about.
+ROWS, CHARS = 4096, 4 << 20
 _HASH = r"[ \t\n\x0b\f\r\x1c-\x1f\x85\p{Z}]"
 #: A heading: hashes at the start of a line, white space (line feeds too), the rest of the line.
 HEADING = rf"^(#{{1,6}})({_HASH}+)([^\n]+)$"
@@ -82,6 +84,36 @@ def folded(rows: DataFrame, min_size: int, id_col: str) -> DataFrame:
     return rows.mapInPandas(run, rows.schema)
 
 
+def _each_text(docs: DataFrame, id_col: str, text_col: str, rows: Callable[[str], Iterator[tuple]], ddl: str) -> DataFrame:
+    """id and ``rows`` of each text (ddl: of int and string).  A task holds one text and a bounded number of rows as Python objects."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    fields = [f.split(" ") for f in ddl.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        types = [{"int": pa.int32(), "string": pa.string()}[t] for _, t in fields]
+        for batch in batches:
+            ids, texts, at, out, size = batch.column(0), batch.column(1), [], [], 0
+
+            def made() -> pa.RecordBatch:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), *columns], names=[id_col, *(n for n, _ in fields)])
+
+            for i in range(batch.num_rows):
+                for row in rows(texts[i].as_py() or ""):
+                    at.append(i)
+                    out.append(row)
+                    size += sum(len(v) for v in row if isinstance(v, str))
+                    if len(out) >= ROWS or size >= CHARS:
+                        yield made()
+                        at, out, size = [], [], 0
+            if out:
+                yield made()
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, {ddl}")
+
+
 def _counted(out: DataFrame) -> DataFrame:
     return out.withColumn("char_count", F.length("content")).withColumn("line_count", F.regexp_count("content", F.lit("\n")) + 1)
 
@@ -109,20 +141,12 @@ def fixed_cuts(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
 
 def segment_fixed(docs: DataFrame, size: int = 4000, overlap: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks of a size with overlap; blank texts and blank chunks give none."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            rows = []
-            for key, text in zip(pdf[id_col], pdf[text_col]):
-                own = [(a, b, c) for a, b in fixed_cuts(text or "", size, overlap) if (c := text[a:b].strip())]
-                rows += [(key, i, f"chunk_{i}", c, a, b, 0) for i, (a, b, c) in enumerate(own)]
-            yield pd.DataFrame(rows, columns=[id_col, "index", "title", "content", "start_char", "end_char", "level"])
+    def rows(text: str) -> Iterator[tuple]:
+        own = ((a, b, c) for a, b in fixed_cuts(text, size, overlap) if (c := text[a:b].strip()))
+        return ((i, f"chunk_{i}", c, a, b, 0) for i, (a, b, c) in enumerate(own))
 
-    out = docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, index int, title string, content string, start_char int, end_char int, level int")
-    return _counted(out)
+    return _counted(_each_text(docs, id_col, text_col, rows, "index int, title string, content string, start_char int, end_char int, level int"))
 
 
 def keyword_windows(text: str, keywords: list[str], window: int) -> Iterator[tuple[str, int, int, int]]:
@@ -148,15 +172,9 @@ def segment_keywords(docs: DataFrame, keywords: list[str], window: int = 500, id
 
     Blank windows give no chunk; a null text none at all.  Linear in the text and its matches.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "index", "title", "content", "start_char", "end_char", "level", "keyword", "match_position"]
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for key, text in zip(pdf[id_col], pdf[text_col]):
-                own = [(f"keyword:{k}", c, a, b, 0, k, at) for k, at, a, b in keyword_windows(text or "", keywords, window) if (c := text[a:b].strip())]
-                for k in range(0, len(own), 1000):
-                    yield pd.DataFrame([(key, k + i, *x) for i, x in enumerate(own[k : k + 1000])], columns=names)
+    def rows(text: str) -> Iterator[tuple]:
+        own = ((k, at, a, b, c) for k, at, a, b in keyword_windows(text, keywords, window) if (c := text[a:b].strip()))
+        return ((i, f"keyword:{k}", c, a, b, 0, k, at) for i, (k, at, a, b, c) in enumerate(own))
 
-    ddl = f"{id_col} {kind}, index int, title string, content string, start_char int, end_char int, level int, keyword string, match_position int"
-    return docs.select(id_col, text_col).mapInPandas(run, ddl)
+    return _each_text(docs, id_col, text_col, rows, "index int, title string, content string, start_char int, end_char int, level int, keyword string, match_position int")
