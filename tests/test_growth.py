@@ -60,6 +60,21 @@ class Caught:
     mapInArrow = mapInPandas
 
 
+def test_many_rows_of_parts_share_a_frame():
+    rows = Caught(StructType().add("doc_id", "long"))
+    parts._fed(rows, ["part"], ["text"], parts.Matches.ddl, lambda: parts.Matches(["a"]), "doc_id")
+    frames = list(rows.run(iter([pd.DataFrame({"doc_id": [1] * 2000, "text": ["xaxa"] * 2000})])))
+    assert len(frames) == 1 and len(frames[0]) == 4000 and frames[0]["at"][:3].tolist() == [1, 3, 5]
+
+
+@pytest.mark.parametrize("state, text", [(lambda: parts.Fixed(1000, 0), "y" * 1000), (lambda: parts.Pieces(parts.at_cell(1000)), "y" * 1000), (lambda: parts.Pieces(parts.at_heading), "# T\n" + "y" * 1000 + "\n")])
+def test_frames_of_parts_are_few_and_bounded(state, text):
+    rows = Caught(StructType().add("doc_id", "long"))
+    parts._fed(rows, ["part"], ["text"], state().ddl, state, "doc_id")
+    frames = list(rows.run(iter([pd.DataFrame({"doc_id": [1] * 9000, "text": [text] * 9000})])))
+    assert sum(map(len, frames)) >= 9000 and 2 <= len(frames) <= 5
+
+
 def test_windows_leave_in_bounded_batches():
     docs = Caught(StructType().add("doc_id", "long"))
     segment.segment_keywords(docs, ["a"], 500)

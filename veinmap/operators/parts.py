@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from veinmap.functions.text import strip
 from veinmap.operators import extract as rules
-from veinmap.operators.segment import folded, sections
+from veinmap.operators.segment import CHARS, ROWS, folded, sections
 
 #: Code points of a cell of the grid that windows are put together from.
 CELL = 2048
@@ -168,18 +168,21 @@ def _fed(rows: DataFrame, order: list[str], values: list[str], ddl: str, start:
     names = [id_col, *(x.split(" ")[0] for x in ddl.split(", "))]
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
+        key, state, out, size = None, None, [], 0
         for pdf in pdfs:
             for mine, *row in pdf.itertuples(index=False, name=None):
-                out = []
+                before = len(out)
                 if state is None or mine != key:
                     out += [(key, *x) for x in state.end()] if state else []
                     key, state = mine, start()
                 out += [(key, *x) for x in state.feed((row[0] or "") if len(row) == 1 else tuple(row))]
-                if out:
+                size += sum(len(v) for x in out[before:] for v in x if isinstance(v, str))
+                if len(out) >= ROWS or size >= CHARS:  # a frame is dear: many rows share one, bounded in rows and in text
                     yield pd.DataFrame(out, columns=names)
-        if state:
-            yield pd.DataFrame([(key, *x) for x in state.end()], columns=names)
+                    out, size = [], 0
+        out += [(key, *x) for x in state.end()] if state else []
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.repartition(id_col).sortWithinPartitions(id_col, *order).select(id_col, *values).mapInPandas(run, f"{id_col} {kind}, {ddl}")
