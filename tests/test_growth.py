@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from veinmap.operators import extract, merge, parts, segment
+from veinmap.plans import catalog
 from veinmap.sources import star
 
 
@@ -82,3 +83,10 @@ def test_windows_leave_in_bounded_batches():
     found = list(docs.run(iter([batch])))
     assert sum(b.num_rows for b in found) == 6001 and 2 <= len(found) <= 4 and found[-1].column("doc_id")[-1].as_py() == 9
     assert found[0].column("match_position")[:2].to_pylist() == [0, 1000] and found[1].column("index")[0].as_py() == found[0].num_rows
+
+
+@pytest.mark.parametrize("text", ["", "x", "é" * 700, "a\n" * 350 + "b", "𝒳" * 1500])
+def test_parts_are_cut_in_linear_time_and_whole(spark, text):
+    cut = catalog._in_parts(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    rows = [r.text for r in cut.orderBy("part").collect()]
+    assert "".join(rows) == text and len(rows) == max(1, -(-len(text) // 700)) and "substring" not in plan(cut)
