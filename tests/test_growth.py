@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from veinmap.operators import extract, merge, parts, segment
 from veinmap.plans import catalog
-from veinmap.sources import star
+from veinmap.sources import ontology, star
 
 
 @pytest.fixture
@@ -90,3 +90,20 @@ def test_parts_are_cut_in_linear_time_and_whole(spark, text):
     cut = catalog._in_parts(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     rows = [r.text for r in cut.orderBy("part").collect()]
     assert "".join(rows) == text and len(rows) == max(1, -(-len(text) // 700)) and "substring" not in plan(cut)
+
+
+GOOD = '{\n"classes": [\n{"name": "A, {\\"x\\\\", "subClassOf": ["b"]}\n,{"name": "B"}\n],\n"individuals": [\n{"name": "i", "class": "A", "n": 1.50}\n,{"x": "}"}\n]\n}'
+
+
+@pytest.mark.parametrize("text, by_lines", [(GOOD, True), (GOOD.replace(',{"x', '{"x'), False), (GOOD.replace(',{"x": "}"}', ',{"x": "}"},{"y": 1}'), False), (GOOD.replace("\n", " "), False)])
+def test_large_files_are_read_by_lines(spark, tmp_path, monkeypatch, text, by_lines):
+    path = str(tmp_path / "o.json")
+    (tmp_path / "o.json").write_text(text)
+    rows = lambda o: [sorted(map(str, df.collect())) for df in (o.classes, o.object_properties, o.individuals)]
+    whole = rows(ontology.load_ontology(spark, path))
+    monkeypatch.setattr(ontology, "WHOLE", 0)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "90")
+    try:
+        assert (ontology._by_lines(spark, path) is not None) == by_lines and rows(ontology.load_ontology(spark, path)) == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veinmap.model import Graph, Ontology
+from veinmap.operators.links import cut
 
 #: Sections of the file.
 SECTIONS = ("classes", "objectProperties", "datatypeProperties", "individuals")
 
 
+#: A file of fewer bytes is read whole, by one task.
+WHOLE = 16 << 20
+#: Lines that are no items, at most, of a file that is read line by line.
+MARKS = 64
+
+
 def default_path(names: tuple[str, ...], folders: tuple[str, ...]) -> str:
     """The first existing file of ``names`` in ``folders``."""
     for folder in folders:
@@ -41,15 +49,54 @@ def _is_list(c: Column) -> Column:
     return F.coalesce(F.substring(c, 1, 1) == "[", F.lit(False))
 
 
+def _by_lines(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+    """Section -> pos, name, body of a large file as ``sinks.document`` writes it, an item a line; None of any other.
+
+    Lines are numbered by their place in their split and the lines of the splits before; every line is
+    checked, so a file that is laid out otherwise, or no valid JSON, is left to the reader of whole files.
+    """
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = own.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(own)
+    if not found or len(found) != 1 or found[0].isDirectory() or found[0].getLen() < WHOLE:
+        return None
+    bare = F.regexp_replace(F.regexp_replace("value", r"(?s)\\.", ""), '"[^"]*+"', "")  # without strings
+    body = F.get(F.from_json(F.concat(F.lit("["), F.ltrim(F.col("value"), F.lit(",")), F.lit("]")), "array<string>"), F.lit(0))
+    item = F.when(bare.rlike(r'\A,?\{[^{}"]*\}\z'), body)
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("m"), F.when(item.isNull(), F.left("value", F.lit(200))).alias("mark"), F.startswith("value", F.lit(",")).alias("later"), item.alias("body"))
+    lines = cut(lines)  # parsed once
+    splits = lines.groupBy("split").agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each split
+    base = splits.select("split", (before - F.col("first")).alias("base"))
+    placed = lines.join(F.broadcast(base), "split").select((F.col("m") + F.col("base")).alias("at"), "mark", "later", "body")
+    marks = [tuple(r) for r in placed.where("body IS NULL").orderBy("at").limit(MARKS + 1).select("at", "mark").collect()]
+    heads, ends = marks[1:-1:2], marks[2:-1:2]
+    names = [m[1] for _, text in heads if (m := re.fullmatch(r'"([^"\\]*)": \[', text))]
+    closed = ["],"] * (len(ends) - 1) + ["]"]
+    if not 4 <= len(marks) <= MARKS or len(marks) % 2 or marks[0] != (0, "{") or marks[-1] != (ends[-1][0] + 1, "}") or [t for _, t in ends] != closed:
+        return None
+    if len(set(names)) != len(heads) or [a for a, _ in heads] != [1, *(a + 1 for a, _ in ends[:-1])] or lines.count() != marks[-1][0] + 1:
+        return None
+    if not placed.where("body IS NOT NULL").where(F.col("at").isin([a + 1 for a, _ in heads]) == F.col("later")).isEmpty():
+        return None  # a comma too many or too few
+    of = lambda a, b: placed.where((F.col("at") > a) & (F.col("at") < b)).select((F.col("at") - (a + 1)).cast("long").alias("pos"), F.get_json_object("body", "$.name").alias("name"), "body")
+    return {name: of(a, b) for name, (a, _), (b, _) in zip(names, heads, ends)}
+
+
 def load_ontology(spark: SparkSession, path: str) -> Ontology:
     """Reads one ontology file.  Keys override inner names; a scalar entry becomes {name, value}; unknown sections are dropped.
 
     Entity names are JSON keys, so nothing is inferred: sections and entities are read as maps of text.
+    A large file with an item a line, as exports are, is read by all tasks; any other by one.
     """
+    lined = _by_lines(spark, path)
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("doc"))
 
     def section(name: str) -> DataFrame:
-        rows = raw.select(F.posexplode(_entries(F.col("doc")[name])).alias("pos", "e")).select(F.col("pos").cast("long").alias("pos"), "e.name", "e.body")
+        if lined and name in lined:
+            rows = lined[name]
+        else:
+            own = raw.where(F.lit(False)) if lined else raw
+            rows = own.select(F.posexplode(_entries(F.col("doc")[name])).alias("pos", "e")).select(F.col("pos").cast("long").alias("pos"), "e.name", "e.body")
         body = F.when(F.substring(F.ltrim("body"), 1, 1) == "{", F.from_json("body", "map<string,string>")).otherwise(F.create_map(F.lit("value"), F.col("body")))
         return rows.select("pos", "name", body.alias("m"))
 
