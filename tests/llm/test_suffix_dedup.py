@@ -1,10 +1,13 @@
 import hashlib
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
 from veinmap.llm import suffix_dedup as sd
+from veinmap.operators import links
 
 
 def brute(texts):
@@ -90,3 +93,29 @@ def test_odd_rows(odd, none):
     assert [g for g in got if g[1] < 10_000] == sorted((str(r.doc_id), *b) for r, b in zip(short, brute([r.text for r in short])))
     assert [g[2] for g in got if g[1] > 10_000] == [150_000]
     assert sd.dedup(none).count() == 0
+
+
+def test_the_disk_is_freed_on_the_way(spark):
+    """Before the last join little is left of what the steps wrote: neither shuffle files nor tables."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passages = [noise(900) for _ in range(40)]
+    texts = [noise(8_000) + rng.choice(passages)[rng.randrange(300) :] + noise(2_000) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle")}
+
+    def tables():
+        return {p: sum(f.stat().st_size for f in Path(p.removeprefix("file:")).rglob("*.parquet")) for p in links._made}
+
+    before, made_before, conf = shuffled(), set(links._made), spark.conf.get(links._FREE)
+    result = sd.dedup(df)
+    size, end = sum(map(len, texts)), time.time() + 20
+    while (left := sum(n for name, n in shuffled().items() if name not in before)) > size / 10 and time.time() < end:
+        time.sleep(0.5)  # files go in the background
+    assert left <= size / 10
+    assert sum(n for p, n in tables().items() if p not in made_before) <= size / 5
+    assert spark.conf.get(links._FREE) == conf
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in result.collect()) == sorted(brute(texts))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from veinmap.operators.links import components, cut, cut_to, remove
+from veinmap.operators.links import components, cut, cut_free, cut_to, remove
 
 #: Rows, and bytes of them, handled at a time inside a task, whatever the size of Arrow's batches.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 8 << 20
@@ -140,4 +140,4 @@ def sorted_groups(df: DataFrame, key: str, order: list[str], columns: list[str],
     return df.repartition(F.col(key)).sortWithinPartitions(key, *order).select(key, *columns).mapInArrow(run, ddl)
 
 
-__all__ = ["components", "cut", "cut_to", "fresh", "join_few", "keep_rows", "map_rows", "parsed", "pieces", "remove", "rewrite_rows", "sorted_groups", "table"]
+__all__ = ["components", "cut", "cut_free", "cut_to", "fresh", "join_few", "keep_rows", "map_rows", "parsed", "pieces", "remove", "rewrite_rows", "sorted_groups", "table"]

@@ -49,6 +49,21 @@ def cut_to(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: Removes a query's shuffle files at its end; by default they stay until the driver collects its garbage.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_free(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
+    """As ``cut_to``; the shuffle files of the writing go with its end, for only the table is read again."""
+    conf = df.sparkSession.conf
+    before = conf.get(_FREE, None)
+    conf.set(_FREE, "true")
+    try:
+        return cut_to(df, name)
+    finally:
+        conf.unset(_FREE) if before is None else conf.set(_FREE, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written to the shared folder of ``spark.checkpoint.dir`` and read again.
 
